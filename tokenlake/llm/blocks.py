@@ -5,6 +5,11 @@ the leftmost of equals. Equal windows choose equal anchors at equal places, so t
 only be equal if their anchors' grams are. Neighbouring windows mostly choose the same anchor;
 such a run of windows is a block, about one for each (window - gram) / 2 symbols. Blocks with equal
 anchor hash and equal content hash hold exactly the same windows.
+
+A window reaches at least (window - gram) / 2 symbols to one side of its anchor. With `sides`, the
+hash of that many symbols on either side is given too, where the block has windows that reach so
+far; two blocks can only share a window if their anchors and one of these sides are equal. So a
+short frequent line makes an anchor frequent, but not the sides.
 """
 
 from __future__ import annotations
@@ -14,17 +19,18 @@ import numpy as np
 from tokenlake.llm.arrays import U64, Spans, grams, mix, ranges, sliding_min
 
 
-def find(values: np.ndarray, first: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+def find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides: bool = False) -> dict[str, np.ndarray]:
     """Blocks of documents values[first[i]:first[i+1]].
 
     doc: document; a: first window start within it; n: number of window starts; anchor: hash of the
-    anchor's gram; body: hash of all symbols that the block's windows cover and the anchor's place.
+    anchor's gram; body: hash of all symbols that the block's windows cover and the anchor's place;
+    left, right: 32-bit hashes of the sides, 0 where no window reaches so far.
     """
     count = np.maximum(np.diff(first) - window + 1, 0)
     s = ranges(first[:-1], count)
     if not len(s):
         none = np.zeros(0, np.int64)
-        return {"doc": none, "a": none, "n": none, "anchor": none, "body": none}
+        return {"doc": none, "a": none, "n": none, "anchor": none, "body": none, "left": none, "right": none}
     gram_hash = grams(values, gram)
     bits = U64(max(20, len(values).bit_length()))
     key = ((gram_hash >> bits) << bits) | np.arange(len(gram_hash), dtype=U64)
@@ -34,5 +40,14 @@ def find(values: np.ndarray, first: np.ndarray, window: int, gram: int) -> dict[
     at = np.flatnonzero(new)
     a, n, place = s[at], np.diff(np.append(at, len(s))), place[at]
     doc = np.searchsorted(first, a, "right") - 1
-    body = mix(Spans(values).hash(a, a + n - 1 + window) ^ mix((place - a).astype(U64)))
-    return {"doc": doc, "a": a - first[doc], "n": n, "anchor": gram_hash[place].view(np.int64), "body": body.view(np.int64)}
+    spans = Spans(values)
+    body = mix(spans.hash(a, a + n - 1 + window) ^ mix((place - a).astype(U64)))
+    out = {"doc": doc, "a": a - first[doc], "n": n, "anchor": gram_hash[place].view(np.int64), "body": body.view(np.int64)}
+    if sides:
+        reach = (window - gram + 1) // 2
+        most_left, most_right = place - a, window - gram - (place - a - n + 1)
+        for name, far, start in (("left", most_left, place - reach), ("right", most_right, place + gram)):
+            hashed, some = np.zeros(len(a), np.int64), far >= reach
+            hashed[some] = (spans.hash(start[some], start[some] + reach) >> U64(33)).astype(np.int64) + 1
+            out[name] = np.minimum(hashed, 2**31 - 1)
+    return out

@@ -4,7 +4,8 @@ Which 200-byte strings stand twice is decided by suffix arrays; the corpus is fi
 shards in which every string meets all its equals:
 
 1. Content-defined blocks (tokenlake.llm.blocks) of all texts; only blocks whose anchor stands at
-   least twice can hold a repeated string. Blocks with equal content are one block with a count.
+   least twice, with equal bytes on one side, can hold a repeated string. Blocks with equal content
+   are one block with a count.
 2. The bytes of each distinct block go to the partition of its anchor. A partition is cut into
    shards of at most `shard_bytes`; each gets its suffix array (Larsson-Sadakane) and its common
    prefixes (Kasai). Suffixes between two prefixes shorter than the window form one string, whose
@@ -54,11 +55,9 @@ def _found(plan: Plan):
         for batch in batches:
             rk = batch.column(0).to_numpy()
             for lo, hi, data, offsets in texts(batch, "text"):
-                got = blocks.find(BYTE_VALUES[data], offsets, plan.window, plan.gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rk[lo:hi][got["doc"]]), pa.array(got["anchor"]), pa.array(got["body"]), pa.array(got["a"].astype(np.int32)), pa.array(got["n"].astype(np.int32))],
-                    ["rk", "anchor", "body", "a", "n"],
-                )
+                got = blocks.find(BYTE_VALUES[data], offsets, plan.window, plan.gram, sides=True)
+                small = [pa.array(got[k].astype(np.int32)) for k in ("a", "n", "left", "right")]
+                yield pa.RecordBatch.from_arrays([pa.array(rk[lo:hi][got["doc"]]), pa.array(got["anchor"]), pa.array(got["body"]), *small], ["rk", "anchor", "body", "a", "n", "l", "r"])
 
     return run
 
@@ -215,10 +214,15 @@ def suffix_dedup(docs: DataFrame, plan: Plan = Plan(), with_bytes: bool = False)
     text_batches(spark)
     scratch = Scratch(spark, "suffix-dedup")
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("rk"), F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
-    found = scratch.write(rows.select("rk", "text").mapInArrow(_found(plan), "rk long, anchor long, body long, a int, n int"), "found")
-    shared = found.groupBy("anchor").count().filter("count > 1").select("anchor")
-    some = scratch.write(found.join(shared, "anchor"), "shared")
+    found = scratch.write(rows.select("rk", "text").mapInArrow(_found(plan), "rk long, anchor long, body long, a int, n int, l int, r int"), "found")
+    # written on its own, so that the join's sides are plain exchanges and a frequent anchor can be split
+    shared = scratch.write(found.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
+    near = scratch.write(found.join(shared, "anchor"), "near")
     scratch.drop("found")
+    lefts, rights = (scratch.write(near.filter(f"{k} > 0").groupBy("anchor", k).count().filter("count > 1").select("anchor", k, F.lit(True).alias(f"{k}_twice")), k) for k in ("l", "r"))
+    either = near.join(lefts, ["anchor", "l"], "left").join(rights, ["anchor", "r"], "left").filter("l_twice or r_twice")
+    some = scratch.write(either.select("rk", "anchor", "body", "a", "n"), "shared")
+    scratch.drop("near", "anchors", "l", "r")
     bodies = scratch.write(some.groupBy("anchor", "body").agg(F.count("*").alias("count"), F.min(F.struct("rk", "a")).alias("first"), F.min("n").alias("n")), "bodies")
     parts = bodies.agg(F.sum(F.col("n") + plan.window)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts // plan.partition_bytes))
@@ -231,6 +235,8 @@ def suffix_dedup(docs: DataFrame, plan: Plan = Plan(), with_bytes: bool = False)
     out_type = T._parse_datatype_string(_OUT).fields
     half_type = T.StructType([T.StructField("rk", T.LongType()), rest_type, *out_type, *T._parse_datatype_string(f"z binary, blocks array<{_BLOCK}>").fields])
     half = scratch.write(joined.mapInArrow(_half(plan, with_bytes), half_type), "half")
+    del listed, per, joined
+    scratch.drop()
 
     open_ = half.filter("z is not null")
     sent = open_.select(F.explode("blocks").alias("b")).select("b.anchor", "b.body", "b.count", "b.n", "b.bytes")
