@@ -485,3 +485,18 @@ def test_pipeline(spark, sf):
     assert clean == {r["doc_id"] for r in cut.collect() if not any(x in decontamination.normalise(r["text"]) for x in items)}
     packed = rows(p.run(spark, sf))
     assert {r["doc_id"] for r in packed} == clean
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Buckets above the small size, in blocks, give the same components."""
+    r = np.random.default_rng(9)
+    base, made = [f"t{i}" for i in range(146)], []
+    for k in range(160):
+        x = list(base)
+        for e in range(int(r.integers(0, 12))):
+            x[int(r.integers(146))] = f"s{k if e % 2 else k // 8}"
+        made.append(x)
+    table = spark.createDataFrame([(int(i), " ".join(x)) for i, x in zip(r.permutation(1000), made, strict=False)], "doc_id long, text string")
+    got = rows(near_dedup.near_duplicates(table, near_dedup.Plan(small=2, block=20)))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_near(pairs(table)))
+    assert 1 < len({r["component_id"] for r in got}) < 150

@@ -8,10 +8,13 @@ concentration of t-sample min-wise hashing, at O(t log t + n) hash evaluations.
 
 Links. Documents with equal shingle sets form one class, taken as one node. The sketch's
 coordinates are cut into bands; nodes with an equal band are candidates. A bucket is not expanded
-into all its pairs: first each node is verified against the bucket's least node; then only pairs
-of one bucket whose nodes are still in different components are verified. A pair inside one
-component cannot change the result, so no link that a bucket holds is lost. With the defaults a
-pair at similarity 0.75 shares no band with a probability of 4e-6.
+into all its pairs: first each node is verified against the bucket's least node; then only buckets
+whose nodes are still in different components are looked at again. A pair inside one component
+cannot change the result, so no link that a bucket holds is lost. Small such buckets give their
+pairs across components; larger ones are dealt out in blocks of at most about `block` nodes, every
+two blocks meet in one group, and a group's intersections are products of its incidence matrix;
+only links that join components leave it. With the defaults a pair at similarity 0.75 shares no
+band with a probability of 4e-6.
 
 Defined results: texts are compared as lower-cased (A-Z) words; fewer words than a shingle form
 one shingle; a text without words (null too) is linked with nothing; a row with a null doc_id is
@@ -40,12 +43,15 @@ _LOW = U64((1 << 40) - 1)
 
 @dataclass(frozen=True)
 class Plan:
-    """shingle: words per shingle; percent: least Jaccard similarity in percent; bands of rows coordinates each."""
+    """shingle: words per shingle; percent: least Jaccard similarity in percent; bands of rows coordinates each;
+    small: nodes of a bucket that is paired out; block: nodes of a block of larger ones."""
 
     shingle: int = 5
     percent: int = 75
     bands: int = 64
     rows: int = 6
+    small: int = 8
+    block: int = 1024
 
 
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -155,13 +161,67 @@ def _verified(plan: Plan):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, plan: Plan, scratch: Scratch, name: str) -> DataFrame:
+def linked_pairs(sets: list[np.ndarray], parts: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs of places whose sets are similar enough and whose parts differ; one pair for each two parts that they join."""
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = count[column] > 1  # what only one set holds is in no intersection
+    row, (_, column) = row[some], np.unique(column[some], return_inverse=True)
+    both = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    label = np.array(parts)
+    good = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1) & (label[:, None] != label[None, :]) & (both > 0)
+    out, head = [], {p: p for p in parts}
+
+    def top(p: int) -> int:
+        while head[p] != p:
+            head[p] = p = head[head[p]]
+        return p
+
+    for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+        if (p := top(parts[i])) != (q := top(parts[j])):
+            head[max(p, q)] = min(p, q)
+            out.append((i, j))
+    return out
+
+
+def _blocked(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+
+        def links(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            raw = [open_.decompress(z) for _, _, z in group]
+            sets = shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), plan.shingle)
+            found = linked_pairs(sets, [p for _, p, _ in group], plan.percent)
+            ends = [[group[x[k]][0] for x in found] for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["u", "v"])
+
+        group, last = [], None
+        for batch in batches:
+            for key, node, part, z in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True), *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+                if key != last:
+                    if len({p for _, p, _ in group}) > 1:
+                        yield links(group)
+                    group, last = [], key
+                group.append((node, part, z))
+        if len({p for _, p, _ in group}) > 1:
+            yield links(group)
+
+    return run
+
+
+def _verify(pairs: DataFrame, z: DataFrame, plan: Plan, scratch: Scratch, name: str) -> DataFrame:
     """The pairs(x, y) whose full shingle sets are similar enough, as edges(u, v)."""
-    pairs = scratch.write(pairs.distinct(), f"{name}-pairs")
-    needed = pairs.select(F.col("x").alias("doc_id")).union(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    z = scratch.write(docs.join(needed, "doc_id", "left_semi").mapInArrow(_packed_text, "doc long, z binary"), f"{name}-z")
     left, right = z.withColumnsRenamed({"doc": "x", "z": "zx"}), z.withColumnsRenamed({"doc": "y", "z": "zy"})
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "zx", "zy")
+    both = pairs.hint("merge").join(left, "x").hint("merge").join(right, "y").select("x", "y", "zx", "zy")
     return scratch.write(both.mapInArrow(_verified(plan), "u long, v long"), f"{name}-edges")
 
 
@@ -175,30 +235,42 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     linked = signed.filter("doc_id is not null and n_shingles > 0")
     classes = linked.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
     nodes = scratch.write(classes.select("s1", "s2", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands")), "nodes")
+    # joins of what grows with the corpus are merge joins at every size; shared bands are a table of their own, so that frequent ones can be split
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1").select("band", "least")
-    members = scratch.write(banded.join(shared, "band"), "members")
+    shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"), "bands")
+    members = scratch.write(banded.hint("merge").join(shared, "band"), "members")
+    needed = members.select(F.col("node").alias("doc_id")).distinct()
+    z = scratch.write(docs.hint("merge").join(needed, "doc_id", "left_semi").mapInArrow(_packed_text, "doc long, z binary"), "z")
+    scratch.drop("bands")
 
     # a set can only be similar enough to one at least percent / 100 of its size
     close = lambda a, b: (100 * F.least(a, b) >= plan.percent * F.greatest(a, b))
     least = members.filter("node = least").select("band", F.col("n").alias("least_n"))
     stars = members.filter("node != least").join(least, "band").filter(close(F.col("n"), F.col("least_n"))).select(F.col("least").alias("x"), F.col("node").alias("y"))
-    first = _verify(stars, docs, plan, scratch, "star")
+    stars = scratch.write(stars.distinct(), "stars")
+    first = _verify(stars, z, plan, scratch, "star")
     parts = scratch.write(components(first, scratch, "first"), "parts")
 
-    placed = members.join(parts, members.node == parts.node, "left").select("band", members.node, "n", F.coalesce("component", members.node).alias("part"))
-    split = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("band")
+    placed = scratch.write(members.join(parts, members.node == parts.node, "left").select("band", members.node, "n", "size", F.coalesce("component", members.node).alias("part")), "placed")
+    split = scratch.write(placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("band"), "split")
     open_ = scratch.write(placed.join(split, "band"), "open")
-    a, b = open_.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")), open_.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
+    few, many = open_.filter(F.col("size") <= plan.small), open_.filter(F.col("size") > plan.small)
+    a, b = few.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")), few.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
     across = a.join(b, "band").filter((F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & close(F.col("nx"), F.col("ny"))).select("x", "y").distinct()
-    across = across.join(scratch.spark.read.parquet(f"{scratch.root}/star-pairs"), ["x", "y"], "left_anti")
-    second = _verify(across, docs, plan, scratch, "across")
-    whole = scratch.write(components(first.union(second), scratch, "whole"), "whole")
+    across = scratch.write(across.join(stars, ["x", "y"], "left_anti"), "across")
+    second = _verify(across, z, plan, scratch, "across")
+
+    blocks = F.ceil(F.col("size") / plan.block).cast("int")
+    dealt = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "band"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part")
+    dealt = dealt.join(z.withColumnRenamed("doc", "node"), "node").select("band", "i", "j", "node", "part", "z")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt.count() // 2000)
+    third = scratch.write(dealt.repartition(groups, "band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_blocked(plan), "u long, v long"), "blocked")
+    whole = scratch.write(components(first.union(second).union(third), scratch, "whole"), "whole")
 
-    # a doc_id with several texts is one node, so its classes belong together too
     table = nodes.join(whole, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
-    # the copies of one text may be very many: their rows are salted, the classes repeated for each salt only if large
-    rows = signed.drop("bands").join(table, ["s1", "s2", "n_shingles"], "left")
+    table = scratch.write(table, "table")
+    rows = signed.drop("bands").hint("merge").join(table, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
