@@ -79,8 +79,8 @@ class FingerprintIndex:
             self.scratch.drop(*old)
 
     def shared(self) -> DataFrame:
-        """Fingerprints (anchor) that stand in two documents or more."""
-        return self.merged().filter("lo < hi").select("anchor")
+        """Fingerprints (anchor) that stand in two documents or more; a table of its own, so that a join with it can split frequent ones."""
+        return self.scratch.write(self.merged().filter("lo < hi").select("anchor"), "anchors")
 
 
 def _found(plan: Plan):
@@ -110,7 +110,7 @@ def _finish(words: list[bytes], gone: np.ndarray | None) -> tuple[int, int, str,
 _DONE = "n_words long, n_removed long, kept_sha256 string, kept_text string, z binary, a binary, n binary, starts binary, f1 binary, f2 binary"
 
 
-def _half(plan: Plan, rest: pa.DataType | None, with_text: bool):
+def _half(plan: Plan, with_text: bool):
     """Finish documents without single windows to compare; pack the others with those windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +211,15 @@ def substring_dedup(docs: DataFrame, plan: Plan = Plan(), with_text: bool = Fals
 
     bodies = scratch.write(some.groupBy("anchor", "body").agg(F.min("d").alias("least")), "bodies")
     mixed = bodies.groupBy("anchor").count().filter("count > 1").select("anchor", F.lit(True).alias("mixed"))
-    bodies = bodies.join(mixed, "anchor", "left")
+    bodies = scratch.write(bodies.join(mixed, "anchor", "left"), "marked")
     judged = some.join(bodies, ["anchor", "body"]).filter("d > least or mixed")
     per = judged.groupBy("rk").agg(F.collect_list(F.struct("a", "n", (F.col("d") > F.col("least")).alias("full"))).alias("todo"))
     joined = rows.join(per, "rk", "left").select("rk", "d", "text", "rest", "todo")
     rest_type = rows.schema["rest"]
     schema = T.StructType([T.StructField("rk", T.LongType()), T.StructField("d", T.LongType()), rest_type, *T._parse_datatype_string(_DONE).fields])
-    half = scratch.write(joined.mapInArrow(_half(plan, None, with_text), schema), "half")
+    half = scratch.write(joined.mapInArrow(_half(plan, with_text), schema), "half")
+    del judged, per, joined
+    scratch.drop()
 
     open_ = half.filter("z is not null")
     windows = open_.select("rk", "d", "starts", "f1", "f2").mapInArrow(_windows, "rk long, d long, start int, f1 long, f2 long")
