@@ -3,7 +3,8 @@
 Bytes are embedded; learned filters of `width` bytes move over each chunk of `chunk` bytes in steps
 of `stride`. Chunks overlap by what a filter sees past its first bytes, so every window of the
 document lies in one of them. Each filter's largest response in a chunk is kept (max-pooling); a
-document's features are the mean and the maximum of its chunks' responses, and a logistic layer
+document's features are the mean, maximum and minimum of its chunks' responses (a chunk that repeats
+itself answers to few filters), and a logistic layer
 makes one probability of them. Training is plain back-propagation with Adam: only the place of
 the maximum passes a gradient on.
 
@@ -38,8 +39,8 @@ class Plan:
     embedding: int = 4
     width: int = 16
     stride: int = 4
-    filters: int = 16
-    chunk: int = 1024
+    filters: int = 24
+    chunk: int = 512
     sample: int = 3000
     longest: int = 20_000
     epochs: int = 10
@@ -59,7 +60,7 @@ class ByteCNN:
             "embed": r.normal(0, 0.5, (256, plan.embedding)).astype(np.float32),
             "filter": r.normal(0, window**-0.5, (window, plan.filters)).astype(np.float32),
             "bias": np.zeros(plan.filters, np.float32),
-            "out": r.normal(0, 0.1, 2 * plan.filters).astype(np.float32),
+            "out": r.normal(0, 0.1, 3 * plan.filters).astype(np.float32),
             "base": np.zeros(1, np.float32),
         }
         self.share: float | None = 0.5
@@ -96,8 +97,12 @@ class ByteCNN:
         raw, at = self.pool(rows)
         m = np.maximum(raw, 0)
         first = np.cumsum(n) - n
-        mean, top = np.add.reduceat(m, first) / n[:, None], np.maximum.reduceat(m, first)
-        return raw, at, m, np.concatenate([mean, top], 1), first
+        return raw, at, m, self.joined(m, n, first), first
+
+    @staticmethod
+    def joined(m: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Mean, maximum and minimum over each document's chunks."""
+        return np.concatenate([np.add.reduceat(m, first) / n[:, None], np.maximum.reduceat(m, first), np.minimum.reduceat(m, first)], 1)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of label 1 of each document."""
@@ -106,7 +111,7 @@ class ByteCNN:
         rows, n = self.chunks(data, offsets)
         pooled = np.concatenate([self.pool(rows[k : k + 128])[0] for k in range(0, len(rows), 128)])
         m, first = np.maximum(pooled, 0), np.cumsum(n) - n
-        f = np.concatenate([np.add.reduceat(m, first) / n[:, None], np.maximum.reduceat(m, first)], 1)
+        f = self.joined(m, n, first)
         return 1 / (1 + np.exp(-(f @ self.w["out"] + self.w["base"][0]).astype(float)))
 
     def fit(self, samples: list[bytes], labels: np.ndarray) -> ByteCNN:
@@ -140,8 +145,10 @@ class ByteCNN:
         d = (1 / (1 + np.exp(-(f @ self.w["out"] + self.w["base"][0]))) - labels) / len(labels)
         own = np.repeat(np.arange(len(n)), n)
         g = d[own, None] * self.w["out"][: p.filters] / n[own, None]
-        top = (m == f[own, p.filters :]).astype(float)
-        g += d[own, None] * self.w["out"][p.filters :] * top / np.add.reduceat(top, first)[own]  # equal chunks share it
+        for k in (1, 2):
+            part = slice(k * p.filters, (k + 1) * p.filters)
+            there = (m == f[own, part]).astype(float)
+            g += d[own, None] * self.w["out"][part] * there / np.add.reduceat(there, first)[own]  # equal chunks share it
         g = (g * (raw > 0)).astype(np.float32)
         place = at[:, :, None] * p.stride + np.arange(p.width)
         seen = rows[np.arange(len(rows))[:, None, None], place]
