@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the least id; rows that repeat it stay once."""
+    """One document of each near-duplicate class stays, the one with the least id; rows that repeat that id are that document and stay."""
     docs = docs.select(COLUMNS)
     verdict = near_dedup.near_duplicates(docs)
     # ids that go are fewer than those that stay, and a null id is never among them
