@@ -58,7 +58,7 @@ def fixed_offsets(docs: DataFrame, n: int) -> DataFrame:
 
 def range_shard(idx: Column, n: int, shards: int) -> Column:
     """Ranges of n div shards rows, the last one longer."""
-    return F.least(F.floor(idx / (n // shards)), F.lit(shards - 1)).cast("long")
+    return F.least(F.floor(idx / max(1, n // shards)), F.lit(shards - 1)).cast("long")
 
 
 def distribution(tokens: DataFrame, by: list[str] | None = None) -> DataFrame:
