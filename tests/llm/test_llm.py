@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import oracle
 from tokenlake.llm import decontamination, langid, license_scan, near_dedup, packing, quality_cnn, quality_rules, queries, substring_dedup, suffix_dedup, url_filter
 from tokenlake.llm.suffix_arrays import common_prefixes, eights, locate, suffix_array
 
@@ -416,12 +417,19 @@ def test_license_labels():
     assert s.scan(w.hash, s.numbers(w.hash))[3:5] == ("", "")
 
 
-def test_url_filter(spark, sf):
-    got = queries.op8_url_filter(spark, sf)
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(name, spark, sf):
+    assert oracle.compare(oracle.connect(sf), queries.queries()[name](spark, sf), queries.oracle_sql()[name]) == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op8_url_filter"}))
+def test_sql_odd(name, spark, tmp_path):
+    """Empty, short, very long and repetitive texts, and texts without words, in a table of distinct ids."""
+    table = [(i, text) for i, (_, text, _) in enumerate(ODD)] + [(90, "a b\n\na b\n \n#<x> a b"), (91, LONG[:-1]), (92, " ".join(["one two"] * 60))]
+    spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
-    expected = con.execute(f"select page_id, host, path, rule, verdict from ({queries.OP8_SQL}) order by all").fetchall()
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(con, queries.queries()[name](spark, str(tmp_path)), queries.oracle_sql()[name]) == ""
 
 
 def test_url_filter_odd(spark):

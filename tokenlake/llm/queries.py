@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import decontamination, langid, license_scan, near_dedup, packing, quality_cnn, quality_rules, substring_dedup, suffix_dedup, url_filter
+from tokenlake.llm import decontamination, langid, license_scan, near_dedup, oracles, packing, quality_cnn, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,5 +93,11 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rul
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the query that it can express over whole tables; the others are tested against brute force."""
-    return {"op8_url_filter": OP8_SQL}
+    """SQL for the queries that it can express over whole tables; the others are tested against brute force or held-out rows."""
+    return {
+        "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op5_repetition_quality": oracles.REPETITION_QUALITY,
+        "op7_near_dedup": oracles.NEAR_DEDUP,
+        "op8_url_filter": OP8_SQL,
+    }
