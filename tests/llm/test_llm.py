@@ -409,6 +409,18 @@ def test_license_automaton():
             assert automaton.ends[state] == has(n)
 
 
+def test_license_chain_looks_at_every_match_in_reach():
+    rng = np.random.default_rng(5)
+    s = license_scan.scanner(license_scan.Plan())
+    for most in (10, 400):
+        found = sorted({(int(x), int(y), int(n)) for x, y, n in zip(rng.integers(0, 900, 600), rng.integers(0, 900, 600), rng.integers(4, most, 600))})
+        best = []
+        for x, y, n in found:
+            before = [c for (x2, y2, n2), c in zip(found, best) if x2 + n2 <= x <= x2 + n2 + 50 and y2 + n2 <= y]
+            best.append(n + max(before, default=0))
+        assert s.chain(found)[0] == max(best)
+
+
 def test_license_labels():
     s = license_scan.scanner(license_scan.Plan())
     w = license_scan.words_of("Intro text. Licensed under the Apache License, Version 2.0. More. Released under the MIT License.")

@@ -178,10 +178,13 @@ class Scanner:
         best: list[tuple[int, int]] = []
         top = (0, 0, 0)
         found = sorted(found)
+        reach = 50 + max(n for _, _, n in found)  # no match that begins further back can be near enough
         for i, (x, y, n) in enumerate(found):
             cover, begin = n, x
-            for j in range(i - 1, max(-1, i - 200), -1):
+            for j in range(i - 1, -1, -1):
                 x2, y2, n2 = found[j]
+                if x - x2 > reach:
+                    break
                 if x2 + n2 <= x and y2 + n2 <= y and x - x2 - n2 <= 50 and best[j][0] + n > cover:
                     cover, begin = best[j][0] + n, best[j][1]
             best.append((cover, begin))
