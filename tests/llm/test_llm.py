@@ -419,6 +419,8 @@ def test_license_chain_looks_at_every_match_in_reach():
             before = [c for (x2, y2, n2), c in zip(found, best) if x2 + n2 <= x <= x2 + n2 + 50 and y2 + n2 <= y]
             best.append(n + max(before, default=0))
         assert s.chain(found)[0] == max(best)
+    behind = [(0, 0, 400), *((i, 5000 - 5 * i, 4) for i in range(1, 300)), (410, 410, 5)]
+    assert s.chain(behind)[0] == 405
 
 
 def test_license_labels():
