@@ -107,6 +107,9 @@ def test_flatten_then_split_is_the_identity(spark, sf):
     tail = spark.createDataFrame([(0, i, t) for i, t in enumerate("ab|c|d")], "shard long, at long, tok string")
     assert [r["tok"] for r in stream.split_flat(tail, "|").orderBy("doc", "pos").collect()] == ["a", "b", "c"]
     assert stream.split_flat(tail, "|", keep_tail=True).count() == 4
+    for width in (1, 2, 3):
+        same = stream.split_flat(tail, "|", keep_tail=True, width=width).orderBy("doc", "pos").collect()
+        assert same == stream.split_flat(tail, "|", keep_tail=True).orderBy("doc", "pos").collect()
 
 
 def test_sampling_is_reproducible_and_stays_in_the_top(spark, sf):
@@ -171,3 +174,11 @@ def test_tokenize_stream(spark, tmp_path):
         query = streaming.tokenize_stream(streaming.file_stream(spark, f"{tmp_path}/in"), tokenizers.Color(32, 8, 3), f"{tmp_path}/out", f"{tmp_path}/state")
         query.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_contexts_do_not_depend_on_ranges(spark, sf):
+    tokens = stream.words(spark.read.parquet(f"{sf}/documents.parquet").limit(20))
+    key = ["doc_id", "pos"]
+    whole = ngram.contexts(tokens, 4, width=1 << 30).orderBy(*key).collect()
+    assert whole and ngram.contexts(tokens, 4, width=5).orderBy(*key).collect() == whole
+    assert ngram.contexts(tokens, 4, width=1).orderBy(*key).collect() == whole

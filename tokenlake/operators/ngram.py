@@ -13,10 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def contexts(stream: DataFrame, n: int) -> DataFrame:
-    """(shard, doc_id, pos, tok, before): before holds up to n tokens before tok, the nearest last."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-n, -1)
-    return stream.select("shard", "doc_id", "pos", "tok", F.collect_list("tok").over(w).alias("before"))
+def contexts(stream: DataFrame, n: int, width: int = 65536) -> DataFrame:
+    """(shard, doc_id, pos, tok, before): before holds up to n tokens before tok, the nearest last.
+
+    A document is dealt over tasks in ranges of `width` places; a range gets the n tokens before it as well.
+    """
+    width = max(width, n)
+    part = F.floor(F.col("pos") / width)
+    parts = F.when(F.pmod(F.col("pos"), F.lit(width)) >= width - n, F.array(part, part + 1)).otherwise(F.array(part))
+    dealt = stream.select("shard", "doc_id", "pos", "tok", F.explode(parts).alias("part"))
+    w = Window.partitionBy("doc_id", "part").orderBy("pos").rowsBetween(-n, -1)
+    before = dealt.withColumn("before", F.collect_list("tok").over(w))
+    return before.filter(F.col("part") == part).select("shard", "doc_id", "pos", "tok", "before")
 
 
 def build_index(stream: DataFrame, n: int) -> DataFrame:

@@ -24,16 +24,20 @@ def flatten(df: DataFrame, separator) -> DataFrame:
     return df.select("shard", "doc_id", F.posexplode(F.concat("tokens", F.array(F.lit(separator)))).alias("pos", "tok"))
 
 
-def split_flat(df: DataFrame, separator, keep_tail: bool = False) -> DataFrame:
+def split_flat(df: DataFrame, separator, keep_tail: bool = False, width: int = 65536) -> DataFrame:
     """(shard, doc, pos, tok) of flat rows (shard, at, tok): documents are what stands before separators.
 
-    Tokens after a shard's last separator belong to no document and go, unless keep_tail.
+    Tokens after a shard's last separator belong to no document and go, unless keep_tail. Separators are
+    counted on two levels, within ranges of `width` places and over the ranges' totals, so that a shard
+    of any length is dealt over tasks.
     """
-    by = Window.partitionBy("shard").orderBy("at")
-    whole = Window.partitionBy("shard")
     sep = (F.col("tok") == F.lit(separator)).cast("long")
-    doc = F.sum(sep).over(by.rowsBetween(Window.unboundedPreceding, 0)) - sep
-    out = df.select("shard", "at", "tok", sep.alias("sep"), doc.alias("doc"), F.sum(sep).over(whole).alias("docs"))
+    part = df.select("shard", "at", "tok", sep.alias("sep"), F.floor(F.col("at") / width).alias("part"))
+    totals = part.groupBy("shard", "part").agg(F.sum("sep").alias("seps"))
+    by = Window.partitionBy("shard")
+    base = totals.select("shard", "part", (F.sum("seps").over(by.orderBy("part")) - F.col("seps")).alias("base"), F.sum("seps").over(by).alias("docs"))
+    own = F.sum("sep").over(Window.partitionBy("shard", "part").orderBy("at")) - F.col("sep")
+    out = part.withColumn("own", own).join(base, ["shard", "part"]).withColumn("doc", F.col("base") + F.col("own"))
     out = out.filter("sep = 0" if keep_tail else "sep = 0 and doc < docs")
     pos = F.row_number().over(Window.partitionBy("shard", "doc").orderBy("at")) - 1
     return out.select("shard", "doc", pos.alias("pos"), "tok")
