@@ -182,3 +182,12 @@ def test_contexts_do_not_depend_on_ranges(spark, sf):
     whole = ngram.contexts(tokens, 4, width=1 << 30).orderBy(*key).collect()
     assert whole and ngram.contexts(tokens, 4, width=5).orderBy(*key).collect() == whole
     assert ngram.contexts(tokens, 4, width=1).orderBy(*key).collect() == whole
+
+
+def test_places_do_not_depend_on_buckets(spark):
+    rows = [(d, at, at // 3, f"t{at}") for d in (1, 2, None) for at in range(11)] + [(4, None, None, "x"), (4, 7, 2, "y")]
+    df = spark.createDataFrame(rows, "d long, at long, part long, name string")
+    plain = stream.stream_of(df, "d", ["at"], F.col("name"), 3)
+    split = stream.stream_of(df, "d", ["at"], F.col("name"), 3, F.col("part"))
+    assert split.dtypes == plain.dtypes
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect())) and split.count() == len(rows)

@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stream_of(df: DataFrame, doc: str, order: list[str], tok: Column, shards: int = 1) -> DataFrame:
-    """One row per token from rows that are tokens already, in their order."""
-    pos = F.row_number().over(Window.partitionBy(doc).orderBy(*order)) - 1
-    return df.select(F.pmod(F.col(doc), F.lit(shards)).alias("shard"), F.col(doc).alias("doc_id"), pos.alias("pos"), tok.alias("tok"))
+def stream_of(df: DataFrame, doc: str, order: list[str], tok: Column, shards: int = 1, bucket: Column | None = None) -> DataFrame:
+    """One row per token from rows that are tokens already, in their order.
+
+    bucket: a column that never falls as rows advance in their order, such as the day of a time. A document's
+    places are then counted within buckets and over the buckets' sizes, so that a document of any length is
+    dealt over tasks; without it a document is numbered in one task.
+    """
+    rows = df.select(F.col(doc).alias("doc_id"), tok.alias("tok"), F.struct(*order).alias("at"), (F.lit(0) if bucket is None else bucket).alias("bucket"))
+    pos = F.row_number().over(Window.partitionBy("doc_id", "bucket").orderBy("at")) - 1
+    out = rows.withColumn("pos", pos)
+    if bucket is not None:
+        sizes = rows.groupBy("doc_id", "bucket").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("bucket")) - F.col("n")
+        base = sizes.select(F.col("doc_id").alias("d"), F.col("bucket").alias("b"), before.alias("base"))
+        both = out.join(base, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("bucket").eqNullSafe(F.col("b")))
+        out = both.withColumn("pos", (F.col("base") + F.col("pos")).cast("int"))
+    return out.select(F.pmod(F.col("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "pos", "tok")
 
 
 def words(df: DataFrame, shards: int = 1) -> DataFrame:

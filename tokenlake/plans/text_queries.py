@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def events(spark, sf):
-    return stream.stream_of(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type"), 4)
+    return stream.stream_of(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type"), 4, F.to_date("ts"))
 
 
 def turns(spark, sf):
