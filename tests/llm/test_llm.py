@@ -431,6 +431,25 @@ def test_license_labels():
     assert s.scan(w.hash, s.numbers(w.hash))[3:5] == ("", "")
 
 
+def test_license_matches_are_judged_by_template():
+    s = license_scan.scanner(license_scan.Plan())
+    w = license_scan.words_of("Licensed under the Apache License, Version 2.0. The parser is fast.")
+    got = s.scan(w.hash, s.numbers(w.hash))
+    assert got[4] == "apache,apache-2.0" and got[5] == 1.0
+    r = np.random.default_rng(9)
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    s.automaton = license_scan.Automaton(sequences := [r.integers(0, 3, int(n)).tolist() for n in r.integers(5, 40, 6)])
+    stream = r.integers(0, 3, 300)
+    expected = {}
+    for t, own in enumerate(sequences):
+        ends = lambda k, i: [j + k - 1 for j in range(len(own) - k + 1) if own[j : j + k] == stream[i - k + 1 : i + 1].tolist()]  # noqa: B023, E731
+        longest = [max(k for k in range(i + 2) if k == 0 or ends(k, i)) for i in range(len(stream))]
+        for i, n in enumerate(longest):
+            if n >= 4 and (i + 1 == len(stream) or longest[i + 1] <= n):
+                expected.setdefault(t, []).append((i - n + 1, min(ends(n, i)) - n + 1, n))
+    assert s.matches(stream) == expected
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(name, spark, sf):
     assert oracle.compare(oracle.connect(sf), queries.queries()[name](spark, sf), queries.oracle_sql()[name]) == ""

@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of every template. A text is streamed through it: after
 each word the state tells the longest run of words, ending there, that some template has (its
-matching statistic). Runs that cannot be made longer and have at least `least` words are the
-matches of the templates they stand in; per template they are chained, in order in text and
+matching statistic), and the suffix links behind it the longest such run of every other template.
+Each template's own runs that its next word does not make longer and that have at least `least`
+words are its matches; per template they are chained, in order in text and
 template, and the words of the template that a chain covers make its score. A template counts as
 found when a chain covers `share` of it or one match has `long` words.
 
@@ -137,6 +138,17 @@ class Automaton:
             out.append((n, state))
         return out
 
+    def runs(self, n: int, state: int, least: int) -> dict[int, tuple[int, int]]:
+        """By template: (words, first end in the template) of its longest run that ends where the longest of all, n words in this state, does."""
+        out: dict[int, tuple[int, int]] = {}
+        while state and n >= least:
+            for t, end in self.ends[state].items():
+                if t not in out:
+                    out[t] = (n, end)
+            state = self.link[state]
+            n = self.length[state]
+        return out
+
 
 class Scanner:
     """Templates, their automaton and the word table."""
@@ -156,7 +168,7 @@ class Scanner:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
     def matches(self, numbers: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """By template: (start in the text, start in the template, words) of the matches that cannot be made longer."""
+        """By template: (start in the text, start in the template, words) of its matches that it cannot make longer."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         known = np.concatenate([[False], numbers >= 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
@@ -164,10 +176,13 @@ class Scanner:
             if b - a < self.plan.least:
                 continue
             stats = self.automaton.statistics(numbers[a:b].tolist())
-            for k, (n, state) in enumerate(stats):
-                if n >= self.plan.least and (k + 1 == len(stats) or stats[k + 1][0] <= n):
-                    for t, end in self.automaton.ends[state].items():
+            now = self.automaton.runs(*stats[0], self.plan.least)
+            for k in range(len(stats)):
+                after = self.automaton.runs(*stats[k + 1], self.plan.least) if k + 1 < len(stats) else {}
+                for t, (n, end) in now.items():
+                    if t not in after or after[t][0] <= n:
                         found.setdefault(t, []).append((int(a) + k - n + 1, end - n + 1, n))
+                now = after
         return found
 
     def chain(self, found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
