@@ -269,6 +269,22 @@ def test_decontamination_odd(spark, odd):
     assert decontamination.drop_contaminated(odd, items).count() == len(ODD) - 6
 
 
+def test_decontamination_short_items(spark):
+    texts = ["So: what is 2 + 2? Four.", "What is 2 + 22", "问：你叫什么名字？答", "前问你叫什么名字答后", "a yes-man", "eyes yesterday", "x" * 30 + " WHAT IS 2 2", "", None, "café", "caf"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = [(1, "What is 2 + 2?"), (2, "你叫什么名字"), (3, "Yes!"), (4, "yes"), (5, "?!"), (6, None), (7, "caf")]
+    items = spark.createDataFrame(short, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["edits"], r["n_bytes"]) for r in rows(decontamination.contaminated(docs, items))}
+    assert got == {(0, 1): (3, 0, 11), (6, 1): (31, 0, 11), (2, 2): (4, 0, 18), (3, 2): (6, 0, 18), (4, 3): (2, 0, 3), (4, 4): (2, 0, 3), (10, 7): (0, 0, 3)}
+    assert {r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()} == {1, 5, 7, 8, 9}
+    r = np.random.default_rng(10)
+    some = ["".join(r.choice(list("ab "), int(n))).strip().replace("  ", " ") for n in r.integers(1, 19, 60)]
+    found = decontamination.Items(list(range(60)), [x.encode() for x in some])
+    texts = [re.sub(" +", " ", "".join(r.choice(list("ab "), int(n)))).strip() for n in r.integers(0, 200, 60)]
+    expected = {(d, x, f" {t} ".index(f" {x} ")) for d, t in enumerate(texts) for x in some if x and f" {x} " in f" {t} "}
+    assert {(d, found.texts[i].decode(), start) for d, i, start, edits in found.find([t.encode() for t in texts])} == expected
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(which, request):
     from public_tokenizers import path

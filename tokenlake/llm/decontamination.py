@@ -11,8 +11,12 @@ The benchmark is taken in blocks of at most `block_bytes`, each against all text
 held at a time, so neither table is assumed small. k is `percent` of m, and less where the lemma
 would leave no q-gram to count.
 
-Defined results: null or empty texts and items match nothing; items shorter than q after
-normalisation match verbatim only; repeated rows are matched once each; null ids are carried.
+Items under `least` bytes leave the lemma too few q-grams: they are looked for verbatim, by a hash
+of their length at each byte of a text, and count where they begin and end at word boundaries.
+Scripts written without spaces between words have a boundary beside each of their characters.
+
+Defined results: null texts and items, and those empty after normalisation, match nothing; items
+under `least` bytes after normalisation match verbatim only; repeated rows are matched once each; null ids are carried.
 """
 
 from __future__ import annotations
@@ -32,11 +36,13 @@ from tokenlake.llm.store import text_batches
 SCHEMA = "doc_id long, item_id long, start long, edits int, n_bytes int"
 
 _OTHER = re.compile(r"[\W_]+")
+#: Thai to Burmese, Khmer, and Chinese and Japanese: written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 @dataclass(frozen=True)
 class Plan:
-    """q: bytes of a gram; percent: edits allowed, of an item's bytes; least: shortest item looked for; block_bytes: items held at a time."""
+    """q: bytes of a gram; percent: edits allowed, of an item's bytes; least: shortest item for which edits are allowed; block_bytes: items held at a time."""
 
     q: int = 12
     percent: int = 5
@@ -49,18 +55,34 @@ def normalise(text: str | None) -> bytes:
     return _OTHER.sub(" ", (text or "").lower()).strip().encode()
 
 
+def bounded(text: bytes, start: int, end: int) -> bool:
+    """Does text[start:end], whole characters, begin and end at word boundaries of a normalised text?"""
+
+    def boundary(at: int) -> bool:
+        beside = text[max(0, at - 4) : at].decode(errors="ignore")[-1:], text[at : at + 4].decode(errors="ignore")[:1]
+        return "" in beside or " " in beside or any(map(_UNSPACED.match, beside))
+
+    return boundary(start) and boundary(end)
+
+
 class Items:
-    """The q-grams of a block of benchmark items."""
+    """The q-grams of a block of benchmark items, and its short items by length."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes], plan: Plan = Plan()):
-        kept = [(i, t) for i, t in zip(ids, texts, strict=True) if len(t) >= plan.least]
-        self.plan, self.ids, self.texts = plan, [i for i, _ in kept], [t for _, t in kept]
-        self.size = np.array([len(t) for t in self.texts], np.int64)
+        rows = list(zip(ids, texts, strict=True))
+        kept = [(i, t) for i, t in rows if len(t) >= plan.least]
+        low = [(i, t) for i, t in rows if 0 < len(t) < plan.least]
+        self.plan, self.ids, self.texts = plan, [i for i, _ in kept + low], [t for _, t in kept + low]
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for k, (_, t) in enumerate(low, len(kept)):
+            self.short.setdefault(len(t), {}).setdefault(t, []).append(k)
+        self.short_keys = {n: np.unique([grams(BYTE_VALUES[np.frombuffer(t, np.uint8)], n)[0] for t in by]) for n, by in self.short.items()}
+        self.size = np.array([len(t) for _, t in kept], np.int64)
         room = np.maximum((self.size - plan.q) // plan.q, 0)
         self.edits = np.minimum(self.size * plan.percent // 100, room)
         self.need = np.maximum(self.size - plan.q + 1 - self.edits * plan.q, 1)
         hashes, item, place = [], [], []
-        for k, t in enumerate(self.texts):
+        for k, (_, t) in enumerate(kept):
             h = grams(BYTE_VALUES[np.frombuffer(t, np.uint8)], plan.q)
             hashes.append(h)
             item.append(np.full(len(h), k))
@@ -140,11 +162,26 @@ class Items:
         best = int(line.argmin())
         return int(line[best]), max(0, low + best)
 
+    def verbatim(self, texts: list[bytes], data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """(document, item): (0, start) of the first place of each short item."""
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for n, by in self.short.items():
+            h, keys = grams(BYTE_VALUES[data], n), self.short_keys[n]
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+            doc = np.searchsorted(offsets, at, "right") - 1
+            inside = at + n <= offsets[doc + 1]
+            for d, i in zip(doc[inside].tolist(), at[inside].tolist(), strict=True):
+                same = by.get(data[i : i + n].tobytes(), [])
+                if same and (d, same[0]) not in out and bounded(texts[d], i - int(offsets[d]), i - int(offsets[d]) + n):
+                    out.update({(d, k): (0, i - int(offsets[d])) for k in same})
+        return out
+
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, start, edits): the best place of each item that stands in a text."""
         offsets = np.cumsum([0, *(len(t) for t in texts)])
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, item, band in zip(*(x.tolist() for x in self.candidates(np.frombuffer(b"".join(texts), np.uint8), offsets)), strict=True):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        best = self.verbatim(texts, data, offsets)
+        for d, item, band in zip(*(x.tolist() for x in self.candidates(data, offsets)), strict=True):
             if best.get((d, item), (1,))[0] == 0:
                 continue
             edits, start = self.align(texts[d], item, band)
