@@ -312,6 +312,19 @@ def test_packing(which, request):
     assert len(sequences) <= max(-(-total // 1024) + 1, 1.02 * total / 1024)
 
 
+def test_packing_special_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|><|endoftext|>", "a<|endoftext|>b\n <|endoftext|>", "<|endoftext| >", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    for plan in (packing.Plan(), packing.Plan(vocabulary=path("byte_bpe_50k.json"))):
+        for x in texts:
+            assert packing.encoder(plan.vocabulary)(x) == t.encode(x, add_special_tokens=False).ids
+        got = rows(packing.best_fit_packing(spark.createDataFrame([(1, texts[1])], "doc_id long, text string"), plan))
+        assert [(r["length"], r["ids_crc32"]) for r in got] == [(3, zlib.crc32(np.array([50256, 50256, 2], "<u4").tobytes()))]
+
+
 def test_packing_uses_the_histogram_up():
     r = np.random.default_rng(7)
     for n in (0, 1, 50, 5000):

@@ -47,21 +47,23 @@ class Plan:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids. Special tokens' strings in a text are ordinary text."""
+    """text -> ids. A special token's string in a text is that token, as it is in the .json file."""
     import public_tokenizers
 
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    public = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = path or public
+    special = {"<|endoftext|>": 50256} if path == public else {}  # rank files name no special tokens
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: t.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    t = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: t.encode(text, allowed_special="all")
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
