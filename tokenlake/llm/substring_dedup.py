@@ -1,9 +1,10 @@
-"""Substring deduplication with a log-structured fingerprint index.
+"""Substring deduplication with a fingerprint index in sorted runs.
 
-Documents arrive in batches. The windows of a batch are reduced to content-defined blocks
+The table is taken in batches. The windows of a batch are reduced to content-defined blocks
 (tokenlake.llm.blocks), whose anchor fingerprints are aggregated and written as a sorted immutable
-run; runs are merge-joined on the fingerprint to find those that two documents share, and are
-compacted into one. Only blocks with a shared fingerprint are looked at again:
+run. It is not incremental: no batch is joined with earlier runs; after the last one all runs are
+united, aggregated into one and, once it has told which fingerprints two documents share, deleted.
+Only blocks with a shared fingerprint are looked at again:
 
 * a block whose content also stands in a document with a smaller id is covered whole;
 * of blocks that share a fingerprint but not their content, the first document's windows are
