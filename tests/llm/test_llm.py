@@ -86,6 +86,38 @@ def test_substring_dedup_takes_any_number_of_batches(docs):
     assert sorted((r["rest"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(brute_substring(pairs(docs), 12))
 
 
+def kept(df):
+    return sorted((r["rest"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(df))
+
+
+def test_fingerprint_index_takes_further_tables(docs, spark, tmp_path):
+    """A table after the other, with compaction, in an index that is opened anew each time, gives what one table gives."""
+    plan = substring_dedup.Plan(window=12, gram=4, fanout=2)
+    parts = list(substring_dedup._parts(docs, 5))
+    got, levels = [], []
+    for part in parts:
+        index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", plan)
+        got += kept(index.deduplicate(part))
+        levels.append(sorted(x for x, _ in index.runs))
+        index.close()
+    assert levels == [[0], [1], [0, 1], [2], [0, 2]]
+    assert sorted(got) == sorted(brute_substring(pairs(docs), 12))
+    # the same table again: every window stands in the index, so only what no window covers stays
+    again = kept(substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index").deduplicate(docs))
+    assert [(d, n, n if n >= 12 else 0) for d, n, _, _ in again] == [(d, n, gone) for d, n, gone, _ in again]
+
+
+def test_many_equal_rows(spark):
+    """Rows of one id and text, and copies of a text, cost as much each as one of them."""
+    text = " ".join(f"w{i % 700}" for i in range(1200))
+    table = spark.createDataFrame([(7, text)] * 300 + [(100 + i, text) for i in range(100)], "doc_id long, text string")
+    key = lambda x: x
+    got = rows(substring_dedup.substring_dedup(table))
+    assert sorted([(r["rest"]["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=key) == sorted(brute_substring(pairs(table)), key=key)
+    got = rows(suffix_dedup.suffix_dedup(table))
+    assert len(got) == 400 and {(r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {(len(text), len(text), 1)}
+
+
 def brute_bytes(table, window=200):
     count = Counter()
     for _, text in table:

@@ -2,8 +2,13 @@
 
 A text column arrives as one contiguous UTF-8 buffer with offsets, so every primitive works on
 the bytes of many documents at once; nothing here builds a Python string per word.
-Hashes are sums of per-symbol random values times powers of an odd base, modulo 2**64, finished
-with a 64-bit mixer; they depend on content alone, never on process, platform or position.
+A run's hash adds up terms in which symbol and place are mixed without being linear in either, and
+a gram's hash joins its halves with a mixing step between, so no pattern of symbols cancels itself
+out, as it would in a polynomial modulo 2**64. Hashes depend on content alone, never on process,
+platform or position.
+
+Whatever has an entry for each byte is made a segment at a time, so a text of any length costs its
+own bytes, its words' entries and a bounded rest.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that one vectorised step holds; a longer single document is a step of its own.
 STEP_BYTES = 1 << 20
+#: Symbols of a long document that are expanded at a time.
+SEGMENT = 1 << 19
 #: Word separators: space and the control characters 9 to 13.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -82,76 +89,138 @@ def texts(batch: pa.RecordBatch, name: str, step: int = STEP_BYTES) -> Iterator[
 class Words:
     """The words of several documents laid end to end.
 
-    start, end: byte range of each word; doc: its document; first: index of each document's first
-    word, with one entry more; hash: content hash of each word, from lower-cased bytes if asked.
+    start, length: byte range of each word; doc: its document; first: index of each document's first
+    word, with one entry more; hash: content hash of each word, from lower-cased bytes if asked; hashes
+    with different seeds are independent.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, is_space: np.ndarray = IS_SPACE):
-        self.data, self.offsets = data, offsets
-        inside = ~is_space[data]
-        opens = inside.copy()
-        opens[1:] &= ~inside[:-1]
-        bounds = offsets[:-1][(offsets[:-1] < offsets[1:])]
-        opens[bounds] |= inside[bounds]
-        self.start = np.flatnonzero(opens)
-        packed = np.cumsum(inside)
-        # a word ends before the next separator or document: its length is counted in packed bytes
-        before = packed[self.start] - 1 if len(self.start) else np.zeros(0, np.int64)
-        total = int(packed[-1]) if len(packed) else 0
-        self.length = np.diff(np.append(before, total))
-        self.end = self.start + self.length
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, is_space: np.ndarray = IS_SPACE, seed: int = 0):
+        start, length, hashes = [], [], []
+        for a, b in segments(data, is_space):
+            part = data[a:b]
+            inside = ~is_space[part]
+            opens, closes = inside.copy(), inside.copy()
+            opens[1:] &= ~inside[:-1]
+            closes[:-1] &= ~inside[1:]
+            cuts = offsets[(offsets > a) & (offsets < b)] - a
+            opens[cuts] |= inside[cuts]
+            closes[cuts - 1] |= inside[cuts - 1]
+            start.append(np.flatnonzero(opens) + a)
+            length.append((np.flatnonzero(closes) + a + 1 - start[-1]).astype(np.int32))
+            chars = part[inside]
+            hashes.append(hash_runs(LOWER[chars] if lower else chars, length[-1], seed))
+        self.start = np.concatenate([np.zeros(0, np.int64), *start])
+        self.length = np.concatenate([np.zeros(0, np.int32), *length])
+        self.hash = np.concatenate([np.zeros(0, U64), *hashes])
         self.first = np.searchsorted(self.start, offsets)
-        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        chars = data[inside]
-        if lower:
-            chars = LOWER[chars]
-        self.hash = hash_runs(chars, before, self.length)
+        self.doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(self.first))
+
+    @property
+    def end(self) -> np.ndarray:
+        return self.start + self.length
+
+
+def segments(data: np.ndarray, is_space: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SEGMENT bytes that end before a separator."""
+    a = 0
+    while a < len(data):
+        b = a + SEGMENT
+        while b < len(data):
+            found = np.flatnonzero(is_space[data[b : b + 4096]])
+            if len(found):
+                b += int(found[0])
+                break
+            b += 4096
+        yield a, min(b, len(data))
+        a = b
+
+
+def hash_runs(chars: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Content hash of each run of symbols; runs follow each other without gaps, none is empty."""
+    out = np.zeros(len(length), U64)
+    end = np.cumsum(length, dtype=np.int64)
+    start = end - length
+    offset = U64((seed + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))
+    for lo in range(0, len(chars), SEGMENT):
+        hi = min(lo + SEGMENT, len(chars))
+        a, b = np.searchsorted(end, lo, "right"), np.searchsorted(start, hi)
+        at = np.maximum(start[a:b] - lo, 0)
+        size = np.minimum(end[a:b], hi) - lo - at
+        x = np.arange(lo, hi, dtype=np.int64)
+        x -= np.repeat(start[a:b], size)
+        x = x.view(U64)
+        x *= U64(BASE)
+        x += offset
+        x ^= BYTE_VALUES[chars[lo:hi]]
+        x ^= x >> U64(32)
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(29)
+        out[a:b] += np.add.reduceat(x, at)
+    return mix(out + length.astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def grams(values: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of values[i:i+n] for each i; n is reached by doubling, shorter results at the end are left out."""
+    total = max(len(values) - n + 1, 0)
+    if total <= 2 * SEGMENT:
+        return _grams(values, n, seed) if total else np.zeros(0, U64)
+    out = np.empty(total, U64)
+    for k in range(0, total, SEGMENT):
+        out[k : k + SEGMENT] = _grams(values[k : k + SEGMENT + n - 1], n, seed)
+    return out
 
 
-def hash_runs(chars: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Content hash of each run chars[start:start+length]; the runs cover chars without gaps, none is empty."""
-    if not len(start):
-        return np.zeros(0, U64)
-    inner = np.arange(len(chars)) - np.repeat(start, length)
-    terms = BYTE_VALUES[chars] * powers(int(length.max()))[inner]
-    return mix(np.add.reduceat(terms, start) + length.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(seed))
+def _grams(values: np.ndarray, n: int, seed: int) -> np.ndarray:
+    total = len(values) - n + 1
 
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * U64(BASE)
+        x += b
+        x ^= x >> U64(29)
+        return x
 
-def grams(values: np.ndarray, n: int, base: int = BASE) -> np.ndarray:
-    """Hash of values[i:i+n] for each i; n is reached by doubling, shorter results at the end are left out."""
-    if len(values) < n:
-        return np.zeros(0, U64)
-    out, have, done, size = None, values, 0, 1
-    rest = n
+    out, have, done, size, rest = None, values, 0, 1, n
     while rest:
         if rest & 1:
-            part = have[done:]
-            if out is None:
-                out = part
-            else:
-                m = min(len(out), len(part))
-                out = out[:m] + part[:m] * U64(pow(base, done, 2**64))
+            part = have[done : done + total]
+            out = part if out is None else join(out, part)
             done += size
         rest >>= 1
         if rest:
-            have = have[:-size] + have[size:] * U64(pow(base, size, 2**64))
+            have = join(have[:-size], have[size:])
             size *= 2
-    return mix(out[: len(values) - n + 1])
+    return mix(out ^ U64(seed))
+
+
+class Ranks:
+    """How many of a mask's places before a given one are set, in one bit and one byte for each place."""
+
+    def __init__(self, mask: np.ndarray):
+        self.bits = np.append(np.packbits(mask), np.uint8(0))
+        self.sums = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits), dtype=np.int64)])
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        byte = at >> 3
+        return self.sums[byte] + np.bitwise_count(self.bits[byte].astype(np.uint16) >> (8 - (at & 7)).astype(np.uint16))
 
 
 class Spans:
-    """Hashes of arbitrary ranges of a value array, from prefix sums and the inverse of the base."""
+    """Hashes of ranges of at least CONTEXT values, from prefix sums and the inverse of the base.
+
+    What is summed are hashes of CONTEXT values each, so that two values alone cannot make the sums of different ranges equal.
+    """
+
+    CONTEXT = 4
 
-    def __init__(self, values: np.ndarray, base: int = BASE):
-        n = len(values)
-        self.base = base
+    def __init__(self, values: np.ndarray):
+        mixed = grams(values, self.CONTEXT)
+        n = len(mixed)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * powers(n, base), out=self.sums[1:])
+        np.cumsum(mixed * powers(n), out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = pow(self.base, -1, 2**64)
-        back = powers(len(self.sums), inverse)[start]
-        return mix((self.sums[end] - self.sums[start]) * back + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        back = powers(len(self.sums), pow(BASE, -1, 2**64))[start]
+        return mix((self.sums[end - self.CONTEXT + 1] - self.sums[start]) * back + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
 
 def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
@@ -177,7 +246,8 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Boolean mask of length n: inside at least one half-open range."""
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, end, -1)
-    return np.cumsum(edge[:-1]) > 0
+    np.cumsum(edge, out=edge)
+    return edge[:-1] > 0

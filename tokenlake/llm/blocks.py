@@ -16,21 +16,40 @@ from __future__ import annotations
 
 import numpy as np
 
-from tokenlake.llm.arrays import U64, Spans, grams, mix, ranges, sliding_min
+from tokenlake.llm.arrays import SEGMENT, U64, Spans, grams, mix, ranges, sliding_min
 
 
-def find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides: bool = False) -> dict[str, np.ndarray]:
-    """Blocks of documents values[first[i]:first[i+1]].
+def find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides: bool = False, table: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Blocks of documents values[first[i]:first[i+1]]; with a table, of table[values].
 
     doc: document; a: first window start within it; n: number of window starts; anchor: hash of the
     anchor's gram; body: hash of all symbols that the block's windows cover and the anchor's place;
     left, right: 32-bit hashes of the sides, 0 where no window reaches so far.
+
+    A long document is taken in segments. What a segment finds last may go on behind it, so the next
+    segment begins with that block's first window, and the blocks are those of the whole document.
     """
+    if len(first) != 2 or len(values) <= 2 * SEGMENT:
+        return _find(values if table is None else table[values], first, window, gram, sides)
+    parts, at, n = [], int(first[0]), int(first[1])
+    while True:
+        stop = min(n, at + SEGMENT)
+        part = values[at:stop]
+        got = _find(part if table is None else table[part], np.array([0, stop - at]), window, gram, sides)
+        got["a"] = got["a"] + (at - int(first[0]))
+        if stop == n:
+            parts.append(got)
+            return {k: np.concatenate([p[k] for p in parts]) for k in got}
+        at = int(got["a"][-1]) + int(first[0])
+        parts.append({k: v[:-1] for k, v in got.items()})
+
+
+def _find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides: bool) -> dict[str, np.ndarray]:
     count = np.maximum(np.diff(first) - window + 1, 0)
     s = ranges(first[:-1], count)
     if not len(s):
         none = np.zeros(0, np.int64)
-        return {"doc": none, "a": none, "n": none, "anchor": none, "body": none, "left": none, "right": none}
+        return dict.fromkeys(["doc", "a", "n", "anchor", "body", *(["left", "right"] if sides else [])], none)
     gram_hash = grams(values, gram)
     bits = U64(max(20, len(values).bit_length()))
     key = ((gram_hash >> bits) << bits) | np.arange(len(gram_hash), dtype=U64)

@@ -3,7 +3,8 @@
 One pass without a shuffle. For every document the words of 5- to 10-word windows and whole lines
 are hashed by content; what counts is how many characters lie inside windows or lines that stand
 in the text a second time. Hashes are compared within one document only (64 bits, mixed with the
-document's place), so a document's figures never depend on its neighbours.
+document's place), so a document's figures never depend on its neighbours. Keys of a long text are sorted a
+share of their values at a time.
 
 Defined results: a null or empty text has zero words and fails the word-count rule; null ids pass
 through; repeated rows and extra columns are judged row by row; an empty table gives an empty one.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.arrays import U64, Words, covered, grams, hash_runs, mix, ranges, texts
+from tokenlake.llm.arrays import SEGMENT, U64, Ranks, Words, covered, grams, hash_runs, mix, ranges, texts
 from tokenlake.llm.store import text_batches
 
 #: Most of a text's word characters inside later copies of n-word windows, by n.
@@ -37,15 +38,20 @@ _SALT = U64(0xC2B2AE3D27D4EB4F)
 
 
 def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(is the first of its equals, stands at least twice) for each key."""
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    twice = ~new
-    twice[:-1] |= ~new[1:]
+    """(is the first of its equals, stands at least twice) for each key; many keys are sorted a share of their values at a time."""
     first, several = np.empty(len(key), bool), np.empty(len(key), bool)
-    first[order], several[order] = new, twice
+    shares = 1 << max(0, (len(key) // (2 * SEGMENT)).bit_length())
+    for k in range(shares):
+        own = np.flatnonzero(key % U64(shares) == U64(k)) if shares > 1 else None
+        part = key if own is None else key[own]
+        order = np.argsort(part, kind="stable")
+        ranked = part[order]
+        new = np.ones(len(part), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        twice = ~new
+        twice[:-1] |= ~new[1:]
+        at = order if own is None else own[order]
+        first[at], several[at] = new, twice
     return first, several
 
 
@@ -53,16 +59,14 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The figures of each document of one byte buffer."""
     n = len(offsets) - 1
     words = Words(data, offsets)
-    spaces = np.ones(len(data) + 1, bool)
-    spaces[words.start] = False
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    size = points[words.end] - points[words.start]
+    points = Ranks((data & 0xC0) != 0x80)
+    size = points(words.end) - points(words.start)
     per_doc = lambda at, weight=None: np.bincount(at, weight, n)[:n]
     word_chars = per_doc(words.doc, size)
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
-    marks = np.concatenate([[0], np.cumsum(symbol[data])])
-    out = {"n_words": np.diff(words.first), "word_chars": word_chars, "n_symbols": marks[offsets[1:]] - marks[offsets[:-1]]}
+    marks = Ranks(symbol[data])(offsets)
+    out = {"n_words": np.diff(words.first), "word_chars": word_chars, "n_symbols": np.diff(marks)}
 
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], breaks[breaks + 1 < len(data)] + 1]))
@@ -71,16 +75,15 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_doc = np.searchsorted(offsets, begin, "right") - 1
     full = stop > begin
     begin, stop, line_doc = begin[full], stop[full], line_doc[full]
-    packed = np.concatenate([[0], np.cumsum(data != 10)])
-    line_hash = hash_runs(data[data != 10], packed[begin], stop - begin, seed=5)
+    line_hash = hash_runs(data[data != 10], stop - begin, seed=5)
     wordy = np.searchsorted(words.start, stop) > np.searchsorted(words.end, begin, "right")
     begin, stop, line_doc, line_hash = begin[wordy], stop[wordy], line_doc[wordy], line_hash[wordy]
     later = ~_first_of(mix(line_hash + line_doc.astype(U64) * _SALT))[0]
     out["n_dup_lines"] = per_doc(line_doc[later])
-    chars = np.maximum(points[offsets[1:]] - points[offsets[:-1]], 1)
-    out["dup_line_chars"] = per_doc(line_doc[later], (points[stop] - points[begin])[later]) / chars
+    ends = points(offsets)
+    chars = np.maximum(np.diff(ends), 1)
+    out["dup_line_chars"] = per_doc(line_doc[later], (points(stop) - points(begin))[later]) / chars
 
-    total = np.concatenate([[0], np.cumsum(size)])
     alive = np.ones(len(words.hash), bool)
     failed = out["dup_line_chars"] > DUP_LINE_CHARS
     worst = np.zeros(n)
@@ -95,7 +98,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         alive = np.zeros(len(words.hash), bool)
         alive[at[twice]] = True
         inside = covered(len(words.hash), at[~first], at[~first] + k)
-        share = per_doc(words.doc[inside], (total[1:] - total[:-1])[inside]) / np.maximum(word_chars, 1)
+        share = per_doc(words.doc[inside], size[inside]) / np.maximum(word_chars, 1)
         failed |= share > most
         worst = np.maximum(worst, share)
     out["dup_ngram_chars"] = worst

@@ -46,5 +46,6 @@ class Scratch:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Limit Arrow batches of whole texts, so that a Python worker holds few of them at once."""
+    """Limit Arrow batches of whole texts by rows and bytes, for the session, so that a Python worker holds few of them at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
