@@ -67,3 +67,41 @@ def test_ranks():
     mask = np.random.default_rng(3).integers(0, 2, 1003).astype(bool)
     at = np.arange(1004)
     assert (Ranks(mask)(at) == np.concatenate([[0], np.cumsum(mask)])).all()
+
+
+def test_long_texts_in_parts_give_the_same(monkeypatch):
+    from tokenlake.llm import decontamination, langid, packing, quality_cnn
+
+    r = np.random.default_rng(4)
+    kinds = ["word", "Été", "x1", "日本", "--", "'s", "12", "<|endoftext|>", "ΑΣ", "\n", "a" * 300]
+    text = "".join(f"{kinds[int(k)]}{' ' * int(n)}" for k, n in zip(r.integers(0, len(kinds), 6000), r.choice([0, 1, 1, 1, 2], 6000), strict=True))
+    encode = packing.encoder("")
+    for step in (1, 50, 5000):
+        parts = list(packing.cuts(text, step))
+        assert "".join(parts) == text and sum((encode(x) for x in parts), []) == encode(text)
+    assert len(list(packing.cuts(text, 50))) > 50
+
+    whole_ = decontamination.normalise(text)
+    items = decontamination.Items([1, 2, 3], [whole_[9000:9100], whole_[20000:20400].replace(b"word", b"werd", 2), b"x1"])
+    found = items.find([whole_, b"x1", whole_[:50]])
+    monkeypatch.setattr(decontamination, "PIECE", 700)
+    assert decontamination.normalise(text) == whole_
+    again = items.find([whole_, b"x1", whole_[:50]])
+    assert found and [(d, i, e) for d, i, _, e in found] == [(d, i, e) for d, i, _, e in again]
+    assert [x for x in found if x[3] == 0] == [x for x in again if x[3] == 0]
+
+    model = langid.Identifier({"a": ["abc abd abe " * 20, "bca cab"], "b": ["xyz xzy yyx " * 20, "zzy word été"]})
+    bits, letters = model.entropies([text])
+    short = model.entropies([text[:3000]])
+    for piece, of, expected in ((1000, text, (bits, letters)), (1, text[:3000], short), (7, text[:3000], short)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        b, n = model.entropies([of])
+        assert np.allclose(b, expected[0]) and (n == expected[1]).all()
+
+    net = quality_cnn.ByteCNN(quality_cnn.Plan(filters=3))
+    net.share = None
+    data, offsets = whole(text)
+    rows, n = net.chunks(data, offsets)
+    m = np.maximum(net.pool(rows)[0], 0)
+    f = net.joined(m, n, np.array([0]))
+    assert np.allclose(net.score(data, offsets), 1 / (1 + np.exp(-(f @ net.w["out"] + net.w["base"][0]))))

@@ -245,9 +245,20 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Boolean mask of length n: inside at least one half-open range."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, end, -1)
-    np.cumsum(edge, out=edge)
-    return edge[:-1] > 0
+    """Boolean mask of length n: inside at least one half-open range; ranges may reach beyond n."""
+    if not len(start):
+        return np.zeros(n, bool)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    edge = np.zeros(n + 1, np.int8)
+    edge[np.minimum(start[new], n)] = 1
+    edge[np.minimum(end[np.append(new[1:], True)], n)] = -1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
+def fields(column: pa.ListArray, i: int, *names: str) -> list[np.ndarray]:
+    """The fields of row i of a list of structs, as arrays."""
+    at = column.values.slice(column.offsets[i].as_py(), len(column[i]))
+    return [at.field(at.type.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names]

@@ -1,27 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is spark.checkpoint.dir; a local one is made only where the session names none, as in
-tests. A table written there cuts lineage and outlives any executor.
+A table written there cuts lineage and outlives any executor.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, else a new local one for this application."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{(own := tempfile.mkdtemp(prefix='tokenlake-'))}"
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from tokenlake.functions.storage import shared_dir
 
 
 class Scratch:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenlake.llm import blocks
-from tokenlake.llm.arrays import IS_SPACE, SEGMENT, Words, covered, grams, ranges, segments, texts
+from tokenlake.llm.arrays import IS_SPACE, SEGMENT, Words, covered, fields, grams, ranges, segments, texts
 from tokenlake.llm.store import Scratch, text_batches
 
 _LAST = 2**63 - 1
@@ -93,12 +93,6 @@ def _finish(raw: bytes, gone: np.ndarray | None, with_text: bool) -> list:
     return [n, removed, digest.hexdigest(), b"".join(kept).decode() if with_text else None]
 
 
-def _fields(column: pa.ListArray, i: int, *names: str) -> list[np.ndarray]:
-    """The fields of row i of a list of structs, as arrays."""
-    at = column.values.slice(column.offsets[i].as_py(), len(column[i]))
-    return [at.field(at.type.get_field_index(k)).to_numpy(zero_copy_only=False) for k in names]
-
-
 def _hashes(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of the windows that begin at some words of one text."""
     offsets = np.array([0, len(data)])
@@ -122,11 +116,10 @@ def _half(plan: Plan, with_text: bool):
                 if not todo[i].is_valid:
                     row[:4] = _finish(raw, None, with_text)
                 else:
-                    a, n, full = _fields(todo, i, "a", "n", "full")
+                    a, n, full = fields(todo, i, "a", "n", "full")
                     a, n, full = a.astype(np.int64), n.astype(np.int64), full.astype(bool)
                     if full.all():
-                        last = int((a + n).max()) - 1 + plan.window
-                        gone = covered(max(last, len(raw) // 2 + 1), a, a + n - 1 + plan.window)  # no text has more words
+                        gone = covered(len(raw) // 2 + 1, a, a + n - 1 + plan.window)  # no text has more words
                         row[:4] = _finish(raw, gone, with_text)
                     else:
                         starts = ranges(a[~full], n[~full])
@@ -159,7 +152,7 @@ def _old_windows(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(0)):
-                a, n = _fields(batch.column(1), i, "a", "n")
+                a, n = fields(batch.column(1), i, "a", "n")
                 f1, f2 = _hashes(np.frombuffer((text.as_py() or "").encode(), np.uint8), np.unique(ranges(a.astype(np.int64), n)), plan.window)
                 for k in range(0, len(f1), SEGMENT):
                     yield pa.RecordBatch.from_arrays([pa.array(f1[k : k + SEGMENT]), pa.array(f2[k : k + SEGMENT])], ["f1", "f2"])
