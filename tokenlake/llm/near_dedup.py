@@ -24,6 +24,7 @@ and each such row is returned.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.arrays import U64, Words, grams, mix, random_table, texts
+from tokenlake.llm.arrays import SEGMENT, U64, Words, grams, mix, random_table, texts
 from tokenlake.llm.components import components
 from tokenlake.llm.store import Scratch, text_batches
 
@@ -62,10 +63,11 @@ def sketch(elements: np.ndarray, t: int) -> np.ndarray:
     step = max(1, math.ceil(t * (math.log(t) + 3) / n))
     while done < t:
         rounds = np.arange(done, min(t, done + step))
-        for part in np.array_split(rounds, max(1, len(rounds) * n >> 20)):
-            h = mix(elements[None, :] ^ seeds[part][:, None])
-            bins = ((h >> U64(40)) * U64(t)) >> U64(24)
-            np.minimum.at(out, bins.ravel().astype(np.int64), ((part.astype(U64) << U64(40))[:, None] | (h & _LOW)).ravel())
+        for part in np.array_split(rounds, min(len(rounds), max(1, len(rounds) * n >> 20))):
+            for some in range(0, n, SEGMENT):
+                h = mix(elements[None, some : some + SEGMENT] ^ seeds[part][:, None])
+                bins = ((h >> U64(40)) * U64(t)) >> U64(24)
+                np.minimum.at(out, bins.ravel().astype(np.int64), ((part.astype(U64) << U64(40))[:, None] | (h & _LOW)).ravel())
         done += len(rounds)
         empty = np.flatnonzero(out == np.iinfo(U64).max)
         if not len(empty):
@@ -130,10 +132,20 @@ def grams_of_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def _packed_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed texts of rows sorted by document; rows that repeat a document's text are left out."""
     press = zstandard.ZstdCompressor(level=1)
+    last, seen = None, set()
     for batch in batches:
-        packed = [press.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "z"])
+        docs, packed = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = (text.as_py() or "").encode()
+            if doc != last:
+                last, seen = doc, set()
+            if (digest := hashlib.md5(raw).digest()) not in seen:
+                seen.add(digest)
+                docs.append(doc)
+                packed.append(press.compress(raw))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(packed, pa.binary())], ["doc", "z"])
 
 
 def _verified(plan: Plan):
@@ -264,7 +276,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     dealt = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "band"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part")
     dealt = dealt.join(z.withColumnRenamed("doc", "node"), "node").select("band", "i", "j", "node", "part", "z")
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt.count() // 2000)
+    # how many rows the deal makes follows from the buckets' sizes alone
+    rows_dealt = many.agg(F.sum(F.ceil(F.col("size") / plan.block))).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_dealt // 2000)
     third = scratch.write(dealt.repartition(groups, "band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_blocked(plan), "u long, v long"), "blocked")
     whole = scratch.write(components(first.union(second).union(third), scratch, "whole"), "whole")
 
