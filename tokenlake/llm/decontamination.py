@@ -7,16 +7,18 @@ diagonals, so one of them holds all of these; bands with fewer shared q-grams ar
 others verified by alignment within the band, free at both ends in the text.
 
 Text q-grams are tested against a bitmap, then looked up in a sorted array of the items' q-grams.
-The benchmark is taken in blocks of at most `block_bytes`, each against all texts; only a block is
-held at a time, so neither table is assumed small. k is `percent` of m, and less where the lemma
-would leave no q-gram to count.
+The benchmark is dealt into blocks of about `block_bytes`, each against all texts; a block is
+collected, run, written and freed before the next, so neither table is assumed small. k is `percent`
+of m, and less where the lemma would leave no q-gram to count. Long texts are looked through in
+overlapping pieces that hold any place of an item whole.
 
 Items under `least` bytes leave the lemma too few q-grams: they are looked for verbatim, by a hash
 of their length at each byte of a text, and count where they begin and end at word boundaries.
 Scripts written without spaces between words have a boundary beside each of their characters.
 
 Defined results: null texts and items, and those empty after normalisation, match nothing; items
-under `least` bytes after normalisation match verbatim only; repeated rows are matched once each; null ids are carried.
+under `least` bytes after normalisation match verbatim only; repeated rows are matched once each; null ids are carried;
+of places with as few edits the first counts; extra columns stay where rows are kept; empty tables match nothing.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenlake.llm.arrays import BYTE_VALUES, U64, grams
-from tokenlake.llm.store import text_batches
+from tokenlake.llm.store import Scratch, text_batches
 
 SCHEMA = "doc_id long, item_id long, start long, edits int, n_bytes int"
 
+#: Characters that are normalised, and bytes that are looked through, at a time.
+PIECE = 1 << 20
 _OTHER = re.compile(r"[\W_]+")
+_GAP = re.compile(r"\s")
 #: Thai to Burmese, Khmer, and Chinese and Japanese: written without spaces between words.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
@@ -51,8 +56,15 @@ class Plan:
 
 
 def normalise(text: str | None) -> bytes:
-    """Lower case; letters and digits stay, everything between them is one space; none at the ends."""
-    return _OTHER.sub(" ", (text or "").lower()).strip().encode()
+    """Lower case; letters and digits stay, everything between them is one space; none at the ends. A long text is cut at white space."""
+    text, parts, at = text or "", [], 0
+    while at < len(text):
+        found = _GAP.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        if part := _OTHER.sub(" ", text[at:end].lower()).strip().encode():
+            parts.append(part)
+        at = end
+    return b" ".join(parts)
 
 
 def bounded(text: bytes, start: int, end: int) -> bool:
@@ -162,40 +174,65 @@ class Items:
         best = int(line.argmin())
         return int(line[best]), max(0, low + best)
 
-    def verbatim(self, texts: list[bytes], data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        """(document, item): (0, start) of the first place of each short item."""
+    def verbatim(self, texts: list[bytes], pieces: list[tuple[int, int]], data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """(text, item): (0, start) of the first place of each short item; pieces: the text and the start of each range of data."""
         out: dict[tuple[int, int], tuple[int, int]] = {}
         for n, by in self.short.items():
             h, keys = grams(BYTE_VALUES[data], n), self.short_keys[n]
             at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
             doc = np.searchsorted(offsets, at, "right") - 1
             inside = at + n <= offsets[doc + 1]
-            for d, i in zip(doc[inside].tolist(), at[inside].tolist(), strict=True):
+            for p, i in zip(doc[inside].tolist(), at[inside].tolist(), strict=True):
                 same = by.get(data[i : i + n].tobytes(), [])
-                if same and (d, same[0]) not in out and bounded(texts[d], i - int(offsets[d]), i - int(offsets[d]) + n):
-                    out.update({(d, k): (0, i - int(offsets[d])) for k in same})
+                d, start = pieces[p][0], pieces[p][1] + i - int(offsets[p])
+                if same and (d, same[0]) not in out and bounded(texts[d], start, start + n):
+                    out.update({(d, k): (0, start) for k in same})
         return out
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item, start, edits): the best place of each item that stands in a text."""
-        offsets = np.cumsum([0, *(len(t) for t in texts)])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        best = self.verbatim(texts, data, offsets)
-        for d, item, band in zip(*(x.tolist() for x in self.candidates(data, offsets)), strict=True):
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        reach = self.plan.least + int((self.size + 2 * self.edits).max(initial=0))
+        every = [(d, at) for d, t in enumerate(texts) for at in range(0, max(1, len(t) - reach), PIECE)]
+        lo = 0
+        while lo < len(every):
+            part, size, hi = [], 0, lo
+            while hi < len(every) and size < PIECE:
+                d, at = every[hi]
+                part.append(texts[d][at : at + PIECE + reach] if len(texts[d]) > PIECE + reach or at else texts[d])
+                size += len(part[-1])
+                hi += 1
+            self._within(texts, every[lo:hi], part, best)
+            lo = hi
+        return [(d, i, start, edits) for (d, i), (edits, start) in sorted(best.items())]
+
+    def _within(self, texts: list[bytes], pieces: list[tuple[int, int]], parts: list[bytes], best: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Put the best places in some pieces of the texts among the best so far."""
+        offsets = np.cumsum([0, *(len(t) for t in parts)])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        for key, place in self.verbatim(texts, pieces, data, offsets).items():
+            best[key] = min(best.get(key, place), place)
+        for p, item, band in zip(*(x.tolist() for x in self.candidates(data, offsets)), strict=True):
+            d, at = pieces[p]
             if best.get((d, item), (1,))[0] == 0:
                 continue
-            edits, start = self.align(texts[d], item, band)
+            edits, start = self.align(parts[p], item, band)
             if edits <= self.edits[item]:
-                best[d, item] = min(best.get((d, item), (edits, start)), (edits, start))
-        return [(d, i, start, edits) for (d, i), (edits, start) in sorted(best.items())]
+                place = (edits, at + start)
+                best[d, item] = min(best.get((d, item), place), place)
 
 
-def _blocks(items: DataFrame, plan: Plan) -> Iterator[Items]:
+def _blocks(items: DataFrame, plan: Plan, scratch: Scratch) -> Iterator[tuple[Items, bool]]:
+    """(block of items, is it the only one) for one block after the other; of the driver's memory each asks about block_bytes."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // plan.block_bytes))
+    if n > 1:
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+        dealt.repartition(n, "block").write.partitionBy("block").parquet(f"{scratch.root}/items")
+        rows = rows.sparkSession.read.schema(dealt.schema).parquet(f"{scratch.root}/items")
     for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect() if n > 1 else rows.orderBy("item_id", "text").collect()
-        yield Items([r["item_id"] for r in part], [normalise(r["text"]) for r in part], plan)
+        part = (rows.filter(F.col("block") == k) if n > 1 else rows).orderBy("item_id", "text").collect()
+        yield Items([r["item_id"] for r in part], [normalise(r["text"]) for r in part], plan), n == 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -206,8 +243,8 @@ def contaminated(docs: DataFrame, items: DataFrame, plan: Plan = Plan()) -> Data
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in _blocks(items, plan):
+    scratch, out = Scratch(spark, "decontamination"), None
+    for k, (block, alone) in enumerate(_blocks(items, plan, scratch)):
         shared = spark.sparkContext.broadcast(block)  # at most block_bytes of items
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -217,6 +254,9 @@ def contaminated(docs: DataFrame, items: DataFrame, plan: Plan = Plan()) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "item_id", "start", "edits", "n_bytes"])
 
         part = rows.mapInArrow(run, SCHEMA)
+        if not alone:
+            part = scratch.write(part, f"found-{k}")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -236,11 +276,11 @@ def _found(batch: pa.RecordBatch, column: int, items: Items) -> Iterator[tuple[i
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of docs(text, ...) in which no item stands, with all their columns; no shuffle."""
+    """The rows of docs(text, ...) in which no item stands, with all their columns; no shuffle with one block of items."""
     spark = docs.sparkSession
     text_batches(spark)
-    schema, column = docs.schema, docs.columns.index("text")
-    for block in _blocks(items, plan):
+    schema, column, scratch = docs.schema, docs.columns.index("text"), Scratch(spark, "decontamination")
+    for k, (block, alone) in enumerate(_blocks(items, plan, scratch)):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -250,4 +290,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, plan: Plan = Plan()) ->
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)
+        if not alone:
+            docs = scratch.write(docs, f"clean-{k}")
+            shared.destroy()
+            scratch.drop(*([f"clean-{k - 1}"] if k else []))
     return docs
