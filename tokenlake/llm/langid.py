@@ -15,8 +15,11 @@ probability, and the 99.5 % quantile of those rows' entropies is the rejection l
 The models are fitted on a bounded sample (Plan.per_language texts of at most Plan.longest
 characters for each language); every text is scored whole.
 
+A long text is scored in pieces, each after the characters before it, so the result is that of the whole.
+
 Defined results: null texts and texts without a letter are `und` with score 0; unlabelled rows are
-scored only; without any labelled row every text is `und`; ties go to the language that sorts first.
+scored only; without any labelled row every text is `und`; ties go to the language that sorts first;
+null ids and repeated rows are scored row by row; extra columns are not looked at; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenlake.llm.arrays import U64, mix, random_table
 from tokenlake.llm.store import text_batches
 
+#: Characters that one vectorised step holds.
+PIECE = 400_000
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
@@ -60,9 +66,12 @@ _SEED = random_table(16, 3)
 
 
 class Sequence:
-    """Letters of texts laid end to end; runs of other characters are one space; order-1 spaces stand before each text."""
+    """Letters of texts laid end to end; runs of other characters are one space; order-1 spaces stand before each text.
 
-    def __init__(self, texts: list[str], table: np.ndarray, order: int):
+    at: the places that count; those of each text's first `skip` characters are context only.
+    """
+
+    def __init__(self, texts: list[str], table: np.ndarray, order: int, skip: int = 0):
         pad = " " * (order - 1)
         raw = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(x) for x in texts], np.int64)
@@ -73,9 +82,10 @@ class Sequence:
         space = code == 32
         keep = is_pad | ~space
         keep[1:] |= ~space[:-1]
-        self.code, self.doc, is_pad = code[keep].astype(U64), text[keep], is_pad[keep]
-        self.letters = np.bincount(text[~space], minlength=len(texts))
-        self.at = np.flatnonzero(~is_pad)
+        counted = inner >= order - 1 + skip
+        self.code, self.doc = code[keep].astype(U64), text[keep]
+        self.letters = np.bincount(text[~space & counted], minlength=len(texts))
+        self.at = np.flatnonzero(counted[keep])
 
     def gram(self, at: np.ndarray, k: int, back: int = 0) -> np.ndarray:
         """Hash of the k characters that end `back` before each place."""
@@ -165,8 +175,21 @@ class Identifier:
         self.limit = np.array([np.quantile(entropy[truth == i, i], plan.quantile) * 1.05 for i in range(len(self.languages))])
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(bits per character by text and language, letters by text)."""
-        seq = Sequence(texts, self.table, self.plan.order)
+        """(bits per character by text and language, letters by text); a long text is taken in pieces, each with what stands before it."""
+        if len(texts) == 1 and len(texts[0]) > PIECE:
+            sums, count, letters_, before = 0.0, 0, 0, ""
+            for k in range(0, len(texts[0]), PIECE):
+                seq, logs, n = self._sums([before + texts[0][k : k + PIECE]], len(before))
+                sums, count, letters_ = sums + logs, count + n, letters_ + seq.letters
+                before = "".join(map(chr, seq.code[-(self.plan.order - 1) :].tolist())) if self.plan.order > 1 else ""
+        else:
+            seq, sums, count = self._sums(texts)
+            letters_ = seq.letters
+        return -sums / np.maximum(count, 1)[:, None], letters_
+
+    def _sums(self, texts: list[str], skip: int = 0) -> tuple[Sequence, np.ndarray, np.ndarray]:
+        """(sequence, log2 probabilities added up by text and language, characters by text)."""
+        seq = Sequence(texts, self.table, self.plan.order, skip)
         at = seq.at
         h = seq.gram(at, self.plan.order)
         place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -177,8 +200,7 @@ class Identifier:
             logs[new] = np.stack([m.log2(c) for m in self.models], 1).astype(np.float32)[which]
         doc = seq.doc[at]
         count = np.bincount(doc, minlength=len(texts))
-        sums = np.stack([np.bincount(doc, logs[:, i], len(texts)) for i in range(len(self.languages))], 1)
-        return -sums / np.maximum(count, 1)[:, None], seq.letters
+        return seq, np.stack([np.bincount(doc, logs[:, i], len(texts)) for i in range(len(self.languages))], 1), count
 
     def identify(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, probability, bits per character, rejected)."""
@@ -195,20 +217,27 @@ class Identifier:
 
 
 def fit(labelled: DataFrame, plan: Plan = Plan()) -> Identifier:
-    """Fit on labelled(text, lang, key); the sample holds the rows with the least hashes of key, about per_language for each."""
+    """Fit on labelled(text, lang, key); the sample holds rows by a hash of key and text, per_language for each language at most.
+
+    Rows without a key take part; equal rows count once.
+    """
     short = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= plan.longest))
     counts = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, plan.per_language / n).otherwise(share)
-    picked = short.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003 < share)
+    chosen = F.xxhash64("key", "text")
+    # about twice as many rows as are wanted, then exactly as many
+    picked = short.filter(F.pmod(chosen, F.lit(1_000_003)) / 1_000_003 < 2 * share).select("lang", "text", chosen.alias("h")).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     samples: dict[str, list[str]] = {k: [] for k in counts}
-    for row in picked.select("lang", "text").orderBy("lang", "text").limit(2 * plan.per_language * max(1, len(counts))).collect():
+    for row in picked.withColumn("rank", rank).filter(F.col("rank") <= plan.per_language).select("lang", "text").collect():
         samples[row["lang"]].append(row["text"])
+    samples = {k: sorted(v) for k, v in samples.items()}
     return Identifier(samples, plan)
 
 
-def _steps(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
+def _steps(texts: list[str], most: int = PIECE) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0

@@ -13,12 +13,15 @@ words of the text are looked up in one vectorised step.
 
 The base labels come from four fixed phrases and are always among the labels.
 
-Defined results: a null or empty text has no words, empty labels and score 0; repeated rows and null ids pass through.
+Defined results: a null or empty text has no words, empty labels and score 0; repeated rows and null
+ids pass through; extra columns are not looked at; of matches that cover as much the first counts; an
+empty table gives an empty one; a text of any length is streamed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -126,17 +129,16 @@ class Automaton:
             self.link[new] = self._split(p, c)
         return new
 
-    def statistics(self, stream: list[int]) -> list[tuple[int, int]]:
+    def statistics(self, stream: Iterable[int]) -> Iterator[tuple[int, int]]:
         """(longest run that ends here, its state) for each word."""
-        out, state, n = [], 0, 0
+        state, n = 0, 0
         for c in stream:
             while state and c not in self.next[state]:
                 state = self.link[state]
                 n = self.length[state]
             if c in self.next[state]:
                 state, n = self.next[state][c], n + 1
-            out.append((n, state))
-        return out
+            yield n, state
 
     def runs(self, n: int, state: int, least: int) -> dict[int, tuple[int, int]]:
         """By template: (words, first end in the template) of its longest run that ends where the longest of all, n words in this state, does."""
@@ -175,13 +177,13 @@ class Scanner:
         for a, b in edges.reshape(-1, 2):
             if b - a < self.plan.least:
                 continue
-            stats = self.automaton.statistics(numbers[a:b].tolist())
-            now = self.automaton.runs(*stats[0], self.plan.least)
-            for k in range(len(stats)):
-                after = self.automaton.runs(*stats[k + 1], self.plan.least) if k + 1 < len(stats) else {}
+            stream = itertools.chain.from_iterable(numbers[k : min(k + 4096, b)].tolist() for k in range(int(a), int(b), 4096))
+            now: dict[int, tuple[int, int]] = {}
+            for k, (m, state) in enumerate(itertools.chain(self.automaton.statistics(stream), [(0, 0)])):
+                after = self.automaton.runs(m, state, self.plan.least)
                 for t, (n, end) in now.items():
                     if t not in after or after[t][0] <= n:
-                        found.setdefault(t, []).append((int(a) + k - n + 1, end - n + 1, n))
+                        found.setdefault(t, []).append((int(a) + k - n, end - n + 1, n))
                 now = after
         return found
 

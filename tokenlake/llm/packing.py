@@ -14,12 +14,14 @@ pieces of its length: ranks are counted within hash shards and shifted by the co
 shards, so no length, however frequent, meets in one task.
 
 Defined results: a null or empty text is a document of the end token alone; repeated rows are
-packed once each; null ids pass through; an empty table gives an empty one; extra columns pass through in `rest`.
+packed once each; null ids pass through; equal lengths take places by a hash of id and text; an empty
+table gives an empty one; extra columns pass through in `rest`; a long text is tokenised in parts.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +37,10 @@ from pyspark.sql.window import Window
 from tokenlake.llm.store import Scratch, text_batches
 
 
+#: A letter or digit, one space, and a letter or digit.
+_BETWEEN = re.compile(r"[^\W_] (?=[^\W_])")
+
+
 @dataclass(frozen=True)
 class Plan:
     """size: most tokens of a sequence; end: id after each document; vocabulary: file of byte-level BPE ranks,
@@ -45,6 +51,21 @@ class Plan:
     vocabulary: str = ""
 
 
+def cuts(text: str, step: int = 1 << 18) -> Iterator[str]:
+    """Parts of a long text that begin with a single space before a word.
+
+    Words of byte-level ranks carry the one space before them and nothing else spans it, so the parts' ids are the text's.
+    """
+    at = 0
+    while len(text) - at > step:
+        found = _BETWEEN.search(text, at + step)
+        if not found:
+            break
+        yield text[at : found.start() + 1]
+        at = found.start() + 1
+    yield text[at:]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> ids. A special token's string in a text is that token, as it is in the .json file."""
@@ -79,7 +100,10 @@ def _pieces(plan: Plan):
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(2)):
-                ids = np.append(np.array(encode(text.as_py() or ""), "<u4"), np.uint32(plan.end)).astype("<u4")
+                text = text.as_py() or ""
+                # of other vocabularies it is not known where a text can be cut
+                parts = [text] if plan.vocabulary.endswith(".json") else cuts(text)
+                ids = np.concatenate([*(np.array(encode(x), "<u4") for x in parts), np.array([plan.end], "<u4")])
                 for k, (at, n) in enumerate(cut(len(ids), plan.size)):
                     row.append(i)
                     piece.append(k)

@@ -13,7 +13,9 @@ characters) and scores whole texts.
 
 Defined results: null and empty texts are one chunk of zero bytes; documents without a label are
 scored only; several labels of one document count with their mean; without labelled rows, or with
-one class alone, every score is the share of that class (0.5 without any).
+one class alone, every score is the share of that class (0.5 without any); null ids and repeated
+rows are scored row by row; extra columns are not looked at; an empty table gives an empty one; a text
+of any length is scored whole, a few chunks at a time.
 """
 
 from __future__ import annotations
@@ -65,18 +67,26 @@ class ByteCNN:
         }
         self.share: float | None = 0.5
 
-    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes of all chunks, a row each; chunks of each document)."""
+    def places(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start and length of each chunk, chunks of each document)."""
         p = self.plan
         size = np.diff(offsets)
         n = np.maximum(1, -(-size // p.chunk))
         row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(offsets[:-1], n) + row * p.chunk
-        over = p.width - p.stride
-        length = np.clip(np.repeat(offsets[1:], n) - at, 0, p.chunk + over)
-        out = np.zeros((len(at), p.chunk + over), np.uint8)
-        out.reshape(-1)[ranges(np.arange(len(at)) * (p.chunk + over), length)] = data[ranges(at, length)]
-        return out, n
+        return at, np.clip(np.repeat(offsets[1:], n) - at, 0, p.chunk + p.width - p.stride), n
+
+    def rows(self, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The bytes of some chunks, a row each."""
+        wide = self.plan.chunk + self.plan.width - self.plan.stride
+        out = np.zeros((len(at), wide), np.uint8)
+        out.reshape(-1)[ranges(np.arange(len(at)) * wide, length)] = data[ranges(at, length)]
+        return out
+
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all chunks, a row each; chunks of each document)."""
+        at, length, n = self.places(offsets)
+        return self.rows(data, at, length), n
 
     def pool(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(largest response, its place) of each filter in each chunk."""
@@ -108,8 +118,8 @@ class ByteCNN:
         """The probability of label 1 of each document."""
         if self.share is not None:
             return np.full(len(offsets) - 1, self.share)
-        rows, n = self.chunks(data, offsets)
-        pooled = np.concatenate([self.pool(rows[k : k + 128])[0] for k in range(0, len(rows), 128)])
+        at, length, n = self.places(offsets)
+        pooled = np.concatenate([self.pool(self.rows(data, at[k : k + 128], length[k : k + 128]))[0] for k in range(0, len(at), 128)])
         m, first = np.maximum(pooled, 0), np.cumsum(n) - n
         f = self.joined(m, n, first)
         return 1 / (1 + np.exp(-(f @ self.w["out"] + self.w["base"][0]).astype(float)))

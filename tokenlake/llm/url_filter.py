@@ -1,12 +1,14 @@
 """URL rules by host suffix and path prefix, in DataFrame functions only.
 
 Each distinct (host, path) is expanded into the expressions it can fit: every suffix of its host
-that begins after a dot, with every prefix of its path whose length a rule has. Expressions and
+that begins after a dot and has no more labels than a rule's host, with every prefix of its path
+whose length a rule has. Expressions and
 rules are joined on the first characters of their SHA-256 digests; the full digests then confirm,
 and of the rules that fit the longest expression wins, on equal expressions the one that blocks.
 
 Verdict without a rule: `allow`, or the `otherwise` given. Defined results: a null URL or one without `://` has an
-empty host and path, which fit no rule; repeated rows and null ids keep their rows; rules may be an empty table.
+empty host and path, which fit no rule; repeated rows and null ids keep their rows; either
+table may be empty; extra columns are not looked at; a URL of any length costs its own length for each of those suffixes.
 """
 
 from __future__ import annotations
@@ -41,14 +43,15 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataF
     """(page_id, host, path, rule, verdict) for each row of pages(page_id, url); rules(verdict, host, path)."""
     url = F.col("url")
     seen = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
-    rules = rules.select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("n")).withColumn("digest", F.sha2("rule", 256))
+    rules = rules.select("verdict", F.concat("host", "path").alias("rule"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels")).withColumn("digest", F.sha2("rule", 256))
     lengths = F.array_sort(F.collect_set("n"))
     sizes = rules.agg(lengths).scalar()  # one value: the path lengths that rules have
+    most = rules.agg(F.max("labels")).scalar()  # no suffix of more labels than any rule's host has can fit
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - F.coalesce("most", F.lit(1)) + 1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     wanted = F.filter("sizes", lambda k: k <= F.length("path"))
-    urls = seen.filter("host != ''").distinct().withColumn("sizes", sizes)
-    expressions = urls.select("host", "path", F.explode(F.transform(wanted, lambda k: F.substring("path", F.lit(1), k))).alias("prefix")).select(
+    urls = seen.filter("host != ''").distinct().withColumn("sizes", sizes).withColumn("most", most)
+    expressions = urls.select("host", "path", "most", F.explode(F.transform(wanted, lambda k: F.substring("path", F.lit(1), k))).alias("prefix")).select(
         "host", "path", F.explode(F.transform(suffixes, lambda s: F.concat(s, F.col("prefix")))).alias("expression")
     )
     expressions = expressions.withColumn("digest", F.sha2("expression", 256))
