@@ -1,14 +1,18 @@
 """Closed forms, round trips and metamorphic checks of the operators that queries only touch in part."""
 
 import io
+import itertools
+import struct
 import tarfile
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tokenlake import cli
 from tokenlake.functions import images as im
-from tokenlake.operators import codebook, ngram, sampling, stream, tokenizers
+from tokenlake.operators import codebook, evaluation, ngram, sampling, stream, tokenizers
 from tokenlake.plans import text_queries
 from tokenlake.sources import images, token_files
 from tokenlake.streaming import tokens as streaming
@@ -83,6 +87,27 @@ def test_codebook(spark):
     assert error <= codebook.update(vectors, codebook.initial(vectors, 3, 2))[1] and book.shape == first.shape
     far = np.concatenate([book, np.full((1, 3), 1e6)])
     assert codebook.update(vectors, far)[0][3].max() < 10  # the unused code is drawn anew
+    lone, more = np.concatenate([book, np.full((1, 3), 99.0)]), vectors.unionByName(spark.createDataFrame([(999, [100.0] * 3)], vectors.schema))
+    assert np.allclose(codebook.update(more, lone)[0][3], 100)  # a code of one vector stays by default
+    assert codebook.update(more, lone, reseed_below=2, seed=3)[0][3].max() < 10
+    small = codebook.fit_batches(vectors, 3, batch=60, steps=6)
+    assert sorted(np.round(small.mean(1)).tolist()) == [-3, 0, 5]
+    assert codebook.fit_batches(vectors.limit(0), 3).shape == (0, 0)
+    assert codebook.sample_vectors(vectors, 7, 1).collect() == codebook.sample_vectors(vectors.repartition(3), 7, 1).collect()
+
+
+def test_codebooks_from_images(spark):
+    r = np.random.default_rng(5)
+    images_ = [(k, 32, 32, bytearray(r.integers(0, 256, (32, 32, 3)).astype(np.uint8).tobytes())) for k in range(6)]
+    df = spark.createDataFrame([*images_, (9, 32, 32, None), (10, 32, 32, bytearray(b"short")), (11, 16, 24, bytearray(im.gradient(24)[0, :16].tobytes()))], "img_id long, height int, width int, data binary")
+    got = {x["vec_id"]: x["v"] for x in codebook.blocks(df, 16, 32).collect()}
+    assert sorted(got) == [k * 4 + b for k in (*range(6), 11) for b in range(4)]
+    whole = np.frombuffer(bytes(images_[2][3]), np.uint8).reshape(1, 32, 32, 3)
+    assert got[11] == im.to_blocks(whole, 16)[0, 3].reshape(-1).tolist()
+    vq = codebook.preset(df, "tiny", size=32, iterations=2)
+    assert vq.block == 32 and vq.decode(vq.encode(whole)).shape == whole.shape
+    hvq = codebook.hierarchical_preset(df, "small", size=32)
+    assert [v.block for v in hvq.levels] == [32, 16] and hvq.encode(whole).shape == (1, 1 + 4)
 
 
 def test_ngram_identities(spark, sf):
@@ -191,3 +216,162 @@ def test_places_do_not_depend_on_buckets(spark):
     split = stream.stream_of(df, "d", ["at"], F.col("name"), 3, F.col("part"))
     assert split.dtypes == plain.dtypes
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect())) and split.count() == len(rows)
+
+
+def png(image, depth, kind, filters, interlaced=False, palette=None):
+    """PNG bytes of image[h, w, channels] by the definition of the format, one filter after the other on its lines."""
+    h, w, channels = image.shape
+    step = max(1, channels * depth // 8)
+
+    def row(values):
+        if depth == 16:
+            return values.astype(">u2").tobytes()
+        bits = "".join(f"{v:0{depth}b}" for v in values.reshape(-1).tolist())
+        bits += "0" * (-len(bits) % 8)
+        return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+    def coded(part):
+        out, above = b"", None
+        for y in range(len(part)):
+            raw = row(part[y])
+            above = above or bytes(len(raw))
+            mode = filters[y % len(filters)]
+            line = bytearray()
+            for x, v in enumerate(raw):
+                a, b, c = (raw[x - step] if x >= step else 0), above[x], (above[x - step] if x >= step else 0)
+                near = min((abs(a + b - c - a), 0, a), (abs(a + b - c - b), 1, b), (abs(a + b - c - c), 2, c))[2]
+                line.append((v - (0, a, b, (a + b) // 2, near)[mode]) % 256)
+            out, above = out + bytes([mode]) + bytes(line), raw
+        return out
+
+    if interlaced:
+        parts = [image[t::d, left::a] for t, left, d, a in images.PASSES]
+        data = b"".join(coded(p) for p in parts if p.shape[0] and p.shape[1])
+    else:
+        data = coded(image)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    plte = chunk(b"PLTE", palette.tobytes()) if palette is not None else b""
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, int(interlaced)))
+    return b"\x89PNG\r\n\x1a\n" + head + plte + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("interlaced", [False, True])
+def test_png_of_all_kinds(interlaced):
+    r = np.random.default_rng(6)
+    for kind, depths in ((0, (1, 2, 4, 8, 16)), (2, (8, 16)), (3, (1, 2, 4, 8)), (4, (8, 16)), (6, (8, 16))):
+        for depth, (h, w) in itertools.product(depths, ((1, 1), (9, 13), (16, 3))):
+            channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+            image = r.integers(0, 1 << depth, (h, w, channels))
+            palette = r.integers(0, 256, (1 << min(depth, 8), 3)).astype(np.uint8) if kind == 3 else None
+            eight = image >> 8 if depth == 16 else image * 255 // ((1 << depth) - 1) if kind != 3 else image
+            expected = palette[image[:, :, 0]] if kind == 3 else np.repeat(eight[:, :, :1], 3, 2) if channels < 3 else eight[:, :, :3]
+            for filters in ((0,), (1, 2), (3, 4), (4, 3, 2, 1, 0)):
+                got = images.decode(png(image, depth, kind, filters, interlaced, palette))
+                assert got is not None and (got == expected).all(), (kind, depth, h, w, filters)
+
+
+def test_tars_in_ranges_and_as_values(spark, tmp_path):
+    rows = [(k % 2, k, f"{k}.{e}", bytearray([k] * (k * 700))) for k, e in enumerate(["jpg", "png", "json", "JPG", "txt", "jpeg", "png"])]
+    members = spark.createDataFrame(rows, "shard long, member_idx int, name string, bytes binary")
+    assert sorted(map(tuple, images.write_tars(members, f"file://{tmp_path}").collect())) == [(0, 4), (1, 3)]
+    expected = {("00000", n, bytes(b)) for s, _, n, b in rows if s == 0 and n.lower().endswith(("jpg", "png", "jpeg"))} | {("00001", n, bytes(b)) for s, _, n, b in rows if s == 1 and n.lower().endswith(("jpg", "png", "jpeg"))}
+    for size in (1, 1000, 8 << 20):
+        got = images.tar_members(spark, f"{tmp_path}/*.tar", batch_bytes=size).collect()
+        assert {(r["shard"], r["name"], bytes(r["bytes"])) for r in got} == expected and len(got) == len(expected)
+    whole = spark.read.format("binaryFile").load(f"{tmp_path}/*.tar").select("path", "content")
+    broken = whole.unionByName(spark.createDataFrame([("none", None), ("bad", bytearray(b"not a tar" * 100))], "path string, content binary"))
+    assert {r["name"] for r in images.tar_bytes_members(broken, "path", "content").collect()} == {n for _, _, n, _ in rows if n.lower().endswith(("jpg", "png"))}
+
+
+@pytest.mark.parametrize("size", [2, 6, 10, 1 << 20])
+def test_flat_files_in_ranges(spark, tmp_path, size):
+    r = np.random.default_rng(7)
+    files = {"a": [[], [1], [2, 3], [], [4] * 30, [5]], "b": [], "c": [r.integers(0, 9, int(n)).tolist() for n in r.integers(0, 9, 40)]}
+    for name, docs in files.items():
+        tail = [7, 7] if name != "c" else []
+        (tmp_path / f"{name}.bin").write_bytes(np.array([*itertools.chain(*[[*d, 65535] for d in docs]), *tail], "<u2").tobytes())
+    got = token_files.read_flat(spark, f"{tmp_path}/*.bin", size=size).collect()
+    assert sorted((x["shard"], x["doc"], x["tokens"]) for x in got) == [(name, k, d) for name, docs in sorted(files.items()) for k, d in enumerate(docs)]
+
+
+def test_shards_of_unequal_documents_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, [1, 2]), (0, 2, [3])], "shard long, doc_id long, tokens array<int>")
+    with pytest.raises(Exception, match="differ in length"):
+        token_files.write_npy(rows, f"file://{tmp_path}/x")
+    assert not list(tmp_path.glob("x/*.npy"))
+
+
+def test_npy_files(spark, tmp_path):
+    np.save(tmp_path / "two.npy", np.arange(12, dtype=np.uint16).reshape(4, 3))
+    np.save(tmp_path / "one.npy", np.array([5, 6], np.int64))
+    np.save(tmp_path / "none.npy", np.zeros((0, 3), np.int32))
+    got = sorted((r["shard"], r["doc"], r["tokens"]) for r in token_files.read_npy(spark, f"{tmp_path}/*.npy", size=12).collect())
+    assert got == [("one", 0, [5]), ("one", 1, [6]), *(("two", k, [3 * k, 3 * k + 1, 3 * k + 2]) for k in range(4))]
+
+
+def test_counts_of_any_length(spark):
+    r = np.random.default_rng(8)
+    docs = {d: r.choice(list("ab"), 60).tolist() for d in range(6)} | {9: ["a"] * 50}
+    tokens = spark.createDataFrame([(d % 2, d, p, t) for d, x in docs.items() for p, t in enumerate(x)], "shard long, doc_id long, pos int, tok string")
+    index = ngram.build_index(tokens, 2)
+    asked = [docs[int(d)][int(a) : int(a) + int(n)] for d, a, n in zip(r.integers(0, 6, 40), r.integers(0, 30, 40), r.integers(0, 30, 40), strict=True)] + [["a"] * 17, ["a"] * 51, ["z"] * 5, docs[0], [*docs[0], "a"]]
+    prompts = spark.createDataFrame([(k, x) for k, x in enumerate(asked)], "prompt_id long, ids array<string>")
+    want = {k: sum(sum(d[i : i + len(x)] == x for i in range(len(d) - len(x) + 1)) if x else len(d) for d in docs.values()) for k, x in enumerate(asked)}
+    got = {x["prompt_id"]: (x["cnt"], x["approx"]) for x in ngram.count(index, prompts, stream=tokens, reach=2).collect()}
+    assert got == {k: (n, False) for k, n in want.items()}
+    with pytest.raises(Exception, match="longer than the index"):
+        ngram.count(index, prompts, reach=2).collect()
+
+    expected = {}
+    for k, x in enumerate(asked):
+        for n in range(len(x), -1, -1):
+            after = [d[i + n] for d in docs.values() for i in range(len(d) - n) if d[i : i + n] == x[len(x) - n :]]
+            if after:
+                expected[k] = (n, sorted((t, after.count(t)) for t in set(after)))
+                break
+    found = {}
+    for x in ngram.ntd(index, prompts, stream=tokens, reach=2).collect():
+        found.setdefault(x["prompt_id"], (x["suffix_len"], []))[1].append((x["tok"], x["cont_cnt"]))
+    assert {k: (n, sorted(v)) for k, (n, v) in found.items()} == expected
+
+
+def test_running_total_over_ranges(spark):
+    df = spark.createDataFrame([(f"k{i:03d}", i % 5) for i in range(300)], "name string, n long").repartition(7)
+    got = {r["name"]: r["first"] for r in stream.running_total(df, ["name"], "n", "first").collect()}
+    assert got == {f"k{i:03d}": sum(j % 5 for j in range(i)) for i in range(300)}
+    sizes = spark.createDataFrame([(i % 3, i, i % 4) for i in range(200)], "shard long, doc_id long, n long")
+    for width in (1, 3, 4096):
+        rows = stream.offsets(sizes, width, ["shard"]).collect()
+        assert {(r["shard"], r["doc_id"]): r["offset"] for r in rows} == {(i % 3, i): sum(j % 4 + 1 for j in range(i) if j % 3 == i % 3) for i in range(200)}
+
+
+def test_progress_before_anything_is_done(spark):
+    row = spark.range(1).select(evaluation.progress(F.lit(0), F.lit(0), F.lit(0)).alias("p")).first()["p"]
+    assert row.asDict() == {"rate": None, "percent": None, "eta": None}
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    call = lambda *args: cli.run(spark, cli.parser().parse_args([str(a) for a in args]))
+    pictures = [(k, 32, 32, bytearray(np.roll(im.gradient(32), k * 5, 1).tobytes())) for k in range(4)]
+    images.write_images(spark.createDataFrame(pictures, "img_id long, height int, width int, data binary"), f"file://{tmp_path}/pics")
+    monkeypatch.setitem(tokenizers.PRESETS, "toy", tokenizers.Color(32, 8, 3))
+    told = call("tokenize", "--images", f"{tmp_path}/pics", "--preset", "toy", "--out", f"{tmp_path}/tokens", "--flat", f"file://{tmp_path}/flat").first()
+    assert (told["images"], told["failed"]) == (4, 0)
+    assert token_files.read_config(spark, f"{tmp_path}/flat/config")["num_images"] == 4
+    tokens = {r["img_id"]: r["tokens"] for r in spark.read.parquet(f"{tmp_path}/tokens").collect()}
+    assert [r["tokens"] for r in token_files.read_flat(spark, f"{tmp_path}/flat/*.bin").orderBy("doc").collect()] == [tokens[k] for k in range(4)]
+    call("detokenize", "--tokens", f"{tmp_path}/tokens", "--preset", "toy", "--out", f"file://{tmp_path}/back")
+    assert len(list((tmp_path / "back").glob("*.png"))) == 4
+    assert call("build-index", "--tokens", f"{tmp_path}/tokens", "--out", f"{tmp_path}/index", "--order", 2, "--shards", 2).count() == 2
+    first = ",".join(map(str, tokens[0][:2]))
+    want = sum(t[i : i + 2] == tokens[0][:2] for t in tokens.values() for i in range(15))
+    assert call("query", "--index", f"{tmp_path}/index", "--mode", "count", "--prompt", first).first()["cnt"] == want
+    assert call("query", "--index", f"{tmp_path}/index", "--mode", "ntd", "--prompt", first, "--max-support", 2).count() <= 2
+    made = call("generate", "--index", f"{tmp_path}/index", "--seeds", f"{first};", "--num-tokens", 2, "--max-context", 2, "--out", f"{tmp_path}/made").collect()
+    assert sorted(len(r["tokens"]) for r in made) == [2, 4]
+    assert [r["copy"] for r in call("memorized", "--generated", f"{tmp_path}/tokens", "--tokens", f"{tmp_path}/tokens").collect()] == [True] * 4
+    assert call("train-codebook", "--images", f"{tmp_path}/pics", "--preset", "tiny", "--out", f"{tmp_path}/book", "--iterations", 1).first()["dimensions"] == 3072
+    shards = images.image_files(spark, f"{tmp_path}/pics").select(F.lit(3).alias("shard"), F.lit(0).alias("member_idx"), F.lit("x.png").alias("name"), F.col("content").alias("bytes")).limit(1)
+    images.write_tars(shards, f"file://{tmp_path}/tars")
+    out = call("tokenize-tars", "--shards-dir", f"{tmp_path}/tars", "--preset", "toy", "--out", f"file://{tmp_path}/shards", "--concat", f"file://{tmp_path}/all/tokenized.0")
+    assert [r["docs"] for r in out.collect()] == [1] and (tmp_path / "all" / "tokenized.0").stat().st_size == 34

@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.operators.tokenizers import nearest
+from tokenlake.functions import images as im
+from tokenlake.functions.storage import written
+from tokenlake.operators.tokenizers import HVQ_SHAPES, VQ_SHAPES, HierarchicalVq, Vq, nearest
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -35,17 +37,40 @@ def assign(vectors: DataFrame, codebook: np.ndarray) -> DataFrame:
 
 
 def sample_vectors(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows without replacement, those with the least hashes."""
-    return vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n)
+    """n rows without replacement, those whose ids have the least digests; a top-n of each task, then of those."""
+    return vectors.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string"))), "vec_id").limit(n)
+
+
+def blocks(images: DataFrame, block: int, size: int) -> DataFrame:
+    """(vec_id, v) of images(img_id, height, width, data): all blocks of each image, stretched to `size` if it has another.
+
+    vec_id is img_id times the blocks of an image, plus the block's place in raster order. Broken images give none.
+    """
+    per = (size // block) ** 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if data is None or not h or not w or len(data) != h * w * 3:
+                    continue
+                image = np.frombuffer(data, np.uint8).reshape(1, h, w, 3)
+                image = image if (h, w) == (size, size) else im.resize(image, size, size, "lanczos")
+                rows = im.to_blocks(image, block).reshape(per, -1).astype(float)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(per + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(i * per + np.arange(per)), lists], ["vec_id", "v"])
+
+    return images.select("img_id", "height", "width", "data").mapInArrow(run, "vec_id long, v array<double>")
 
 
 def initial(vectors: DataFrame, codes: int, seed: int = 0) -> np.ndarray:
-    """Distinct vectors of the data; at most `codes` rows reach the driver."""
-    return np.array([r["v"] for r in sample_vectors(vectors.dropDuplicates(["v"]), codes, seed).select("v").collect()], float)
+    """Distinct vectors of the data, each standing for the rows that equal it by the least id; at most `codes` rows reach the driver."""
+    one = vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id"))
+    return np.array([r["v"] for r in sample_vectors(one, codes, seed).select("v").collect()], float)
 
 
 def update(vectors: DataFrame, codebook: np.ndarray, reseed_below: int = 1, seed: int = 0) -> tuple[np.ndarray, float]:
     """(means of the assigned vectors, mean squared distance to the old codes); codes with fewer vectors are drawn anew."""
+    size = codebook.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, error = np.zeros_like(codebook), np.zeros(len(codebook)), 0.0
@@ -61,26 +86,74 @@ def update(vectors: DataFrame, codebook: np.ndarray, reseed_below: int = 1, seed
             [pa.array(has, pa.int32()), pa.array(counts[has]), pa.array(list(sums[has]), pa.list_(pa.float64())), pa.array(np.where(np.arange(len(has)) == 0, error, 0.0))], ["code", "n", "s", "error"]
         )
 
-    part = vectors.select("v").mapInArrow(run, "code int, n double, s array<double>, error double")
-    total = part.select("code", "n", "error", F.posexplode("s").alias("dim", "x")).groupBy("code", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("error").alias("error")).collect()
-    out, counts, error = codebook.copy(), np.zeros(len(codebook)), 0.0
-    for r in total:  # codes x dimensions rows
-        out[r["code"], r["dim"]] = r["x"] / r["n"]
-        counts[r["code"]] = r["n"]
-        error += r["error"] * (r["dim"] == 0)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            rows = np.column_stack([batch.column(1).to_numpy(), batch.column(3).to_numpy(), matrix(batch.column(2)) if batch.num_rows else np.zeros((0, size))])
+            for code, row in zip(batch.column(0).to_pylist(), rows, strict=True):
+                total[code] = total[code] + row if code in total else row
+        rows = np.array(list(total.values())).reshape(-1, size + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(rows[:, 0]), pa.array(list(rows[:, 2:]), pa.list_(pa.float64())), pa.array(rows[:, 1])], ["code", "n", "s", "error"])
+
+    # sums of one code, an array for each task that saw it, are added in one task
+    kinds = "code int, n double, s array<double>, error double"
+    total = vectors.select("v").mapInArrow(run, kinds).repartition("code").mapInArrow(added, kinds).toArrow()
+    out, counts = codebook.copy(), np.zeros(len(codebook))
+    code = total.column("code").to_numpy()
+    if len(code):
+        counts[code] = total.column("n").to_numpy()
+        out[code] = np.stack(total.column("s").to_pylist()) / counts[code][:, None]
     if len(low := np.flatnonzero(counts < reseed_below)):
-        out[low] = np.resize(initial(vectors, len(low), seed + 1), (len(low), codebook.shape[1]))
-    return out, error / max(counts.sum(), 1)
+        out[low] = np.resize(initial(vectors, len(low), seed + 1), (len(low), size))
+    return out, float(total.column("error").to_numpy().sum()) / max(counts.sum(), 1)
 
 
-def fit(vectors: DataFrame, codes: int, iterations: int = 10, seed: int = 0) -> np.ndarray:
-    """Lloyd's algorithm from distinct data vectors."""
+def fit(vectors: DataFrame, codes: int, iterations: int = 10, seed: int = 0, reseed_below: int = 1) -> np.ndarray:
+    """Lloyd's algorithm from distinct data vectors. With reseed_below = 2 codes of a single vector are drawn anew too."""
     codebook = initial(vectors, codes, seed)
     for k in range(iterations):
-        codebook, _ = update(vectors, codebook, seed=seed + k)
+        codebook, _ = update(vectors, codebook, reseed_below, seed + k)
     return codebook
 
 
+def fit_batches(vectors: DataFrame, codes: int, batch: int = 1000, steps: int = 10, starts: int = 3, seed: int = 42) -> np.ndarray:
+    """Mini-batch k-means: of several starts the one with the least error on a sample goes on, a batch of vectors at a time.
+
+    A code moves to each batch's vectors by their share of all that it has been given. Batches are samples by digest;
+    what reaches the driver is a batch, whatever the table's size.
+    """
+    drawn = lambda k: np.array([r["v"] for r in sample_vectors(vectors, batch, k).select("v").collect()], float)
+    probe = drawn(seed)
+    if not len(probe):
+        return np.zeros((0, 0))
+    error = lambda book: ((probe - book[nearest(probe, book)]) ** 2).sum()
+    codebook = min((initial(vectors, codes, seed + k) for k in range(starts)), key=error)
+    given = np.zeros(len(codebook))
+    for k in range(steps):
+        v = drawn(seed + 1000 + k)
+        code = nearest(v, codebook)
+        n = np.bincount(code, minlength=len(codebook))
+        given += n
+        for c in np.flatnonzero(n):
+            codebook[c] += (v[code == c].mean(0) - codebook[c]) * n[c] / given[c]
+    return codebook
+
+
+def preset(images: DataFrame, name: str, size: int = 256, iterations: int = 10, sample: int = 500_000, seed: int = 0) -> Vq:
+    """A vector quantiser in one of the usual shapes, trained on at most `sample` blocks of images."""
+    block, codes = VQ_SHAPES[name]
+    return Vq(fit(written(sample_vectors(blocks(images, block, size), sample, seed), "blocks"), codes, iterations, seed), size)
+
+
+def hierarchical_preset(images: DataFrame, name: str, size: int = 256, sample: int = 100_000, seed: int = 42) -> HierarchicalVq:
+    """A hierarchical quantiser in one of the usual shapes, each level trained by mini-batches on blocks of images."""
+    made = []
+    for block, codes in zip(*HVQ_SHAPES[name], strict=True):
+        vectors = written(sample_vectors(blocks(images, block, size), sample, seed), "blocks")
+        made.append(Vq(fit_batches(vectors, codes, seed=seed), size))
+    return HierarchicalVq(tuple(made))
+
+
 def save(codebook: np.ndarray, spark, path: str) -> None:
     """(code, centroid) as Parquet."""
     spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(codebook)], "code int, centroid array<double>").write.mode("overwrite").parquet(path)

@@ -1,7 +1,11 @@
-"""Memorisation and reconstruction error."""
+"""Memorisation, reconstruction error and progress."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +28,29 @@ def mse(a: Column, b: Column) -> Column:
 
 def psnr(mean_square: Column) -> Column:
     return 10 * F.log10(255.0 * 255.0 / (mean_square + 1e-10))
+
+
+def image_errors(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(img_id, mse) of two tables of images(img_id, data) of the same sizes, joined by id; whole images meet, not pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            error = [float(((np.frombuffer(x, np.uint8).astype(float) - np.frombuffer(y, np.uint8)) ** 2).mean()) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(error, pa.float64())], ["img_id", "mse"])
+
+    both = a.select("img_id", F.col("data").alias("x")).join(b.select("img_id", F.col("data").alias("y")), "img_id")
+    return both.mapInArrow(run, "img_id long, mse double")
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """A struct of rate (units a second), percent done and eta (seconds left; null before anything is done)."""
+    rate = F.when(seconds > 0, done / seconds)
+    return F.struct(rate.alias("rate"), F.when(total > 0, 100.0 * done / total).alias("percent"), F.when(rate > 0, (total - done) / rate).alias("eta"))
+
+
+def shares(stages: DataFrame, by: list[str], seconds: str) -> DataFrame:
+    """stages with `percent`, the share of a stage's seconds in those of its group."""
+    total = stages.groupBy(*by).agg(F.sum(seconds).alias("_total"))
+    joined = stages.join(total, by) if by else stages.withColumn("_total", total.select("_total").scalar())
+    return joined.withColumn("percent", 100.0 * F.col(seconds) / F.col("_total")).drop("_total")

@@ -1,9 +1,13 @@
 """N-gram index and queries: counts, next-token distributions with longest-suffix back-off, shard merge.
 
 The index is a count table (n, ctx, tok, shard, cnt), n = 0 .. N: how often tok follows the n tokens
-ctx within a document. Queries are equi-joins of prompt suffixes with it; every figure is an
-aggregate with map-side combining, so no context, however frequent, meets in one task. Contexts
-never span documents; an end token is counted only if the stream has one.
+ctx within a document. Queries are equi-joins of prompt suffixes with it, on a hash of the context and
+then the context itself; every figure is an aggregate with map-side combining, so no context, however
+frequent, meets in one task. Contexts never span documents; an end token is counted only if the
+stream has one.
+
+Sequences longer than the index reaches are cut into stretches that it could hold; positions of the
+stream at which the stretches stand one after the other are exact matches. All figures are exact.
 """
 
 from __future__ import annotations
@@ -35,28 +39,95 @@ def build_index(stream: DataFrame, n: int) -> DataFrame:
     return long.select("n", ctx.alias("ctx"), "tok", "shard").groupBy("n", "ctx", "tok", "shard").agg(F.count("*").alias("cnt"))
 
 
-def count(index: DataFrame, prompts: DataFrame, group: int = 1) -> DataFrame:
-    """(prompt_id, cnt): occurrences of prompts(prompt_id, ids); all but the last token are the context.
+def _meet(left: DataFrame, right: DataFrame, on: list[str], array: str) -> DataFrame:
+    """Equi-join on `on` and on an array column: by its hash, then by the array itself."""
+    key = f"{array}_hash"
+    a, b = left.withColumn(key, F.xxhash64(array)), right.withColumn(key, F.xxhash64(array)).withColumnRenamed(array, "_other")
+    return a.join(b, [*on, key]).filter(F.col(array) == F.col("_other")).drop("_other", key)
+
+
+def count(index: DataFrame, prompts: DataFrame, group: int = 1, stream: DataFrame | None = None, reach: int | None = None) -> DataFrame:
+    """(prompt_id, cnt, approx): occurrences of prompts(prompt_id, ids); all but the last token are the context.
 
-    Counts are taken per group of `group` shards, then summed.
+    Counts are taken per group of `group` shards, then summed; approx is always false. An empty sequence stands at
+    every token. Sequences of more than `reach` + 1 tokens, where the index holds contexts up to `reach`, are
+    counted on the stream that it was built from; without a stream they are an error.
     """
-    asked = prompts.select("prompt_id", F.slice("ids", 1, F.size("ids") - 1).alias("ctx"), F.element_at("ids", -1).alias("tok"))
-    per = asked.join(index, ["ctx", "tok"]).groupBy("prompt_id", F.floor(F.col("shard") / group).alias("grp")).agg(F.sum("cnt").alias("cnt"))
+    size = F.size("ids")
+    if reach is not None and stream is None:
+        kept = prompts.withColumn("ids", F.when(size <= reach + 1, F.col("ids")).otherwise(F.raise_error(F.lit("a prompt is longer than the index reaches"))))
+    else:
+        kept = prompts if reach is None else prompts.filter(size <= reach + 1)
+    some = kept.filter(size > 0).select("prompt_id", (size - 1).alias("n"), F.slice("ids", 1, F.greatest(size - 1, F.lit(0))).alias("ctx"), F.element_at("ids", -1).alias("tok"))
+    per = _meet(some, index, ["n", "tok"], "ctx").groupBy("prompt_id", F.floor(F.col("shard") / group).alias("grp")).agg(F.sum("cnt").alias("cnt"))
     total = per.groupBy("prompt_id").agg(F.sum("cnt").alias("cnt"))
-    return prompts.select("prompt_id").join(total, "prompt_id", "left").select("prompt_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+    empty = kept.filter(size == 0).select("prompt_id", index.filter("n = 0").agg(F.sum("cnt").alias("cnt")).select("cnt").scalar().alias("cnt"))
+    total = total.unionByName(empty)
+    if reach is not None and stream is not None:
+        total = total.unionByName(_count_long(stream, prompts.filter(size > reach + 1), reach + 1))
+    out = prompts.select("prompt_id").join(total, "prompt_id", "left")
+    return out.select("prompt_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"), F.lit(False).alias("approx"))
+
+
+def _count_long(stream: DataFrame, prompts: DataFrame, width: int) -> DataFrame:
+    """(prompt_id, cnt) of prompts of at least `width` tokens: places at which all their stretches of `width` tokens stand."""
+    m = F.size("ids")
+    steps = F.ceil(m / width).cast("int")
+    # the last stretch ends with the prompt and may overlap the one before
+    at = F.transform(F.sequence(F.lit(0), steps - 1), lambda k: F.least(k * width, m - width))
+    asked = prompts.select("prompt_id", steps.alias("steps"), "ids", F.explode(at).alias("from")).select("prompt_id", "steps", "from", F.slice("ids", F.col("from") + 1, F.lit(width)).alias("run"))
+    runs = contexts(stream, width - 1).filter(F.size("before") == width - 1).select("doc_id", (F.col("pos") - width + 1).alias("pos"), F.concat("before", F.array("tok")).alias("run"))
+    hits = _meet(runs, asked, [], "run").groupBy("prompt_id", "steps", "doc_id", (F.col("pos") - F.col("from")).alias("start")).agg(F.count("*").alias("n"))
+    return hits.filter("n = steps").groupBy("prompt_id").agg(F.count("*").alias("cnt"))
+
+
+def _matches_long(stream: DataFrame, prompts: DataFrame, width: int) -> DataFrame:
+    """(prompt_id, shard, n, tok, cnt): what follows the longest matches, of at least `width` tokens, of prompts' ends.
+
+    Stretches of `width` tokens are taken from the prompt's end; a place that matches the first j of them is
+    extended token by token into the next. Only places with the most stretches of their shard are.
+    """
+    m = F.size("ids")
+    js = F.sequence(F.lit(0), (F.floor(m / width) - 1).cast("int"))
+    asked = prompts.filter(m >= width).select("prompt_id", "ids", F.explode(js).alias("j")).select("prompt_id", "j", F.slice("ids", m - (F.col("j") + 1) * width + 1, F.lit(width)).alias("before"))
+    rows = contexts(stream, width)
+    hits = _meet(rows.filter(F.size("before") == width), asked, [], "before").select("prompt_id", "shard", "doc_id", (F.col("pos") + F.col("j") * width).alias("at"), "j", F.when(F.col("j") == 0, F.col("tok")).alias("tok"))
+    places = hits.groupBy("prompt_id", "shard", "doc_id", "at").agg(F.sort_array(F.collect_set("j")).alias("js"), F.max("tok").alias("tok"))
+    full = F.size(F.filter("js", lambda x, i: x == i))
+    places = places.withColumn("full", full).filter("full > 0")
+    most = places.groupBy("prompt_id", "shard").agg(F.max("full").alias("full"))
+    places = places.join(most, ["prompt_id", "shard", "full"]).withColumn("pos", (F.col("at") - F.col("full") * width).cast("int"))
+    ends = places.join(rows.select("doc_id", "pos", "before"), ["doc_id", "pos"]).join(prompts.select("prompt_id", "ids"), "prompt_id")
+    left = F.reverse(F.slice("ids", F.greatest(m - (F.col("full") + 1) * width + 1, F.lit(1)), F.greatest(F.least(F.lit(width), m - F.col("full") * width), F.lit(0))))
+    same = F.zip_with(F.reverse("before"), left, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    extra = F.coalesce(F.array_position(same, False) - 1, F.lit(0))
+    extra = F.when(F.array_position(same, False) == 0, F.size(same)).otherwise(extra)
+    out = ends.withColumn("n", (F.col("full") * width + extra).cast("int"))
+    best = out.groupBy("prompt_id", "shard").agg(F.max("n").alias("n"))
+    return out.join(best, ["prompt_id", "shard", "n"]).groupBy("prompt_id", "shard", "n", "tok").agg(F.count("*").alias("cnt"))
 
 
-def ntd(index: DataFrame, prompts: DataFrame, max_support: int | None = None, group: int | None = None, back_off: bool = True) -> DataFrame:
+def ntd(
+    index: DataFrame, prompts: DataFrame, max_support: int | None = None, group: int | None = None, back_off: bool = True,
+    stream: DataFrame | None = None, reach: int | None = None,
+) -> DataFrame:
     """(prompt_id, tok, cont_cnt, prob, prompt_cnt, suffix_len): what follows the longest supported suffix of each prompt.
 
     Shards are taken in groups of `group` (all together without): each group backs off by itself,
     the longest suffix of all groups wins, and the groups that reached it are summed. At most
     max_support tokens are kept, by count and then token; shares are of the untruncated count.
+    Suffixes longer than the `reach` tokens that the index holds are looked for on its stream, if given.
     """
     size = F.size("ids")
-    suffix = prompts.select("prompt_id", "ids", F.explode(F.sequence(F.lit(0), size) if back_off else F.array(size)).alias("n"))
-    ctx = F.when(F.col("n") > 0, F.slice("ids", F.size("ids") - F.col("n") + 1, F.col("n"))).otherwise(F.slice("ids", 1, 0))
-    hits = suffix.select("prompt_id", "n", ctx.alias("ctx")).join(index, ["n", "ctx"])
+    longest = size if reach is None else F.least(size, F.lit(reach))
+    suffix = prompts.select("prompt_id", "ids", F.explode(F.sequence(F.lit(0), longest) if back_off else F.array(size)).alias("n"))
+    ctx = F.when(F.col("n") > 0, F.slice("ids", size - F.col("n") + 1, F.col("n"))).otherwise(F.slice("ids", 1, 0))
+    hits = _meet(suffix.select("prompt_id", "n", ctx.alias("ctx")), index, ["n"], "ctx").select("prompt_id", "shard", "n", "tok", "cnt")
+    if reach and stream is not None:
+        more = _matches_long(stream, prompts.filter(size > reach), reach)
+        if not back_off:
+            more = more.join(prompts.select("prompt_id", size.alias("n")), ["prompt_id", "n"])
+        hits = hits.unionByName(more.filter(F.col("n") > reach))
     grp = F.floor(F.col("shard") / group) if group else F.lit(0)
     per = hits.groupBy("prompt_id", grp.alias("grp"), "n", "tok").agg(F.sum("cnt").alias("cnt"))
     top = per.groupBy("prompt_id").agg(F.max("n").alias("n"))

@@ -42,24 +42,32 @@ def draw(dist: DataFrame, by: list[str], u: Column) -> DataFrame:
 def generate(index: DataFrame, seeds: DataFrame, steps: int, max_context: int, t: float = 1.0, k: int = 50, seed: int = 0, fallback=None) -> DataFrame:
     """(prompt_id, ids): seeds(prompt_id, ids) with `steps` tokens more.
 
-    A step is one query for the next-token distributions of all sequences at once, each with the longest suffix of at
-    most max_context tokens; sequences advance together. The index and each step's sequences are written tables, so a
-    step plans and computes itself only.
+    Seeds may name their own temperature and top_k; t and k stand where they do not. A step is one query for the
+    next-token distributions of all sequences at once, each with the longest suffix of at most max_context tokens;
+    sequences advance together. The index and each step's sequences are written tables, so a step plans and
+    computes itself only.
     """
     index = written(index, "index")
-    now = written(seeds.select("prompt_id", "ids"), "sequences")
+    has = seeds.columns
+    settings = [(F.col("temperature") if "temperature" in has else F.lit(float(t))).alias("temperature"), (F.col("top_k") if "top_k" in has else F.lit(k)).alias("top_k")]
+    now = written(seeds.select("prompt_id", "ids", *settings), "sequences")
     for step in range(steps):
         asked = now.select("prompt_id", F.slice("ids", F.greatest(F.size("ids") - max_context + 1, F.lit(1)), max_context).alias("ids"))
-        dist = written(ngram.ntd(index, asked).select("prompt_id", "tok", "prob"), "distribution")
-        if t != 1.0:
-            dist = temperature(dist, ["prompt_id"], t)
-        picked = draw(top_k(dist, ["prompt_id"], k), ["prompt_id"], uniform(F.lit(seed), F.col("prompt_id"), F.lit(step)))
-        now = now.join(picked, "prompt_id", "left").select("prompt_id", F.concat("ids", F.array(F.coalesce("tok", F.lit(fallback)))).alias("ids"))
-        now = written(now, "sequences")
-    return now
-
-
-def sweep(seeds: DataFrame, temperatures: list[float], ks: list[int]) -> DataFrame:
-    """Each seed with each pair of settings; the settings are literals, so nothing is joined."""
-    settings = F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.lit(k).alias("top_k")) for t in temperatures for k in ks])
-    return seeds.select("*", F.explode(settings).alias("s")).select(*seeds.columns, "s.temperature", "s.top_k")
+        dist = ngram.ntd(index, asked).select("prompt_id", "tok", "prob").join(now.select("prompt_id", "temperature", "top_k"), "prompt_id")
+        dist = written(dist, "distribution")
+        hot = temperature(dist, ["prompt_id"], F.col("temperature"))
+        # a temperature of one leaves shares as they are
+        dist = hot if "temperature" in has or t != 1.0 else dist
+        picked = draw(top_k(dist, ["prompt_id"], F.col("top_k")), ["prompt_id"], uniform(F.lit(seed), F.col("prompt_id"), F.lit(step)))
+        more = F.concat("ids", F.array(F.coalesce("tok", F.lit(fallback)))).alias("ids")
+        now = written(now.join(picked, "prompt_id", "left").select("prompt_id", more, "temperature", "top_k"), "sequences")
+    return now.select("prompt_id", "ids")
+
+
+def sweep(seeds: DataFrame, temperatures: list[float], ks: list[int], samples: int = 1) -> DataFrame:
+    """Each seed with each pair of settings, `samples` times; prompt_id becomes id:temperature:top_k:sample. The settings are literals, so nothing is joined."""
+    every = [(float(t), k, n) for t in temperatures for k in ks for n in range(samples)]
+    settings = F.array(*[F.struct(F.lit(t).alias("temperature"), F.lit(k).alias("top_k"), F.lit(n).alias("sample")) for t, k, n in every])
+    out = seeds.select("*", F.explode(settings).alias("s"))
+    name = F.concat_ws(":", F.col("prompt_id").cast("string"), F.col("s.temperature").cast("string"), F.col("s.top_k").cast("string"), F.col("s.sample").cast("string"))
+    return out.select(name.alias("prompt_id"), "ids", "s.temperature", "s.top_k")

@@ -7,6 +7,7 @@ batches, so a task holds one batch, and tokens are array<int>. Presets are in PR
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -75,8 +76,8 @@ class Dct:
         c = flat.reshape(len(tokens), count, self.block, self.block, self.channels)
         planes = im.from_blocks(np.einsum("ky,nbklc,lx->nbyxc", basis, c, basis, optimize=True))
         if self.luma_only:
-            return np.repeat(np.clip(planes + 128, 0, 255).astype(np.uint8), 3, -1)
-        return im.to_rgb(planes) if self.ycbcr else np.clip(planes + 128, 0, 255).astype(np.uint8)
+            return np.repeat(np.clip(np.round(planes + 128, 6), 0, 255).astype(np.uint8), 3, -1)
+        return im.to_rgb(planes) if self.ycbcr else np.clip(np.round(planes + 128, 6), 0, 255).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -126,7 +127,7 @@ class Haar:
         while parts[-1][0].shape[-1] * 2 < self.size or len(parts) == 1:
             side = (self.size >> self.levels) << (len(parts) - 1)
             parts.append((np.zeros((len(t), 3, side, side)),) * 3)
-        return np.clip(im.unhaar(parts).transpose(0, 2, 3, 1), 0, 255).astype(np.uint8)
+        return np.clip(np.round(im.unhaar(parts).transpose(0, 2, 3, 1), 6), 0, 255).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -185,7 +186,7 @@ class HaarTopK:
             own[..., : min(n, rest.shape[-1])] = rest[..., :n]
             rest = rest[..., n:]
             parts.append(tuple(np.moveaxis(own.reshape(len(t), 3, s, s, 3), -1, 0)))
-        return np.clip(im.unhaar(parts).transpose(0, 2, 3, 1), 0, 255).astype(np.uint8)
+        return np.clip(np.round(im.unhaar(parts).transpose(0, 2, 3, 1), 6), 0, 255).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -275,8 +276,7 @@ class Vq:
 
     @property
     def block(self) -> int:
-        """The first usual block size whose pixels fill a code."""
-        return next(b for b in (4, 8, 16, 32) if b * b * 3 == self.codebook.shape[1])
+        return block_of(self.codebook.shape[1])
 
     @property
     def vocab(self) -> int:
@@ -373,6 +373,17 @@ def grid_codebook(codes: int, block: int) -> np.ndarray:
     return np.tile(colours, (1, block * block))
 
 
+def random_codebook(codes: int, block: int, seed: int = 0) -> np.ndarray:
+    """Bytes as good as drawn: the first byte of the MD5 digest of seed, code and place."""
+    digest = lambda c, d: hashlib.md5(f"{seed}:{c}:{d}".encode()).digest()[0]
+    return np.array([[digest(c, d) for d in range(block * block * 3)] for c in range(codes)], float)
+
+
+def block_of(dimensions: int) -> int:
+    """The first usual block size whose pixels fill a code of so many numbers."""
+    return next(b for b in (4, 8, 16, 32) if b * b * 3 == dimensions)
+
+
 def presized(image: np.ndarray, tokenizer) -> np.ndarray:
     """The image in the tokenizer's size: short side and crop, or both sides stretched."""
     if image.shape[:2] == (tokenizer.size, tokenizer.size):

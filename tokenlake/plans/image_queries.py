@@ -1,12 +1,14 @@
 """Queries over images and vectors, each with its SQL.
 
-Images: 32 x 32 RGB, one for each part up to key 50, by an integer formula; planes: each embedding
-as 8 x 8 bytes. Both are made by expressions, so SQL makes the same ones.
+Images: 32 x 32 RGB, one for each part, and 24 x 40 ones, by an integer formula; planes: each
+embedding as 8 x 8 bytes. All are made by expressions, so SQL makes the same ones. A query over images
+gives one row for each image (or block) with all its tokens, or all its bytes in hexadecimal digits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,43 +16,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.functions import images as im
+from tokenlake.functions.storage import shared_dir
 from tokenlake.operators import codebook, evaluation, tokenizers
 from tokenlake.plans.text_queries import table
+from tokenlake.sources import images as files
+from tokenlake.streaming import tokens as streaming
 
 SIDE = 32
 
 
-def rgb(spark: SparkSession, sf: str) -> DataFrame:
-    """(img_id, height, width, data)."""
+def rgb(spark: SparkSession, sf: str, height: int = SIDE, width: int = SIDE) -> DataFrame:
+    """(img_id, height, width, data), an image for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y, x, c = np.mgrid[:SIDE, :SIDE, :3]
+        y, x, c = np.mgrid[:height, :width, :3]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data = [((i * 37 + y * 11 + x * 7 + c * 53 + (y * x * i) % 17) % 256).astype(np.uint8).tobytes() for i in ids]
-            size = pa.array([SIDE] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, size, pa.array(data, pa.binary())], ["img_id", "height", "width", "data"])
+            size = [pa.array([n] * len(ids), pa.int32()) for n in (height, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *size, pa.array(data, pa.binary())], ["img_id", "height", "width", "data"])
 
-    return table(spark, sf, "part").filter("p_partkey <= 50").select("p_partkey").mapInArrow(run, "img_id long, height int, width int, data binary")
+    return table(spark, sf, "part").select("p_partkey").mapInArrow(run, "img_id long, height int, width int, data binary")
 
 
-def pixels(images: DataFrame) -> DataFrame:
-    """(img, y, x, c, v) of images."""
+def mapped(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(img_id, height, width, data) of images of one size, through f on stacks of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                h, w = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
+                out = f(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, h, w, 3))
+                size = [pa.array([k] * n, pa.int32()) for k in out.shape[1:3]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *size, pa.array([x.tobytes() for x in out], pa.binary())], ["img_id", "height", "width", "data"])
+
+    return images.select("img_id", "height", "width", "data").mapInArrow(run, "img_id long, height int, width int, data binary")
+
+
+def numbers(images: DataFrame, f: Callable[[np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """(img, *names): f maps a stack of images to a list of (n, ...) whole numbers, which come out joined by commas."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                y, x, c = (a.reshape(-1) for a in np.mgrid[:h, :w, :3])
-                cols = [np.full(len(y), i), y, x, c, np.frombuffer(data, np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)) for a in cols], ["img", "y", "x", "c", "v"])
+            if n := batch.num_rows:
+                h, w = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
+                outs = f(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, h, w, 3))
+                lists = [pa.array([",".join(map(str, x.reshape(-1).tolist())) for x in out], pa.string()) for out in outs]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["img", *names])
+
+    return images.select("img_id", "height", "width", "data").mapInArrow(run, "img long, " + ", ".join(f"{n} string" for n in names))
+
+
+def pixels(images: DataFrame) -> DataFrame:
+    """(img, data) of images, bytes as hexadecimal digits."""
+    return images.select(F.col("img_id").alias("img"), F.hex("data").alias("data"))
+
 
-    return images.select("img_id", "height", "width", "data").mapInArrow(run, "img long, y long, x long, c long, v long")
+def joined(tokens: DataFrame) -> DataFrame:
+    """(img, tokens) of tokens, joined by commas."""
+    return tokens.select(F.col("img_id").alias("img"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
-def exploded(tokens: DataFrame) -> DataFrame:
-    """(img, pos, tok) of tokens."""
-    long = tokens.select(F.col("img_id").alias("img"), F.posexplode("tokens").alias("pos", "tok"))
-    return long.select("img", F.col("pos").cast("long").alias("pos"), F.col("tok").cast("long").alias("tok"))
+def coded(spark: SparkSession, sf: str, tokenizer) -> DataFrame:
+    return tokenizers.tokenize(rgb(spark, sf), tokenizer)
+
+
+def restored(spark: SparkSession, sf: str, tokenizer) -> DataFrame:
+    return pixels(tokenizers.detokenize(coded(spark, sf, tokenizer), tokenizer))
+
+
+def greys(spark: SparkSession, sf: str) -> DataFrame:
+    """(img_id, height, width, data): the planes as grey 8 x 8 images."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            v = codebook.matrix(batch.column(1)).astype(np.uint8) if n else np.zeros((0, 64), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([8] * n, pa.int32())] * 2, pa.array([np.repeat(x, 3).tobytes() for x in v], pa.binary())], ["img_id", "height", "width", "data"])
+
+    return planes(spark, sf).mapInArrow(run, "img_id long, height int, width int, data binary")
 
 
 def planes(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,52 +139,69 @@ def untransform(c: np.ndarray) -> np.ndarray:
 
 COLOR = tokenizers.Color(SIDE, 8, 3)
 DCT = tokenizers.Dct(SIDE, 8, 4, 10, True)
+DCT_WHOLE = tokenizers.Dct(SIDE)
+DCT_FOUR = tokenizers.Dct(SIDE, 8, 4)
+DCT_PLAIN = tokenizers.Dct(SIDE, 8, 4, ycbcr=False)
+DCT_16 = tokenizers.Dct(SIDE, 16, 4, 10, False, False)
+DCT_32 = tokenizers.Dct(SIDE, 32, 4, 10, True, False)
+DCT_GREY = tokenizers.Dct(8, 8, 64, 10, True)
 HAAR = tokenizers.Haar(SIDE, 2, 1)
+HAAR_GREY = tokenizers.Haar(8, 2, 1)
+HAAR_TOP = tokenizers.HaarTopK(8, 2, 7)
 DIRECT = tokenizers.Pyramid((4, 8), size=SIDE, output=SIDE)
-TWO = tokenizers.Pyramid((8, 16), True, size=SIDE, output=SIDE)
-THREE = tokenizers.Pyramid((8, 16, 32), True, size=SIDE, output=SIDE)
+OPEN = tokenizers.Pyramid((8, 16, 32), True, False, size=SIDE, output=SIDE)
+#: By levels: sides from the coarsest on.
+LEVELS = {2: (8, 16), 3: (8, 16, 32), 4: (4, 8, 16, 32), 5: (2, 4, 8, 16, 32), 6: (1, 2, 4, 8, 16, 32)}
+RESIDUAL = {k: tokenizers.Pyramid(v, True, size=SIDE, output=SIDE) for k, v in LEVELS.items()}
+
 
+def _codebooks(spark, sf) -> tuple[np.ndarray, np.ndarray]:
+    """All 16 x 16 blocks of the first two images and all 8 x 8 blocks of the first."""
+    first = rgb(spark, sf).filter("img_id < 2").orderBy("img_id").collect()
+    both = np.stack([np.frombuffer(bytes(r["data"]), np.uint8).reshape(SIDE, SIDE, 3) for r in first])
+    return im.to_blocks(both, 16).reshape(8, -1).astype(float), im.to_blocks(both[:1], 8).reshape(16, -1).astype(float)
 
-def _ycbcr(spark, sf):
-    flat = pixels(rgb(spark, sf)).groupBy("img", "y", "x").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).cast("double").alias(n) for k, n in enumerate("rgb")])
-    r, g, b = (F.col(k) for k in "rgb")
-    row = lambda m: m[0] * r + m[1] * g + m[2] * b
-    planes_ = [row([float(x) for x in m]) for m in im.TO_YCBCR]
-    return flat.select("img", "y", "x", (planes_[0] - 128.0).alias("lum"), planes_[1].alias("cb"), planes_[2].alias("cr"))
+
+def _hierarchy(spark, sf):
+    return tokenizers.HierarchicalVq(tuple(tokenizers.Vq(book, SIDE) for book in _codebooks(spark, sf)))
 
 
 def q_rgb_to_ycbcr(spark, sf):
-    return _ycbcr(spark, sf).select("img", "y", "x", *[F.round(k, 6).alias(k) for k in ("lum", "cb", "cr")])
+    """In millionths."""
+    return numbers(rgb(spark, sf), lambda x: [np.rint(p * 1e6).astype(np.int64) for p in np.moveaxis(im.to_ycbcr(x), -1, 0)], ["lum", "cb", "cr"])
 
 
 def q_ycbcr_to_rgb(spark, sf):
-    up = F.col("lum") + 128.0
-    cut = lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.round(v, 6)))).cast("long")
-    cb, cr = F.col("cb"), F.col("cr")
-    return _ycbcr(spark, sf).select("img", "y", "x", cut(up + 1.402 * cr).alias("r"), cut(up - 0.344136 * cb - 0.714136 * cr).alias("g"), cut(up + 1.772 * cb).alias("b"))
+    return pixels(mapped(rgb(spark, sf), lambda x: im.to_rgb(im.to_ycbcr(x))))
 
 
 def q_block_extract(spark, sf):
-    p = pixels(rgb(spark, sf))
-    block = F.expr("(y div 8) * 4 + (x div 8)")
-    return p.select("img", block.alias("block"), ((F.col("y") % 8) * 24 + (F.col("x") % 8) * 3 + F.col("c")).alias("pos"), "v")
+    vectors_ = codebook.blocks(rgb(spark, sf), 8, SIDE)
+    values = F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",")
+    return vectors_.select(F.expr("vec_id div 16").alias("img"), (F.col("vec_id") % 16).alias("block"), values.alias("v"))
+
+
+def q_block_assemble(spark, sf):
+    return pixels(mapped(rgb(spark, sf), lambda x: im.from_blocks(im.to_blocks(x, 8))))
 
 
 def q_block_mean(spark, sf):
-    return q_block_extract(spark, sf).groupBy("img", "block", (F.col("pos") % 3).alias("c")).agg(F.round(F.avg("v"), 6).alias("mean"))
+    """In 64ths."""
+    return numbers(rgb(spark, sf), lambda x: [np.rint(im.to_blocks(x, 8).mean((2, 3)) * 64).astype(np.int64)], ["means"])
 
 
 def q_color_tokenize(spark, sf):
-    return exploded(tokenizers.tokenize(rgb(spark, sf), COLOR))
+    return joined(coded(spark, sf, COLOR))
 
 
 def q_color_detokenize(spark, sf):
-    return pixels(tokenizers.detokenize(tokenizers.tokenize(rgb(spark, sf), COLOR), COLOR))
+    return restored(spark, sf, COLOR)
 
 
 def _errors(spark, sf):
-    a, b = pixels(rgb(spark, sf)), q_color_detokenize(spark, sf).withColumnRenamed("v", "w")
-    return a.join(b, ["img", "y", "x", "c"]).groupBy("img").agg(evaluation.mse(F.col("v"), F.col("w")).alias("mse"))
+    a = rgb(spark, sf)
+    b = tokenizers.detokenize(tokenizers.tokenize(a, COLOR), COLOR)
+    return evaluation.image_errors(a, b).select(F.col("img_id").alias("img"), "mse")
 
 
 def q_psnr_per_image(spark, sf):
@@ -151,6 +212,87 @@ def q_psnr_avg(spark, sf):
     return _errors(spark, sf).agg(F.round(F.avg(evaluation.psnr(F.col("mse"))), 6).alias("psnr"), F.count("*").alias("images"))
 
 
+def _sized(spark, sf, f):
+    return pixels(mapped(rgb(spark, sf, 24, 40), f))
+
+
+def q_resize_stretch(spark, sf):
+    return _sized(spark, sf, lambda x: im.resize(x, 16, 16))
+
+
+def q_resize_crop(spark, sf):
+    return _sized(spark, sf, lambda x: im.resize_crop(x, 16))
+
+
+def q_resize_lanczos(spark, sf):
+    return _sized(spark, sf, lambda x: im.resize(x, 16, 16, "lanczos"))
+
+
+def q_bicubic_normalised(spark, sf):
+    """Short side to 16, centre crop, [-1, 1] by channel, in millionths."""
+    return numbers(rgb(spark, sf, 24, 40), lambda x: [np.rint(im.normalise(im.resize_crop(x, 16, "cubic")).astype(float) * 1e6).astype(np.int64)], ["planes"])
+
+
+def q_haar_from_bytes(spark, sf):
+    """Images of another size, as PNG bytes: decoded, stretched and coded."""
+    png = rgb(spark, sf, 24, 40).select("img_id", F.udf(_encoded, "binary")("height", "width", "data").alias("png"))
+    return joined(tokenizers.tokenize(files.decoded(png, "img_id", "png"), HAAR))
+
+
+def _encoded(h, w, data):
+    return files.encode_png(np.frombuffer(bytes(data), np.uint8).reshape(h, w, 3))
+
+
+def q_gradient_image(spark, sf):
+    x = im.gradient(SIDE)[0]
+    return spark.createDataFrame([(y, x[y].tobytes().hex().upper()) for y in range(SIDE)], "y long, data string")
+
+
+def q_preset_shapes(spark, sf):
+    rows = [(k, t.vocab, t.tokens_per_image) for k, t in tokenizers.PRESETS.items()]
+    for k, (block, codes_) in tokenizers.VQ_SHAPES.items():
+        rows.append((f"vq-{k}", codes_, (256 // tokenizers.block_of(block * block * 3)) ** 2))
+    for k, (blocks, books) in tokenizers.HVQ_SHAPES.items():
+        rows.append((f"hvq-{k}", max(books), sum((256 // b) ** 2 for b in blocks)))
+    return spark.createDataFrame(rows, "preset string, vocab long, tokens long")
+
+
+def q_random_codebook(spark, sf):
+    book = tokenizers.random_codebook(16, 4, 7)
+    return spark.createDataFrame([(i, d, int(x)) for i, c in enumerate(book) for d, x in enumerate(c)], "code long, dim long, v long")
+
+
+def q_vq_sample(spark, sf):
+    return codebook.sample_vectors(codebook.blocks(rgb(spark, sf), 8, SIDE), 100, 3).select("vec_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("v"))
+
+
+def q_vq_init(spark, sf):
+    book = codebook.initial(codebook.blocks(rgb(spark, sf), 16, SIDE), 8, 5)
+    return spark.createDataFrame([(i, ",".join(str(int(x)) for x in c)) for i, c in enumerate(book)], "code long, v string")
+
+
+def q_vq_fit(spark, sf):
+    """Two iterations from the first vectors, stored and loaded."""
+    book = codes(spark, sf)
+    for _ in range(2):
+        book, _ = codebook.update(vectors(spark, sf), book)
+    path = f"{shared_dir(spark)}/codebook-{uuid.uuid4().hex}"
+    codebook.save(book, spark, path)
+    return spark.createDataFrame([(i, d, float(round(x, 6))) for i, c in enumerate(codebook.load(spark, path)) for d, x in enumerate(c)], "code long, dim long, v double")
+
+
+def q_vq_image_tokens(spark, sf):
+    return joined(coded(spark, sf, _hierarchy(spark, sf).levels[1]))
+
+
+def q_hvq_image_tokens(spark, sf):
+    return joined(coded(spark, sf, _hierarchy(spark, sf)))
+
+
+def q_hvq_image_decode(spark, sf):
+    return restored(spark, sf, _hierarchy(spark, sf))
+
+
 def q_vq_grid_codebook(spark, sf):
     grid = tokenizers.grid_codebook(256, 1)
     return spark.createDataFrame([(i, *(float(round(x, 6)) for x in c)) for i, c in enumerate(grid)], "code long, r double, g double, b double")
@@ -164,7 +306,7 @@ def q_vq_assign(spark, sf):
 def q_vq_reconstruct(spark, sf):
     book = codes(spark, sf)
     rows = spark.createDataFrame([(i, d, float(x)) for i, c in enumerate(book) for d, x in enumerate(c)], "code int, dim long, v double")
-    return codebook.assign(vectors(spark, sf), book).join(F.broadcast(rows), "code").select("vec_id", "dim", F.round("v", 6).alias("v"))
+    return codebook.assign(vectors(spark, sf), book).join(rows, "code").select("vec_id", "dim", F.round("v", 6).alias("v"))
 
 
 def q_vq_lloyd_step(spark, sf):
@@ -178,7 +320,7 @@ def q_vq_distortion(spark, sf):
     means, _ = codebook.update(vectors(spark, sf), book)
     out = codebook.assign(vectors(spark, sf), book).select("vec_id", "code").join(vectors(spark, sf), "vec_id").select("code", F.posexplode("v").alias("dim", "x"))
     rows = spark.createDataFrame([(i, d, float(x)) for i, c in enumerate(means) for d, x in enumerate(c)], "code int, dim int, m double")
-    return out.join(F.broadcast(rows), ["code", "dim"]).agg(F.round(F.sum(F.pow(F.col("x") - F.col("m"), F.lit(2.0))) / (F.count("*") / 64), 6).alias("distortion"))
+    return out.join(rows, ["code", "dim"]).agg(F.round(F.sum(F.pow(F.col("x") - F.col("m"), F.lit(2.0))) / (F.count("*") / 64), 6).alias("distortion"))
 
 
 def q_vq_empty_codes(spark, sf):
@@ -214,37 +356,184 @@ def q_dct_quantize(spark, sf):
 
 
 def q_dct_freq_first(spark, sf):
-    return exploded(tokenizers.tokenize(rgb(spark, sf), DCT))
+    return joined(coded(spark, sf, DCT))
+
+
+def q_dct_tokenize(spark, sf):
+    return joined(coded(spark, sf, DCT_WHOLE))
+
+
+def q_dct_decode(spark, sf):
+    return restored(spark, sf, DCT_FOUR)
+
+
+def q_dct_passthrough(spark, sf):
+    return joined(coded(spark, sf, DCT_PLAIN))
+
+
+def q_dct_compact_16(spark, sf):
+    return joined(coded(spark, sf, DCT_16))
+
+
+def q_dct_compact_32(spark, sf):
+    return joined(coded(spark, sf, DCT_32))
+
+
+def q_dct_compact_decode(spark, sf):
+    return restored(spark, sf, DCT_16)
+
+
+def q_dct_compact_grey(spark, sf):
+    return restored(spark, sf, DCT_32)
 
 
 def q_dct_roundtrip(spark, sf):
-    errors = by_dims(planes(spark, sf), lambda v: [np.abs(untransform(transform(v)) - v)], ["error"])
-    return errors.groupBy("vec_id").agg((F.max("error") < 1e-6).alias("exact"))
+    """The planes through the tokens and back."""
+    grey = greys(spark, sf)
+    return pixels(tokenizers.detokenize(tokenizers.tokenize(grey, DCT_GREY), DCT_GREY))
+
+
+def q_dct_inverse(spark, sf):
+    """Transform and inverse: the planes again, in millionths."""
+    return by_dims(planes(spark, sf), lambda v: [np.rint(untransform(transform(v)) * 1e6)], ["v"]).select("vec_id", "pos", F.col("v").cast("long").alias("v"))
 
 
 def q_haar_v2_tokens(spark, sf):
-    return exploded(tokenizers.tokenize(rgb(spark, sf), HAAR))
+    return joined(coded(spark, sf, HAAR))
 
 
 def q_haar_roundtrip(spark, sf):
-    errors = by_dims(planes(spark, sf), lambda v: [np.abs(im.unhaar(im.haar(v.reshape(-1, 8, 8), 3)).reshape(-1, 64) - v)], ["error"])
-    return errors.groupBy("vec_id").agg((F.max("error") < 1e-6).alias("exact"))
+    """The planes through the tokens and back; the finest details are not among the tokens."""
+    grey = greys(spark, sf)
+    return pixels(tokenizers.detokenize(tokenizers.tokenize(grey, HAAR_GREY), HAAR_GREY))
+
+
+def q_haar_decode(spark, sf):
+    return restored(spark, sf, HAAR)
+
+
+def q_haar_topk_tokens(spark, sf):
+    return joined(tokenizers.tokenize(greys(spark, sf), HAAR_TOP))
+
+
+def q_haar_topk_decode(spark, sf):
+    return pixels(tokenizers.detokenize(tokenizers.tokenize(greys(spark, sf), HAAR_TOP), HAAR_TOP))
 
 
 def q_pyramid_direct(spark, sf):
-    return exploded(tokenizers.tokenize(rgb(spark, sf), DIRECT))
+    return joined(coded(spark, sf, DIRECT))
+
+
+def q_pyramid_direct_decode(spark, sf):
+    return restored(spark, sf, DIRECT)
+
+
+def q_pyramid_open_loop(spark, sf):
+    return joined(coded(spark, sf, OPEN))
+
+
+def q_pyramid_open_loop_decode(spark, sf):
+    return restored(spark, sf, OPEN)
 
 
 def q_pyramid_residual_2lvl(spark, sf):
-    return exploded(tokenizers.tokenize(rgb(spark, sf), TWO))
+    return joined(coded(spark, sf, RESIDUAL[2]))
 
 
 def q_pyramid_residual_3lvl(spark, sf):
-    return exploded(tokenizers.tokenize(rgb(spark, sf), THREE))
+    return joined(coded(spark, sf, RESIDUAL[3]))
+
+
+def q_pyramid_residual_4lvl(spark, sf):
+    return joined(coded(spark, sf, RESIDUAL[4]))
+
+
+def q_pyramid_residual_5lvl(spark, sf):
+    return joined(coded(spark, sf, RESIDUAL[5]))
+
+
+def q_pyramid_residual_6lvl(spark, sf):
+    return joined(coded(spark, sf, RESIDUAL[6]))
 
 
 def q_pyramid_decode(spark, sf):
-    return pixels(tokenizers.detokenize(tokenizers.tokenize(rgb(spark, sf), TWO), TWO))
+    return restored(spark, sf, RESIDUAL[2])
+
+
+def q_pyramid_decode_3lvl(spark, sf):
+    return restored(spark, sf, RESIDUAL[3])
+
+
+def q_pyramid_decode_6lvl(spark, sf):
+    return restored(spark, sf, RESIDUAL[6])
+
+
+def q_folder_images(spark, sf):
+    """Written as image files, listed, read and decoded."""
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    files.write_images(rgb(spark, sf), folder)
+    got = files.decoded(files.image_files(spark, folder), "path", "content")
+    return got.select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("img"), "height", "width", F.hex("data").alias("data"))
+
+
+def q_sorted_paths(spark, sf):
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    files.write_images(rgb(spark, sf, 2, 2), folder)
+    return files.sorted_files(spark, folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+
+
+def q_path_sample(spark, sf):
+    names = table(spark, sf, "part").select(F.concat(F.lit("pictures/"), "p_partkey", F.lit(".png")).alias("path"))
+    return files.sample_paths(names, 100, 3)
+
+
+def _tars(spark, sf):
+    """Seven tar shards of all images, with a label file beside each."""
+    folder = f"{shared_dir(spark)}/tars-{uuid.uuid4().hex}"
+    png = F.udf(_encoded, "binary")("height", "width", "data")
+    rows = rgb(spark, sf).select((F.col("img_id") % 7).alias("shard"), (F.col("img_id") * 2).alias("member_idx"), F.concat("img_id", F.lit(".png")).alias("name"), png.alias("bytes"))
+    labels = rows.select("shard", (F.col("member_idx") + 1).alias("member_idx"), F.regexp_replace("name", "png", "json").alias("name"), F.lit(b"{}").alias("bytes"))
+    files.write_tars(rows.unionByName(labels), folder)
+    return folder
+
+
+def _members(members):
+    got = files.decoded(members.withColumn("key", F.concat_ws("/", "shard", "member_idx", "name")), "key", "bytes")
+    parts = F.split("key", "/")
+    return got.select(parts[0].alias("shard"), parts[1].cast("long").alias("member"), parts[2].alias("name"), F.hex("data").alias("data"))
+
+
+def q_tar_scan(spark, sf):
+    return _members(files.tar_members(spark, f"{_tars(spark, sf)}/*.tar"))
+
+
+def q_tar_subset(spark, sf):
+    return _members(files.tar_members(spark, f"{_tars(spark, sf)}/*.tar", first=2, count=3))
+
+
+def q_tar_bytes(spark, sf):
+    whole = spark.read.format("binaryFile").load(f"{_tars(spark, sf)}/*.tar").select(F.regexp_extract("path", r"([^/]+)\.tar$", 1).alias("shard"), "content")
+    return _members(files.tar_bytes_members(whole, "shard", "content"))
+
+
+def q_parquet_images(spark, sf):
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    png = F.udf(_encoded, "binary")("height", "width", "data")
+    rgb(spark, sf).select(F.struct(png.alias("bytes"), F.col("img_id").cast("string").alias("path")).alias("image")).write.parquet(path)
+    got = files.decoded(files.parquet_images(spark, path).select(F.md5("bytes").alias("key"), "bytes"), "key", "bytes")
+    return got.groupBy(F.hex("data").alias("data")).agg(F.count("*").alias("images"))
+
+
+def q_tensor_images(spark, sf):
+    """Normalised planes and back to bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(n, SIDE, SIDE, 3)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.round(im.normalise(x).reshape(n, -1).astype(float) + 1e-6, 6)), pa.list_(pa.float64()))], ["img_id", "planes"])
+
+    rows = rgb(spark, sf).mapInArrow(run, "img_id long, planes array<double>")
+    return pixels(files.tensor_images(rows, "img_id", SIDE, SIDE))
 
 
 def _levels(spark, sf):
@@ -257,6 +546,35 @@ def _stats():
     return F.min("v").alias("least"), F.max("v").alias("most"), F.round(F.avg("v"), 6).alias("mean"), F.countDistinct("v").alias("kinds")
 
 
+class Brightness:
+    """What a tokenizer from elsewhere has to offer: the grey of each quarter, decoded as such."""
+
+    size, presize, vocab, tokens_per_image = SIDE, "lanczos", 256, 4
+
+    def encode(self, images: np.ndarray) -> np.ndarray:
+        return (im.to_blocks(images, SIDE // 2).reshape(len(images), 4, -1).astype(np.int64).sum(2) // (SIDE * SIDE // 4 * 3)).astype(np.int32)
+
+    def decode(self, tokens: np.ndarray) -> np.ndarray:
+        return im.from_blocks(np.broadcast_to(tokens.astype(np.uint8)[:, :, None, None, None], (len(tokens), 4, SIDE // 2, SIDE // 2, 3)))
+
+
+def q_plugin_tokenize(spark, sf):
+    return joined(coded(spark, sf, Brightness()))
+
+
+def q_plugin_decode(spark, sf):
+    return restored(spark, sf, Brightness())
+
+
+def q_stream_tokenize(spark, sf):
+    """Images that arrive as files, tokenised with a checkpoint, in two runs of which the second finds nothing new."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rgb(spark, sf).write.parquet(f"{root}/in")
+    for _ in range(2):
+        streaming.tokenize_stream(streaming.file_stream(spark, f"{root}/in"), COLOR, f"{root}/out", f"{root}/state").awaitTermination()
+    return joined(spark.read.parquet(f"{root}/out"))
+
+
 def q_level_stats(spark, sf):
     return _levels(spark, sf).groupBy("level").agg(*_stats())
 
@@ -265,14 +583,33 @@ def q_level_rollup(spark, sf):
     return _levels(spark, sf).rollup("level").agg(*_stats())
 
 
-RGB = (
-    "rgb AS (SELECT p_partkey AS img, y, x, c, (p_partkey * 37 + y * 11 + x * 7 + c * 53 + (y * x * p_partkey) % 17) % 256 AS v "
-    "FROM part, range(32) a(y), range(32) b(x), range(3) d(c) WHERE p_partkey <= 50)"
-)
+def picture_sql(name: str, height: int, width: int) -> str:
+    return (
+        f"{name} AS (SELECT p_partkey AS img, y, x, c, (p_partkey * 37 + y * 11 + x * 7 + c * 53 + (y * x * p_partkey) % 17) % 256 AS v "
+        f"FROM part, range({height}) a(y), range({width}) b(x), range(3) d(c))"
+    )
+
+
+def hex_sql(source: str, v: str = "v") -> str:
+    return f"SELECT img, string_agg(printf('%02X', {v}::BIGINT), '' ORDER BY y, x, c) AS data FROM {source} GROUP BY img"
+
+
+def tokens_sql(source: str) -> str:
+    return f"SELECT img, string_agg(tok::BIGINT::VARCHAR, ',' ORDER BY pos) AS tokens FROM ({source}) GROUP BY img"
+
+
+RGB = picture_sql("rgb", 32, 32)
+WIDE = picture_sql("wide", 24, 40)
 YCC = (
-    RGB + ", wide AS (SELECT img, y, x, max(v) FILTER (c = 0)::DOUBLE AS r, max(v) FILTER (c = 1)::DOUBLE AS g, max(v) FILTER (c = 2)::DOUBLE AS b FROM rgb GROUP BY ALL), "
+    RGB + ", flat AS (SELECT img, y, x, max(v) FILTER (c = 0)::DOUBLE AS r, max(v) FILTER (c = 1)::DOUBLE AS g, max(v) FILTER (c = 2)::DOUBLE AS b FROM rgb GROUP BY ALL), "
     "ycc AS (SELECT img, y, x, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b - 128 AS lum, -0.168736::DOUBLE * r + -0.331264::DOUBLE * g + 0.5::DOUBLE * b AS cb, "
-    "0.5::DOUBLE * r + -0.418688::DOUBLE * g + -0.081312::DOUBLE * b AS cr FROM wide)"
+    "0.5::DOUBLE * r + -0.418688::DOUBLE * g + -0.081312::DOUBLE * b AS cr FROM flat)"
+)
+_CHANNELS = "channels AS (SELECT img, y, x, 0 AS c, lum AS v FROM ycc UNION ALL SELECT img, y, x, 1, cb FROM ycc UNION ALL SELECT img, y, x, 2, cr FROM ycc)"
+_BACK = (
+    "wide AS (SELECT img, y, x, max(v) FILTER (c = 0) + 128 AS l, max(v) FILTER (c = 1) AS cb, max(v) FILTER (c = 2) AS cr FROM planes GROUP BY ALL), "
+    "restored AS (SELECT img, y, x, c, floor(greatest(0, least(255, round(CASE c WHEN 0 THEN l + 1.402::DOUBLE * cr WHEN 1 THEN l - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr "
+    "ELSE l + 1.772::DOUBLE * cb END, 6)))) AS v FROM wide, range(3) t(c))"
 )
 COLOR_SQL = (
     RGB + ", bm AS (SELECT img, (y // 8) * 4 + x // 8 AS pos, c, greatest(0, least(7, floor(avg(v) * 8 / 256)))::BIGINT AS q FROM rgb GROUP BY ALL), "
@@ -284,61 +621,231 @@ _DIST = "list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (
 ASSIGN = (
     VEC + f", near AS (SELECT e.vec_id, e.v, c.vec_id AS code, c.v AS cv, {_DIST} AS distance FROM e, e c WHERE c.vec_id < 16 QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {_DIST}, c.vec_id) = 1)"
 )
+
+
+def basis_sql(name: str, n: int) -> str:
+    return (
+        f"{name} AS (SELECT k, n, CASE WHEN k = 0 THEN sqrt(1.0 / {n}) ELSE sqrt(2.0 / {n}) END * cos(pi() * k * (2 * n + 1) / {2 * n}) AS b FROM range({n}) a(k), range({n}) d(n)), "
+        f"{name}_zz AS (SELECT idx // {n} AS k, idx % {n} AS l, idx, row_number() OVER (ORDER BY idx // {n} + idx % {n}, CASE WHEN (idx // {n} + idx % {n}) % 2 = 1 THEN idx // {n} ELSE idx % {n} END) - 1 AS zz FROM range({n * n}) t(idx))"
+    )
+
+
+_STEPS = "steps AS (SELECT unnest(" + str(list(im.LUMA_STEPS)) + ") AS q, unnest(range(64)) AS zz)"
 PX = (
     "px AS (SELECT vec_id, unnest(range(64)) AS p, floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, (unnest(embedding)::DOUBLE + 0.5::DOUBLE) * 255.0::DOUBLE))) AS v FROM embeddings), "
-    "basis AS (SELECT k, n, CASE WHEN k = 0 THEN sqrt(1.0 / 8) ELSE sqrt(2.0 / 8) END * cos(pi() * k * (2 * n + 1) / 16) AS b FROM range(8) a(k), range(8) d(n)), "
-    "zz AS (SELECT idx, row_number() OVER (ORDER BY idx // 8 + idx % 8, CASE WHEN (idx // 8 + idx % 8) % 2 = 1 THEN idx // 8 ELSE idx % 8 END) - 1 AS zz FROM range(64) t(idx)), "
-    "steps AS (SELECT unnest(" + str(list(im.LUMA_STEPS)) + ") AS q, unnest(range(64)) AS zz)"
+    + basis_sql("basis", 8) + ", zz AS (SELECT idx, zz FROM basis_zz), " + _STEPS
 )
 DCT_SQL = PX + ", co AS (SELECT vec_id, k.k * 8 + l.k AS pos, sum(v * k.b * l.b) AS coeff FROM px JOIN basis k ON k.n = p // 8 JOIN basis l ON l.n = p % 8 GROUP BY ALL)"
 _TOKEN = "greatest(0, least(1023, round(round(coeff / (q * 0.5::DOUBLE), 6) + 512)))::BIGINT AS tok"
 
 
-def resample_sql(name: str, source: str, n_in: int, n_out: int) -> str:
-    """CTEs that resample (img, y, x, c, v) from n_in to n_out with a triangle, columns first within rows."""
+def dct_sql(n: int, frequencies: int, scale: str, channels: int = 3, source: str = YCC + ", " + _CHANNELS) -> str:
+    """CTE tokens(img, c, zz, ty, tx, tok): blocks of n transformed along both axes, the first frequencies quantised ty scale (q: the usual steps)."""
+    nb = 32 // n
+    return (
+        f"{source}, {basis_sql('basis', n)}, {_STEPS}, freq AS (SELECT k, l, zz FROM basis_zz WHERE zz < {frequencies}), "
+        f"bars AS (SELECT img, c, y, x // {n} AS tx, b.k AS l, sum(v * b) AS v FROM channels JOIN basis b ON b.n = x % {n} WHERE c < {channels} AND b.k IN (SELECT l FROM freq) GROUP BY ALL), "
+        f"co AS (SELECT img, c, y // {n} AS ty, tx, zz, sum(v * b) AS coeff FROM bars JOIN freq USING (l) JOIN basis b ON b.n = y % {n} AND b.k = freq.k GROUP BY ALL), "
+        f"tokens AS (SELECT img, c, zz, ty, tx, c * {frequencies * nb * nb} + zz * {nb * nb} + ty * {nb} + tx AS pos, "
+        f"greatest(0, least(1023, round(round(coeff / ({scale}), 6) + 512))) AS tok FROM co LEFT JOIN steps USING (zz))"
+    )
+
+
+def undct_sql(n: int, scale: str) -> str:
+    """CTE planes(img, y, x, c, v) from tokens."""
+    return (
+        f"wanted AS (SELECT img, c, ty, tx, s.k, s.l, (tok - 512) * ({scale}) AS coeff FROM tokens JOIN freq s USING (zz) LEFT JOIN steps USING (zz)), "
+        f"planes AS (SELECT img, c, ty * {n} + a.n AS y, tx * {n} + d.n AS x, sum(coeff * a.b * d.b) AS v FROM wanted w JOIN basis a ON a.k = w.k JOIN basis d ON d.k = w.l GROUP BY ALL)"
+    )
+
+
+_LUMA_STEP = "q * 0.5::DOUBLE"
+_KERNELS = {
+    "triangle": (1, "greatest(0, 1 - abs(d))"),
+    "cubic": (2, "CASE WHEN abs(d) < 1 THEN (1.5::DOUBLE * abs(d) - 2.5) * d * d + 1 WHEN abs(d) < 2 THEN ((-0.5::DOUBLE * abs(d) + 2.5) * abs(d) - 4) * abs(d) + 2 ELSE 0 END"),
+    "lanczos": (3, "CASE WHEN d = 0 THEN 1 WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END"),
+}
+
+
+def weights_sql(name: str, n_in: int, n_out: int, kernel: str) -> str:
     scale = n_in / n_out
-    stretch = max(1.0, scale)
-    w = f"{name}_w AS (SELECT o, i, greatest(0, 1 - abs((i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {scale}::DOUBLE) / {stretch}::DOUBLE)) AS w FROM range({n_out}) a(o), range({n_in}) b(i))"
-    h = f"{name}_h AS (SELECT img, y, o AS x, c, floor(sum(v * w) / sum(w) + 0.5)::BIGINT AS v FROM {source} JOIN {name}_w ON i = x AND w > 0 GROUP BY ALL)"
-    return f"{w}, {h}, {name} AS (SELECT img, o AS y, x, c, floor(sum(v * w) / sum(w) + 0.5)::BIGINT AS v FROM {name}_h JOIN {name}_w ON i = y AND w > 0 GROUP BY ALL)"
+    stretch, (support, f) = max(1.0, scale), _KERNELS[kernel]
+    return f"{name} AS (SELECT o, i, {f} AS w FROM (SELECT o, i, (i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {scale!r}::DOUBLE) / {stretch!r}::DOUBLE AS d FROM range({n_out}) a(o), range({n_in}) b(i)) WHERE abs(d) <= {support})"
 
 
-def _residual(up: str, level: str, name: str) -> str:
+def resample_sql(name: str, source: str, n_in: int, n_out: int, rows_in: int = 0, rows_out: int = 0, kernel: str = "triangle") -> str:
+    """CTEs that resample (img, y, x, c, v), columns first within rows; rows as columns unless said."""
+    byte = "greatest(0, least(255, floor(round(sum(v * w) / sum(w), 9) + 0.5)))::BIGINT AS v"
     return (
-        f"{name} AS (SELECT l.img, l.y, l.x, l.c, greatest(0, least(255, l.v - u.v + 128)) AS r, greatest(0, least(255, u.v + greatest(0, least(255, l.v - u.v + 128)) - 128)) AS v "
-        f"FROM {level} l JOIN {up} u USING (img, y, x, c))"
+        f"{weights_sql(name + '_w', n_in, n_out, kernel)}, {weights_sql(name + '_u', rows_in or n_in, rows_out or n_out, kernel)}, "
+        f"{name}_h AS (SELECT img, y, o AS x, c, {byte} FROM {source} JOIN {name}_w ON i = x GROUP BY ALL), "
+        f"{name} AS (SELECT img, o AS y, x, c, {byte} FROM {name}_h JOIN {name}_u ON i = y GROUP BY ALL)"
     )
 
 
-_TWO = ", ".join([RGB, resample_sql("l8", "rgb", 32, 8), resample_sql("l16", "rgb", 32, 16), resample_sql("u16", "l8", 8, 16), _residual("u16", "l16", "r16")])
-_THREE = ", ".join([_TWO, resample_sql("u32", "r16", 16, 32), _residual("u32", "rgb", "r32")])
-_POS8, _POS16 = "y * 24 + x * 3 + c", "192 + y * 48 + x * 3 + c"
-_L1 = "a AS (SELECT img, y // 2 AS y, x // 2 AS x, c, sum(v) / 2.0::DOUBLE AS v FROM rgb GROUP BY ALL)"
+def residual_sql(sides: tuple, closed: bool = True) -> tuple[str, str, str]:
+    """(CTEs, tokens, last level decoded) of residual pyramids."""
+    ctes, parts, base = [RGB], [], 0
+    levels = {s: "rgb" if s == 32 else f"l{s}" for s in sides}
+    ctes += [resample_sql(name, "rgb", 32, s) for s, name in levels.items() if s != 32]
+    known = decoded = levels[sides[0]]
+    for k, s in enumerate(sides):
+        v = "v"
+        if k:
+            ctes.append(resample_sql(f"u{s}", known, sides[k - 1], s))
+            ctes.append(
+                f"r{s} AS (SELECT l.img, l.y, l.x, l.c, greatest(0, least(255, l.v - u.v + 128)) AS r, greatest(0, least(255, u.v + greatest(0, least(255, l.v - u.v + 128)) - 128)) AS v "
+                f"FROM {levels[s]} l JOIN u{s} u USING (img, y, x, c))"
+            )
+            if closed:
+                known = decoded = f"r{s}"
+            else:
+                ctes.append(resample_sql(f"v{s}", decoded, sides[k - 1], s))
+                ctes.append(f"d{s} AS (SELECT r.img, r.y, r.x, r.c, greatest(0, least(255, u.v + r.r - 128)) AS v FROM r{s} r JOIN v{s} u USING (img, y, x, c))")
+                known, decoded = levels[s], f"d{s}"
+            v, source = "r", f"r{s}"
+        else:
+            source = known
+        parts.append(f"SELECT img, {base} + y * {3 * s} + x * 3 + c AS pos, {v} AS tok FROM {source}")
+        base += 3 * s * s
+    return ", ".join(ctes), " UNION ALL ".join(parts), decoded
+
+
+def _residual_tokens(levels: int) -> str:
+    ctes, tokens, _ = residual_sql(LEVELS[levels])
+    return f"WITH {ctes} {tokens_sql(tokens)}"
+
+
+def _residual_decoded(sides: tuple, closed: bool = True) -> str:
+    ctes, _, last = residual_sql(sides, closed)
+    return f"WITH {ctes} {hex_sql(last)}" if sides[-1] == 32 else f"WITH {ctes}, {resample_sql('out', last, sides[-1], 32)} {hex_sql('out')}"
+
+
 _STAT_SQL = "min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, count(DISTINCT v) AS kinds"
 _LEVEL_SQL = f"WITH {PX} SELECT level, {_STAT_SQL} FROM (SELECT CASE WHEN p < 4 THEN 0 WHEN p < 16 THEN 1 ELSE 2 END::BIGINT AS level, v::BIGINT AS v FROM px)"
-_HAAR = f"""
-WITH {RGB}, {_L1},
-d AS (SELECT img, y // 2 AS y, x // 2 AS x, c,
-  sum(v) / 2 AS ap, sum(v * CASE WHEN y % 2 = 0 THEN 1 ELSE -1 END) / 2 AS h,
-  sum(v * CASE WHEN x % 2 = 0 THEN 1 ELSE -1 END) / 2 AS w, sum(v * CASE WHEN (x + y) % 2 = 0 THEN 1 ELSE -1 END) / 2 AS g FROM a GROUP BY ALL),
-t AS (SELECT img, c * 256 + y * 8 + x AS pos, ap AS v, 0.0::DOUBLE AS lo, 1020.0::DOUBLE AS hi FROM d
-  UNION ALL SELECT img, c * 256 + 64 + (y * 8 + x) * 3 + k, CASE k WHEN 0 THEN h WHEN 1 THEN w ELSE g END, -300.0::DOUBLE, 300.0::DOUBLE FROM d, range(3) r(k))
-SELECT img, pos, greatest(0, least(1023, trunc((greatest(lo, least(hi, v)) - lo) / (hi - lo + 1e-8::DOUBLE) * 1023)))::BIGINT AS tok FROM t"""
 
-SQL = {
-    "rgb_to_ycbcr": f"WITH {YCC} SELECT img, y, x, round(lum, 6) AS lum, round(cb, 6) AS cb, round(cr, 6) AS cr FROM ycc",
-    "ycbcr_to_rgb": f"WITH {YCC} SELECT img, y, x, "
-    + ", ".join(
-        f"floor(least(255, greatest(0, round({e}, 6))))::BIGINT AS {k}"
-        for k, e in (("r", "lum + 128 + 1.402::DOUBLE * cr"), ("g", "lum + 128 - 0.344136::DOUBLE * cb - 0.714136::DOUBLE * cr"), ("b", "lum + 128 + 1.772::DOUBLE * cb"))
+
+def haar_sql(name: str, source: str) -> str:
+    """CTE name(img, c, y, x, ap, h, w, g): one level of averages and details of source(img, c, y, x, v)."""
+    return (
+        f"{name} AS (SELECT img, c, y // 2 AS y, x // 2 AS x, sum(v) / 2.0::DOUBLE AS ap, sum(v * CASE WHEN y % 2 = 0 THEN 1 ELSE -1 END) / 2.0::DOUBLE AS h, "
+        f"sum(v * CASE WHEN x % 2 = 0 THEN 1 ELSE -1 END) / 2.0::DOUBLE AS w, sum(v * CASE WHEN (x + y) % 2 = 0 THEN 1 ELSE -1 END) / 2.0::DOUBLE AS g FROM {source} GROUP BY ALL)"
     )
-    + " FROM ycc",
-    "block_extract": f"WITH {RGB} SELECT img, (y // 8) * 4 + x // 8 AS block, (y % 8) * 24 + (x % 8) * 3 + c AS pos, v FROM rgb",
-    "block_mean": f"WITH {RGB} SELECT img, (y // 8) * 4 + x // 8 AS block, c, round(avg(v), 6) AS mean FROM rgb GROUP BY ALL",
-    "color_tokenize": f"WITH {COLOR_SQL} SELECT img, pos, tok FROM ct",
-    "color_detokenize": f"WITH {COLOR_SQL} SELECT img, y, x, c, w AS v FROM dec",
+
+
+def haar_tokens_sql(source: str, side: int, lo_side: int) -> str:
+    """CTE t(img, c, y, x, k, pos, tok): two levels, the approximation (k = -1) and the coarser details."""
+    n = lo_side * lo_side
+    return (
+        f"{haar_sql('one', source)}, low AS (SELECT img, c, y, x, ap AS v FROM one), {haar_sql('two', 'low')}, "
+        f"raw AS (SELECT img, c, y, x, -1 AS k, c * {4 * n} + y * {lo_side} + x AS pos, ap AS v, 0.0::DOUBLE AS lo, 1020.0::DOUBLE AS hi FROM two "
+        f"UNION ALL SELECT img, c, y, x, k, c * {4 * n} + {n} + (y * {lo_side} + x) * 3 + k, CASE k WHEN 0 THEN h WHEN 1 THEN w ELSE g END, -300.0::DOUBLE, 300.0::DOUBLE FROM two, range(3) r(k)), "
+        "t AS (SELECT img, c, y, x, k, pos, lo, hi, greatest(0, least(1023, trunc((greatest(lo, least(hi, v)) - lo) / (hi - lo + 1e-8::DOUBLE) * 1023))) AS tok FROM raw)"
+    )
+
+
+def unhaar_sql(name: str, source: str, details: str = "") -> str:
+    """CTE name(img, c, y, x, v): source(img, c, y, x, ap, h, w, g) one level finer."""
+    return (
+        f"{name} AS (SELECT img, c, y * 2 + a.i AS y, x * 2 + b.j AS x, (ap + h * (1 - 2 * a.i) + w * (1 - 2 * b.j) + g * CASE WHEN a.i = b.j THEN 1 ELSE -1 END) / 2 AS v "
+        f"FROM {source}, range(2) a(i), range(2) b(j))"
+    )
+
+
+_FROM_TOKENS = (
+    "values_ AS (SELECT img, c, y, x, k, tok / 1023.0::DOUBLE * (hi - lo) + lo AS v FROM t), "
+    "coarse AS (SELECT img, c, y, x, max(v) FILTER (k = -1) AS ap, max(v) FILTER (k = 0) AS h, max(v) FILTER (k = 1) AS w, max(v) FILTER (k = 2) AS g FROM values_ GROUP BY ALL), "
+    + unhaar_sql("middle", "coarse") + ", fine AS (SELECT img, c, y, x, v AS ap, 0.0::DOUBLE AS h, 0.0::DOUBLE AS w, 0.0::DOUBLE AS g FROM middle), " + unhaar_sql("raised", "fine")
+    + ", bytes AS (SELECT img, c, y, x, floor(greatest(0, least(255, round(v, 6)))) AS v FROM raised)"
+)
+GREY = "grey AS (SELECT vec_id AS img, c, p // 8 AS y, p % 8 AS x, v FROM px, range(3) t(c))"
+#: The seven values kept of each channel: four averages, then the largest three of all details in their own order.
+_TOP = (
+    f"{PX}, {GREY}, {haar_sql('one', 'grey')}, low AS (SELECT img, c, y, x, ap AS v FROM one), {haar_sql('two', 'low')}, "
+    "details AS (SELECT img, c, (y * 2 + x) * 3 + k AS place, CASE k WHEN 0 THEN h WHEN 1 THEN w ELSE g END AS v FROM two, range(3) r(k) "
+    "UNION ALL SELECT img, c, 12 + (y * 4 + x) * 3 + k, CASE k WHEN 0 THEN h WHEN 1 THEN w ELSE g END FROM one, range(3) r(k)), "
+    "top AS (SELECT img, c, place, v FROM details QUALIFY row_number() OVER (PARTITION BY img, c ORDER BY abs(v) DESC, place) <= 3), "
+    "kept AS (SELECT img, c, y * 2 + x AS pos, ap AS v FROM two UNION ALL SELECT img, c, 3 + row_number() OVER (PARTITION BY img, c ORDER BY place), v FROM top), "
+    "ranged AS (SELECT *, min(v) OVER (PARTITION BY img, c) AS least, max(v) OVER (PARTITION BY img, c) AS most FROM kept), "
+    "t AS (SELECT img, c, pos, greatest(0, least(1023, trunc((v - least) / (most - least + 1e-8::DOUBLE) * 1023))) AS tok FROM ranged)"
+)
+_TOP_DECODED = (
+    _TOP + ", back AS (SELECT img, c, pos, tok / 1023.0::DOUBLE * CASE c WHEN 0 THEN 255 ELSE 150 END + CASE c WHEN 0 THEN 0 ELSE -75 END AS v FROM t), "
+    "coarse AS (SELECT a.img, a.c, a.pos // 2 AS y, a.pos % 2 AS x, a.v AS ap, coalesce(h.v, 0) AS h, coalesce(w.v, 0) AS w, coalesce(g.v, 0) AS g FROM back a "
+    + " ".join(f"LEFT JOIN back {n} ON {n}.img = a.img AND {n}.c = a.c AND {n}.pos = 4 + a.pos * 3 + {k}" for k, n in enumerate("hwg")) + " WHERE a.pos < 4), "
+    + unhaar_sql("middle", "coarse") + ", fine AS (SELECT img, c, y, x, v AS ap, 0.0::DOUBLE AS h, 0.0::DOUBLE AS w, 0.0::DOUBLE AS g FROM middle), " + unhaar_sql("raised", "fine")
+    + ", bytes AS (SELECT img, c, y, x, floor(greatest(0, least(255, round(v, 6)))) AS v FROM raised)"
+)
+_HAAR = f"WITH {RGB}, {haar_tokens_sql('rgb', 32, 8)}"
+
+
+def blocks_sql(name: str, block: int, source: str = "rgb") -> str:
+    """CTE name(img, block, v): whole numbers of a block in raster order."""
+    n = 32 // block
+    return f"{name} AS (SELECT img, (y // {block}) * {n} + x // {block} AS block, list(v ORDER BY y, x, c) AS v FROM {source} GROUP BY ALL)"
+
+
+def nearest_sql(name: str, source: str, book: str) -> str:
+    """CTE name(img, block, code): nearest code of each block, the lowest of equals."""
+    far = "list_sum(list_transform(list_zip(s.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    return f"{name} AS (SELECT img, block, arg_min(code, (far, code)) AS code FROM (SELECT s.img, s.block, b.code, {far} AS far FROM {source} s, {book} b) GROUP BY ALL)"
+
+
+_HVQ = (
+    f"{RGB}, {blocks_sql('large', 16)}, {blocks_sql('small', 8)}, book16 AS (SELECT img * 4 + block AS code, v FROM large WHERE img < 2), book8 AS (SELECT block AS code, v FROM small WHERE img = 0), "
+    f"{nearest_sql('coarse', 'large', 'book16')}, {nearest_sql('fine', 'small', 'book8')}"
+)
+_SHAPES = ", ".join(
+    f"('{k}', {v}, {n})"
+    for k, v, n in [
+        ("dct", 1024, 196608), ("dct-tiny", 1024, 256), ("dct-small", 1024, 768), ("dct-medium", 1024, 3072), ("dct-large", 1024, 49152),
+        ("haar-tiny", 1024, 48), ("haar-small", 1024, 192), ("haar-medium", 1024, 768), ("haar-large", 1024, 12288),
+        ("haar-topk-tiny", 1024, 255), ("haar-topk-small", 1024, 768), ("haar-topk-medium", 1024, 3072), ("haar-topk-large", 1024, 12288),
+        ("pyramid-tiny", 256, 240), ("pyramid-small", 256, 960), ("pyramid-medium", 256, 4032), ("pyramid-large", 256, 16128),
+        ("residual-2", 256, 960), ("residual-3", 256, 4032), ("residual-4", 256, 16320), ("residual-5", 256, 65472), ("residual-6", 256, 65520),
+        ("color-tiny", 512, 64), ("color-small", 512, 256), ("color-medium", 4096, 1024), ("color-large", 4096, 4096),
+        ("vq-tiny", 256, 64), ("vq-small", 512, 256), ("vq-medium", 1024, 1024), ("vq-large", 2048, 4096),
+        ("hvq-tiny", 256, 64), ("hvq-small", 256, 320), ("hvq-medium", 256, 1344), ("hvq-large", 512, 1280),
+    ]
+)
+_LLOYD = ", ".join(
+    [
+        VEC, "b0 AS (SELECT vec_id AS code, v FROM e WHERE vec_id < 16)",
+        *(
+            f"n{k} AS (SELECT e.vec_id, e.v, c.code FROM e, b{k} c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {_DIST}, c.code) = 1), "
+            f"m{k} AS (SELECT code, dim, avg(x) AS x FROM (SELECT code, unnest(range(64)) AS dim, unnest(v) AS x FROM n{k}) GROUP BY ALL), b{k + 1} AS (SELECT code, list(x ORDER BY dim) AS v FROM m{k} GROUP BY code)"
+            for k in range(2)
+        ),
+    ]
+)
+_QUARTERS = "q AS (SELECT img, (y // 16) * 2 + x // 16 AS pos, sum(v)::BIGINT // 768 AS v FROM rgb GROUP BY ALL)"
+_OPEN = residual_sql((8, 16, 32), False)
+_TAR = "SELECT printf('%05d', img % 7) AS shard, row_number() OVER (PARTITION BY img % 7 ORDER BY img) - 1 AS member, img || '.png' AS name, data FROM"
+
+SQL = {
+    "rgb_to_ycbcr": f"WITH {YCC} SELECT img, " + ", ".join(f"string_agg(round({k} * 1e6::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY y, x) AS {k}" for k in ("lum", "cb", "cr")) + " FROM ycc GROUP BY img",
+    "ycbcr_to_rgb": f"WITH {YCC}, {_CHANNELS}, planes AS (SELECT * FROM channels), {_BACK} {hex_sql('restored')}",
+    "block_extract": f"WITH {RGB}, {blocks_sql('b', 8)} SELECT img, block, array_to_string(v, ',') AS v FROM b",
+    "block_assemble": f"WITH {RGB} {hex_sql('rgb')}",
+    "block_mean": f"WITH {RGB} SELECT img, string_agg(s::BIGINT::VARCHAR, ',' ORDER BY block, c) AS means FROM (SELECT img, (y // 8) * 4 + x // 8 AS block, c, sum(v) AS s FROM rgb GROUP BY ALL) GROUP BY img",
+    "color_tokenize": f"WITH {COLOR_SQL} {tokens_sql('SELECT * FROM ct')}",
+    "color_detokenize": f"WITH {COLOR_SQL} {hex_sql('dec', 'w')}",
     "psnr_per_image": f"WITH {COLOR_SQL}, m AS (SELECT img, avg((v - w) * (v - w)) AS mse FROM dec GROUP BY img) SELECT img, round(mse, 6) AS mse, round(10 * log10(255.0 * 255.0 / (mse + 1e-10)), 6) AS psnr FROM m",
     "psnr_avg": f"WITH {COLOR_SQL}, m AS (SELECT img, avg((v - w) * (v - w)) AS mse FROM dec GROUP BY img) SELECT round(avg(10 * log10(255.0 * 255.0 / (mse + 1e-10))), 6) AS psnr, count(*) AS images FROM m",
+    "resize_stretch": f"WITH {WIDE}, {resample_sql('out', 'wide', 40, 16, 24, 16)} {hex_sql('out')}",
+    "resize_crop": f"WITH {WIDE}, {resample_sql('out', 'wide', 40, 26, 24, 16)} {hex_sql('(SELECT * FROM out WHERE x BETWEEN 5 AND 20)')}",
+    "resize_lanczos": f"WITH {WIDE}, {resample_sql('out', 'wide', 40, 16, 24, 16, 'lanczos')} {hex_sql('out')}",
+    "bicubic_normalised": f"WITH {WIDE}, {resample_sql('out', 'wide', 40, 26, 24, 16, 'cubic')} SELECT img, string_agg(round(((v / 255.0::DOUBLE)::FLOAT - 0.5::FLOAT) / 0.5::FLOAT * 1e6::DOUBLE)::BIGINT::VARCHAR, ',' ORDER BY c, y, x) AS planes FROM out WHERE x BETWEEN 5 AND 20 GROUP BY img",
+    "haar_from_bytes": f"WITH {WIDE}, {resample_sql('out', 'wide', 40, 32, 24, 32, 'lanczos')}, {haar_tokens_sql('out', 32, 8)} {tokens_sql('SELECT * FROM t')}",
+    "gradient_image": "SELECT y, string_agg(printf('%02X%02X80', floor(x * 255.0 / 31)::BIGINT, floor(y * 255.0 / 31)::BIGINT), '' ORDER BY x) AS data FROM range(32) a(y), range(32) b(x) GROUP BY y",
+    "preset_shapes": f"SELECT preset, vocab::BIGINT AS vocab, tokens::BIGINT AS tokens FROM (VALUES {_SHAPES}) t(preset, vocab, tokens)",
+    "random_codebook": "SELECT code, dim, ('0x' || substr(md5('7:' || code || ':' || dim), 1, 2))::BIGINT AS v FROM range(16) a(code), range(48) b(dim)",
+    "vq_sample": f"WITH {RGB}, {blocks_sql('b', 8)} SELECT img * 16 + block AS vec_id, array_to_string(v, ',') AS v FROM b ORDER BY md5('3:' || (img * 16 + block)), 1 LIMIT 100",
+    "vq_init": f"WITH {RGB}, {blocks_sql('b', 16)}, one AS (SELECT v, min(img * 4 + block) AS id FROM b GROUP BY v) SELECT row_number() OVER (ORDER BY md5('5:' || id), id) - 1 AS code, array_to_string(v, ',') AS v FROM one ORDER BY md5('5:' || id), id LIMIT 8",
+    "vq_fit": f"WITH {_LLOYD} SELECT code, dim, round(x, 6) AS v FROM m1",
+    "vq_image_tokens": f"WITH {_HVQ} {tokens_sql('SELECT img, block AS pos, code AS tok FROM fine')}",
+    "hvq_image_tokens": f"WITH {_HVQ} {tokens_sql('SELECT img, block AS pos, code AS tok FROM coarse UNION ALL SELECT img, 4 + block, code FROM fine')}",
+    "hvq_image_decode": f"WITH {_HVQ}, px AS (SELECT f.img, (block // 4) * 8 + p // 24 AS y, (block % 4) * 8 + p % 24 // 3 AS x, p % 3 AS c, v[p + 1] AS v FROM fine f JOIN book8 USING (code), range(192) r(p)) {hex_sql('px')}",
     "vq_grid_codebook": "SELECT (r * 49 + g * 7 + b)::BIGINT AS code, round(r * 42.5::DOUBLE, 6) AS r, round(g * 42.5::DOUBLE, 6) AS g, round(b * 42.5::DOUBLE, 6) AS b FROM range(7) x(r), range(7) y(g), range(7) z(b) WHERE r * 49 + g * 7 + b < 256",
     "vq_assign": f"WITH {ASSIGN} SELECT vec_id, code, round(distance, 6) AS distance FROM near",
     "vq_reconstruct": f"WITH {ASSIGN} SELECT vec_id, unnest(range(64)) AS dim, round(unnest(cv), 6) AS v FROM near",
@@ -352,17 +859,44 @@ SELECT e.vec_id, e.pos::BIGINT AS pos, c.code AS tok FROM parts e JOIN book c ON
     "zigzag_table": f"WITH {PX} SELECT zz, idx FROM zz",
     "dct_coeffs": f"WITH {DCT_SQL} SELECT vec_id, pos, round(coeff, 6) + 0.0 AS coeff FROM co",
     "dct_quantize": f"WITH {DCT_SQL} SELECT vec_id, zz AS pos, {_TOKEN} FROM co JOIN zz ON idx = pos JOIN steps USING (zz)",
-    "dct_freq_first": f"""
-WITH {YCC}, {PX}, small AS (SELECT idx // 8 AS k, idx % 8 AS l, zz, q FROM zz JOIN steps USING (zz) WHERE zz < 4),
-co AS (SELECT img, zz * 16 + (y // 8) * 4 + x // 8 AS pos, any_value(q) AS q, sum(lum * a.b * d.b) AS coeff FROM ycc JOIN small ON true JOIN basis a ON a.k = small.k AND a.n = y % 8 JOIN basis d ON d.k = small.l AND d.n = x % 8 GROUP BY ALL)
-SELECT img, pos, {_TOKEN} FROM co""",
-    "dct_roundtrip": "SELECT vec_id, true AS exact FROM embeddings",
-    "haar_v2_tokens": _HAAR,
-    "haar_roundtrip": "SELECT vec_id, true AS exact FROM embeddings",
-    "pyramid_direct": f"WITH {RGB}, {resample_sql('l4', 'rgb', 32, 4)}, {resample_sql('l8', 'rgb', 32, 8)} SELECT img, y * 12 + x * 3 + c AS pos, v AS tok FROM l4 UNION ALL SELECT img, 48 + {_POS8}, v FROM l8",
-    "pyramid_residual_2lvl": f"WITH {_TWO} SELECT img, {_POS8} AS pos, v AS tok FROM l8 UNION ALL SELECT img, {_POS16}, r FROM r16",
-    "pyramid_residual_3lvl": f"WITH {_THREE} SELECT img, {_POS8} AS pos, v AS tok FROM l8 UNION ALL SELECT img, {_POS16}, r FROM r16 UNION ALL SELECT img, 960 + y * 96 + x * 3 + c, r FROM r32",
-    "pyramid_decode": f"WITH {_TWO}, {resample_sql('out', 'r16', 16, 32)} SELECT img, y, x, c, v FROM out",
+    "dct_freq_first": f"WITH {dct_sql(8, 4, _LUMA_STEP, 1)} {tokens_sql('SELECT * FROM tokens')}",
+    "dct_tokenize": f"WITH {dct_sql(8, 64, _LUMA_STEP)} {tokens_sql('SELECT * FROM tokens')}",
+    "dct_decode": f"WITH {dct_sql(8, 4, _LUMA_STEP)}, {undct_sql(8, _LUMA_STEP)}, {_BACK} {hex_sql('restored')}",
+    "dct_passthrough": f"WITH {dct_sql(8, 4, _LUMA_STEP, 3, RGB + ', channels AS (SELECT img, y, x, c, v - 128.0::DOUBLE AS v FROM rgb)')} {tokens_sql('SELECT * FROM tokens')}",
+    "dct_compact_16": f"WITH {dct_sql(16, 4, '48.0::DOUBLE')} {tokens_sql('SELECT * FROM tokens')}",
+    "dct_compact_32": f"WITH {dct_sql(32, 4, '96.0::DOUBLE', 1)} {tokens_sql('SELECT * FROM tokens')}",
+    "dct_compact_decode": f"WITH {dct_sql(16, 4, '48.0::DOUBLE')}, {undct_sql(16, '48.0::DOUBLE')}, {_BACK} {hex_sql('restored')}",
+    "dct_compact_grey": f"WITH {dct_sql(32, 4, '96.0::DOUBLE', 1)}, {undct_sql(32, '96.0::DOUBLE')} {hex_sql('(SELECT img, y, x, t.c, floor(greatest(0, least(255, round(v + 128, 6)))) AS v FROM planes, range(3) t(c))')}",
+    "dct_roundtrip": f"""
+WITH {PX}, co AS (SELECT vec_id, k.k * 8 + l.k AS pos, sum((v - 128) * k.b * l.b) AS coeff FROM px JOIN basis k ON k.n = p // 8 JOIN basis l ON l.n = p % 8 GROUP BY ALL),
+t AS (SELECT vec_id, idx, (tok - 512) * q * 0.5::DOUBLE AS coeff FROM (SELECT vec_id, idx, q, {_TOKEN} FROM co JOIN zz ON idx = pos JOIN steps USING (zz))),
+back AS (SELECT vec_id AS img, a.n AS y, d.n AS x, sum(coeff * a.b * d.b) + 128 AS v FROM t JOIN basis a ON a.k = idx // 8 JOIN basis d ON d.k = idx % 8 GROUP BY ALL)
+{hex_sql('(SELECT img, y, x, c, floor(greatest(0, least(255, round(v, 6)))) AS v FROM back, range(3) t(c))')}""",
+    "dct_inverse": f"WITH {PX} SELECT vec_id, p AS pos, (v * 1000000)::BIGINT AS v FROM px",
+    "haar_v2_tokens": f"{_HAAR} {tokens_sql('SELECT * FROM t')}",
+    "haar_decode": f"{_HAAR}, {_FROM_TOKENS} {hex_sql('bytes')}",
+    "haar_roundtrip": f"WITH {PX}, {GREY}, {haar_tokens_sql('grey', 8, 2)}, {_FROM_TOKENS} {hex_sql('bytes')}",
+    "haar_topk_tokens": f"WITH {_TOP} {tokens_sql('SELECT img, c * 7 + pos AS pos, tok FROM t')}",
+    "haar_topk_decode": f"WITH {_TOP_DECODED} {hex_sql('bytes')}",
+    "pyramid_direct": f"WITH {RGB}, {resample_sql('l4', 'rgb', 32, 4)}, {resample_sql('l8', 'rgb', 32, 8)} {tokens_sql('SELECT img, y * 12 + x * 3 + c AS pos, v AS tok FROM l4 UNION ALL SELECT img, 48 + y * 24 + x * 3 + c, v FROM l8')}",
+    "pyramid_direct_decode": f"WITH {RGB}, {resample_sql('l8', 'rgb', 32, 8)}, {resample_sql('out', 'l8', 8, 32)} {hex_sql('out')}",
+    "pyramid_open_loop": f"WITH {_OPEN[0]} {tokens_sql(_OPEN[1])}",
+    "pyramid_open_loop_decode": _residual_decoded((8, 16, 32), False),
+    **{f"pyramid_residual_{k}lvl": _residual_tokens(k) for k in LEVELS},
+    "pyramid_decode": _residual_decoded(LEVELS[2]),
+    "pyramid_decode_3lvl": _residual_decoded(LEVELS[3]),
+    "pyramid_decode_6lvl": _residual_decoded(LEVELS[6]),
+    "folder_images": f"WITH {RGB}, p AS ({hex_sql('rgb')}) SELECT img, 32::INTEGER AS height, 32::INTEGER AS width, data FROM p",
+    "sorted_paths": "SELECT p_partkey || '.png' AS name FROM part ORDER BY name",
+    "path_sample": "SELECT 'pictures/' || p_partkey || '.png' AS path FROM part ORDER BY md5('3:pictures/' || p_partkey || '.png'), path LIMIT 100",
+    "tar_scan": f"WITH {RGB}, p AS ({hex_sql('rgb')}) {_TAR} p",
+    "tar_subset": f"WITH {RGB}, p AS ({hex_sql('rgb')}) SELECT * FROM ({_TAR} p) WHERE shard BETWEEN '00002' AND '00004'",
+    "tar_bytes": f"WITH {RGB}, p AS ({hex_sql('rgb')}) {_TAR} p",
+    "parquet_images": f"WITH {RGB}, p AS ({hex_sql('rgb')}) SELECT data, count(*) AS images FROM p GROUP BY data",
+    "tensor_images": f"WITH {RGB} {hex_sql('rgb')}",
+    "plugin_tokenize": f"WITH {RGB}, {_QUARTERS} {tokens_sql('SELECT img, pos, v AS tok FROM q')}",
+    "plugin_decode": f"WITH {RGB}, {_QUARTERS} {hex_sql('(SELECT img, y, x, c, q.v FROM rgb JOIN q USING (img) WHERE pos = (y // 16) * 2 + x // 16)')}",
+    "stream_tokenize": f"WITH {COLOR_SQL} {tokens_sql('SELECT * FROM ct')}",
     "level_stats": f"{_LEVEL_SQL} GROUP BY level",
     "level_rollup": f"{_LEVEL_SQL} GROUP BY ROLLUP (level)",
 }

@@ -1,10 +1,11 @@
-"""Images from folders, tar shards, Parquet and bytes, as rows (img_id or path, height, width, data)."""
+"""Images from folders, tar shards, Parquet and bytes, as rows (img_id or path, height, width, data), and image files from rows."""
 
 from __future__ import annotations
 
 import io
 import struct
 import tarfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenlake.functions.images import denormalise
+from tokenlake.functions.storage import written
+from tokenlake.sources.token_files import opened
+
 #: File name endings of images.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "gif", "tga", "psd", "hdr", "pic")
 
@@ -25,12 +30,27 @@ def is_image(path: Column) -> Column:
     return extension(path).isin(*EXTENSIONS)
 
 
+def shard_names(template: str, first: int, count: int, n: int) -> list[str]:
+    """The names of shards, from a template with the shard's number i and their number n, such as "{i:05d}.tar"."""
+    return [template.format(i=i, n=n) for i in range(first, min(first + count, n))]
+
+
 def image_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, length, content) of image files; the ending is tested before any content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.filter(is_image(F.col("path"))).select("path", "length", "content")
 
 
+def sorted_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, length) of image files in the order of their paths; contents are not read."""
+    return image_files(spark, folder, recursive).select("path", "length").orderBy("path")
+
+
+def sample_paths(files: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows without replacement, those whose paths have the least digests; all if there are fewer."""
+    return files.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("path"))), "path").limit(n)
+
+
 def folder_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, height, width, data): decoded by Spark's image source, which is BGR; grey is repeated, alpha dropped, bad files go."""
     raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder).select("image.*")
@@ -47,66 +67,103 @@ def folder_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
-    """uint8[h, w, 3] of PNG bytes (8 bits, not interlaced), of binary PPM, or of whatever Pillow reads if it is there; else None."""
+    """uint8[h, w, 3] of whatever Pillow reads if it is there; without it of PNG bytes and binary PPM; else None."""
     if not raw:
         return None
     try:
+        try:
+            from PIL import Image
+        except ImportError:
+            Image = None
+        if Image is not None:
+            return np.array(Image.open(io.BytesIO(raw)).convert("RGB"))
         if raw[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(raw)
         if raw[:2] == b"P6":
             parts = raw.split(None, 4)
             w, h = int(parts[1]), int(parts[2])
             return np.frombuffer(raw[-w * h * 3 :], np.uint8).reshape(h, w, 3)
-        try:
-            from PIL import Image
-        except ImportError:
-            return None
-        return np.array(Image.open(io.BytesIO(raw)).convert("RGB"))
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError):
         return None
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error, OSError, SyntaxError):
+        return None
+
+
+#: First row, first column, row step and column step of the seven interlace passes.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
 
 
 def _png(raw: bytes) -> np.ndarray:
-    at, packed, palette = 8, b"", None
-    w = h = kind = 0
+    at, packed, palette = 8, [], None
+    w = h = depth = kind = interlaced = 0
     while at < len(raw):
         (n,), name = struct.unpack(">I", raw[at : at + 4]), raw[at + 4 : at + 8]
         body = raw[at + 8 : at + 8 + n]
         at += 12 + n
         if name == b"IHDR":
             w, h, depth, kind, _, _, interlaced = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or interlaced:
-                raise ValueError("only 8 bits without interlacing")
         elif name == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif name == b"IDAT":
-            packed += body
-    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    lines = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), np.uint8)
-    above = np.zeros(w * c, np.int32)
-    for y in range(h):
-        mode, line = lines[y, 0], lines[y, 1:].astype(np.int32)
-        if mode in (1, 3, 4):  # what depends on the pixel to the left goes pixel by pixel
-            for x in range(w * c):
-                a, b = (line[x - c] if x >= c else 0), above[x]
-                if mode == 1:
-                    guess = a
-                elif mode == 3:
-                    guess = (a + b) // 2
-                else:
-                    corner = above[x - c] if x >= c else 0
-                    p = a + b - corner
-                    guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - corner), 2, corner))[2]
-                line[x] = (line[x] + guess) & 255
+            packed.append(body)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    data = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    out, at = np.zeros((h, w, channels), np.uint16), 0
+    for top, left, down, across in PASSES if interlaced else ((0, 0, 1, 1),):
+        height, width = -(-max(h - top, 0) // down), -(-max(w - left, 0) // across)
+        if not height or not width:
+            continue
+        row = -(-width * channels * depth // 8)
+        lines = unfiltered(data[at : at + height * (row + 1)].reshape(height, row + 1), max(1, channels * depth // 8))
+        at += height * (row + 1)
+        if depth == 16:
+            values = lines.view(">u2")
+        elif depth == 8:
+            values = lines
+        else:
+            bits = np.unpackbits(lines, axis=1).reshape(height, -1, depth)
+            values = bits @ (1 << np.arange(depth)[::-1])
+        out[top::down, left::across] = values[:, : width * channels].reshape(height, width, channels)
+    if kind == 3:
+        return palette[out[:, :, 0]]
+    if depth == 16:
+        out = out >> 8
+    elif depth < 8:
+        out = out * (255 // ((1 << depth) - 1))
+    out = out.astype(np.uint8)
+    return np.repeat(out[:, :, :1], 3, 2) if channels < 3 else out[:, :, :3]
+
+
+def unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of PNG lines, each after its filter's number; step: bytes of a pixel.
+
+    Up and none need no loop over pixels, and sub is a running sum; the others go along a line pixel by pixel.
+    """
+    modes, out = lines[:, 0], lines[:, 1:].copy()
+    n = out.shape[1]
+    above = np.zeros(n, np.uint8)
+    for y, mode in enumerate(modes.tolist()):
+        line = out[y]
+        if mode == 1:
+            whole = np.zeros(-(-n // step) * step, np.uint8)
+            whole[:n] = line
+            line[:] = np.cumsum(whole.reshape(-1, step), 0, dtype=np.uint8).reshape(-1)[:n]
         elif mode == 2:
-            line = (line + above) & 255
-        out[y] = line
+            line += above
+        elif mode in (3, 4):
+            values, up = line.tolist(), above.tolist()
+            if mode == 3:
+                for x in range(n):
+                    values[x] = (values[x] + ((values[x - step] if x >= step else 0) + up[x]) // 2) & 255
+            else:
+                for x in range(n):
+                    a, b, c = (values[x - step], up[x], up[x - step]) if x >= step else (0, up[x], 0)
+                    p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    values[x] = (values[x] + (a if p <= q and p <= r else b if q <= r else c)) & 255
+            line[:] = values
+        elif mode:
+            raise ValueError("an unknown filter")
         above = line
-    x = out.reshape(h, w, c)
-    if kind == 3:
-        return palette[x[:, :, 0]]
-    return np.repeat(x[:, :, :1], 3, 2) if c < 3 else x[:, :, :3]
+    return out
 
 
 def encode_png(image: np.ndarray) -> bytes:
@@ -130,28 +187,153 @@ def decoded(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, content).mapInArrow(run, f"`{key}` {kind}, height int, width int, data binary")
 
 
-def tar_members(spark: SparkSession, paths: str | list[str], endings: tuple[str, ...] = ("jpg", "jpeg", "png"), first: int | None = None, count: int | None = None) -> DataFrame:
-    """(shard, member_idx, name, bytes) of tar shards, members in their order.
+def tar_index(spark: SparkSession, paths: str | list[str], endings: tuple[str, ...] = ("jpg", "jpeg", "png"), first: int | None = None, count: int | None = None) -> DataFrame:
+    """(path, shard, member_idx, name, at, size) of the images in tar shards, members in their order; only headers are read.
 
     first and count choose shards by their number, the digits that end a shard's name, before anything is read.
     """
-    files = spark.read.format("binaryFile").load(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
     number = F.regexp_extract("path", r"(\d+)\.tar$", 1).cast("int")
     if first is not None:
         files = files.filter((number >= first) & (number < first + (count or 1)))
     name = F.regexp_extract("path", r"([^/]+)\.tar$", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for path, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, place = opened(path)
+                with system.open_input_file(place) as file, tarfile.open(fileobj=file, mode="r:") as tar:
+                    found = (x for x in tar if x.isfile() and x.name.lower().rsplit(".", 1)[-1] in endings)
+                    rows = [(path, shard, k, m.name, m.offset_data, m.size) for k, m in enumerate(found)]
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["path", "shard", "member_idx", "name", "at", "size"])
+
+    # a task for each shard: headers stand all over it
+    named = files.select("path", name.alias("shard"))
+    return named.repartition("path").mapInArrow(run, "path string, shard string, member_idx int, name string, at long, size long")
+
+
+def tar_members(spark: SparkSession, paths: str | list[str], endings: tuple[str, ...] = ("jpg", "jpeg", "png"), first: int | None = None, count: int | None = None, batch_bytes: int = 8 << 20) -> DataFrame:
+    """(shard, member_idx, name, bytes) of tar shards, members in their order.
+
+    Members are listed first, then read by their places in many tasks, batch_bytes at a time, so a shard may be of any size.
+    """
+    listed = tar_index(spark, paths, endings, first, count)
+    slices = listed.repartition("path", F.floor(F.col("at") / (batch_bytes * 8))).sortWithinPartitions("path", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.binary()]
+        for batch in batches:
+            rows, size, last, file = [], 0, None, None
+            for path, shard, k, name, at, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != last:
+                    if file is not None:
+                        file.close()
+                    system, place = opened(path)
+                    last, file = path, system.open_input_file(place)
+                rows.append((shard, k, name, file.read_at(length, at)))
+                size += length
+                if size >= batch_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "member_idx", "name", "bytes"])
+                    rows, size = [], 0
+            if file is not None:
+                file.close()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "member_idx", "name", "bytes"])
+
+    return slices.mapInArrow(run, "shard string, member_idx int, name string, bytes binary")
+
+
+def tar_bytes_members(rows: DataFrame, shard: str, content: str, endings: tuple[str, ...] = ("jpg", "png")) -> DataFrame:
+    """(shard, member_idx, name, bytes) of tars that are values of a column; a null or broken tar has no members, or those before the break."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.binary()]
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out = []
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(raw.as_py() or b""), mode="r:") as tar:
+                        for m in tar:
+                            if m.isfile() and m.name.lower().rsplit(".", 1)[-1] in endings:
+                                out.append((key, len(out), m.name, tar.extractfile(m).read()))
+                except tarfile.TarError:
+                    pass
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "member_idx", "name", "bytes"])
+
+    return rows.select(F.col(shard).cast("string").alias("shard"), content).mapInArrow(run, "shard string, member_idx int, name string, bytes binary")
+
+
+def write_tars(members: DataFrame, uri: str) -> DataFrame:
+    """Write members(shard, member_idx, name, bytes) as <uri>/<shard>.tar, streamed; (shard, members) of what was written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(uri)
+        system.create_dir(path)
+        now = sink = tar = part = None
+        count = 0
+
+        def close() -> pa.RecordBatch:
+            tar.close()
+            sink.close()
+            system.move(part, f"{path}/{now:05d}.tar")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([count], pa.int64())], ["shard", "members"])
+
+        for batch in batches:
+            for shard, name, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if shard != now:
+                    if tar is not None:
+                        yield close()
+                    now, count, part = shard, 0, f"{path}/{uuid.uuid4().hex}.tmp"
+                    sink = system.open_output_stream(part)
+                    tar = tarfile.open(fileobj=sink, mode="w|")
+                info = tarfile.TarInfo(name)
+                info.size = len(raw)
+                tar.addfile(info, io.BytesIO(raw))
+                count += 1
+        if tar is not None:
+            yield close()
+
+    keyed = members.select(F.col("shard").cast("long").alias("shard"), "member_idx", "name", "bytes")
+    return written(keyed.repartition("shard").sortWithinPartitions("shard", "member_idx").mapInArrow(run, "shard long, members long"), "tars")
+
+
+def write_images(images: DataFrame, uri: str, name: str = "img_id") -> DataFrame:
+    """Write images(name, height, width, data) as <uri>/<name>.png; (path, bytes) of what was written. Null data gives no file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = opened(uri)
+        system.create_dir(path)
         for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for k, m in enumerate(x for x in tar if x.isfile() and x.name.lower().rsplit(".", 1)[-1] in endings):
-                        rows.append((shard, k, m.name, tar.extractfile(m).read()))
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.string(), pa.binary()], strict=True)], ["shard", "member_idx", "name", "bytes"])
-
-    return files.select(name.alias("shard"), "content").mapInArrow(run, "shard string, member_idx int, name string, bytes binary")
+            done = []
+            for key, h, w, data in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if data.is_valid:
+                    raw = encode_png(np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), 3))
+                    part, place = f"{path}/{uuid.uuid4().hex}.tmp", f"{path}/{key.as_py()}.png"
+                    with system.open_output_stream(part) as sink:
+                        sink.write(raw)
+                    system.move(part, place)
+                    done.append((place, len(raw)))
+            cols = list(zip(*done, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["path", "bytes"])
+
+    return written(images.select(name, "height", "width", "data").mapInArrow(run, "path string, bytes long"), "images")
+
+
+def tensor_images(rows: DataFrame, key: str, height: int, width: int) -> DataFrame:
+    """(key, height, width, data) of rows(key, planes): channel-first numbers in [-1, 1], cut to bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            planes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, 3, height, width)
+            data = [x.tobytes() for x in denormalise(planes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([height] * n, pa.int32()), pa.array([width] * n, pa.int32()), pa.array(data, pa.binary())], [key, "height", "width", "data"])
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, "planes").mapInArrow(run, f"`{key}` {kind}, height int, width int, data binary")
 
 
 def parquet_images(spark: SparkSession, path: str) -> DataFrame:

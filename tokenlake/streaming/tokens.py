@@ -18,18 +18,20 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> Da
 
 
 def running_unigram(stream: DataFrame, tok: str) -> DataFrame:
-    """(tok, cnt) of all that has arrived; the counts are written by every batch and read back, whatever their number."""
+    """(tok, cnt) of all that has arrived; a batch writes the counts of its own rows only, and reading adds them up.
+
+    A batch that is run again replaces its counts, so each row counts once.
+    """
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/unigram-{uuid.uuid4().hex}"
-    counts = stream.groupBy(F.col(tok).alias("tok")).agg(F.count("*").alias("cnt"))
+    count = lambda df: df.groupBy("tok").agg(F.count("*").alias("cnt"))
     query = (
-        counts.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-        .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{root}/counts/batch={k:06d}"))
+        stream.select(F.col(tok).alias("tok")).writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        .foreachBatch(lambda df, k: count(df).write.mode("overwrite").parquet(f"{root}/counts/batch={k:06d}"))
         .start()
     )
     query.awaitTermination()
-    every = spark.read.parquet(f"{root}/counts")
-    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).select("tok", "cnt")
+    return spark.read.parquet(f"{root}/counts").groupBy("tok").agg(F.sum("cnt").alias("cnt"))
 
 
 def tokenize_stream(images: DataFrame, tokenizer, out: str, checkpoint: str):
