@@ -22,8 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder that is there deleted when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table of its own: what follows neither repeats nor plans what came before."""
+    """df as a table of its own, until the application ends: what follows neither repeats nor plans what came before."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
