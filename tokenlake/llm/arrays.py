@@ -21,7 +21,7 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of text that one vectorised step holds; a longer single document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
 #: Symbols of a long document that are expanded at a time.
 SEGMENT = 1 << 19
 #: Word separators: space and the control characters 9 to 13.
@@ -171,7 +171,12 @@ def grams(values: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 
 def _grams(values: np.ndarray, n: int, seed: int) -> np.ndarray:
-    total = len(values) - n + 1
+    return mix(runs(values, n) ^ U64(seed))
+
+
+def runs(values: np.ndarray, n: int, stride: int = 1) -> np.ndarray:
+    """values[i], values[i+stride], ..., n of them, joined for each i without a last mixing; n is reached by doubling."""
+    total = len(values) - (n - 1) * stride
 
     def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x = a * U64(BASE)
@@ -179,7 +184,7 @@ def _grams(values: np.ndarray, n: int, seed: int) -> np.ndarray:
         x ^= x >> U64(29)
         return x
 
-    out, have, done, size, rest = None, values, 0, 1, n
+    out, have, done, size, rest = None, values, 0, stride, n
     while rest:
         if rest & 1:
             part = have[done : done + total]
@@ -189,7 +194,7 @@ def _grams(values: np.ndarray, n: int, seed: int) -> np.ndarray:
         if rest:
             have = join(have[:-size], have[size:])
             size *= 2
-    return mix(out ^ U64(seed))
+    return out
 
 
 class Ranks:
@@ -212,11 +217,12 @@ class Spans:
 
     CONTEXT = 4
 
-    def __init__(self, values: np.ndarray):
-        mixed = grams(values, self.CONTEXT)
-        n = len(mixed)
+    def __init__(self, values: np.ndarray, joined: np.ndarray | None = None):
+        """joined: runs(values, CONTEXT), if they are known."""
+        joined = runs(values, self.CONTEXT) if joined is None else joined
+        n = len(joined)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(mixed * powers(n), out=self.sums[1:])
+        np.cumsum(joined * powers(n), out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         back = powers(len(self.sums), pow(BASE, -1, 2**64))[start]

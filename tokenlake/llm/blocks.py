@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tokenlake.llm.arrays import SEGMENT, U64, Spans, grams, mix, ranges, sliding_min
+from tokenlake.llm.arrays import SEGMENT, U64, Spans, grams, mix, ranges, runs, sliding_min
 
 
 def find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides: bool = False, table: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -50,7 +50,8 @@ def _find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides:
     if not len(s):
         none = np.zeros(0, np.int64)
         return dict.fromkeys(["doc", "a", "n", "anchor", "body", *(["left", "right"] if sides else [])], none)
-    gram_hash = grams(values, gram)
+    joined = runs(values, Spans.CONTEXT)
+    gram_hash = mix(runs(joined, gram // Spans.CONTEXT, Spans.CONTEXT)) if gram % Spans.CONTEXT == 0 else grams(values, gram)
     bits = U64(max(20, len(values).bit_length()))
     key = ((gram_hash >> bits) << bits) | np.arange(len(gram_hash), dtype=U64)
     place = (sliding_min(key, window - gram + 1)[s] & ((U64(1) << bits) - U64(1))).astype(np.int64)
@@ -59,7 +60,7 @@ def _find(values: np.ndarray, first: np.ndarray, window: int, gram: int, sides:
     at = np.flatnonzero(new)
     a, n, place = s[at], np.diff(np.append(at, len(s))), place[at]
     doc = np.searchsorted(first, a, "right") - 1
-    spans = Spans(values)
+    spans = Spans(values, joined)
     body = mix(spans.hash(a, a + n - 1 + window) ^ mix((place - a).astype(U64)))
     out = {"doc": doc, "a": a - first[doc], "n": n, "anchor": gram_hash[place].view(np.int64), "body": body.view(np.int64)}
     if sides:

@@ -9,19 +9,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlake.functions.storage import shared_dir
+from tokenlake.functions.storage import delete_at_exit, shared_dir
 
 
 class Scratch:
-    """Tables of one operator call."""
+    """Tables of one operator call; those that its result reads stay until the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.noted = False
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back."""
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+        if not self.noted:
+            delete_at_exit(self.spark, self.root)
+            self.noted = True
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -52,7 +52,7 @@ class Plan:
 
     window: int = 200
     gram: int = 32
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 1 << 19
     partition_bytes: int = 16 << 20
     piece: int = 20_000
 
