@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the
 columns of documents; the last returns the packed pieces. Each result is written as Parquet to the
 shared folder and read again by the next.
+
+Defined results, for run() and each stage: a null or empty text fails the quality rules; later stages take
+it as a text without words, which they keep. A null id is a document of its own that is never a
+near-duplicate and, for repeated passages, comes after all others. Rows that repeat an id are kept or
+dropped together by the near-duplicate stage and judged row by row by the others. Columns beside those
+of documents are left behind; an empty table gives an empty one, an empty benchmark drops nothing; a
+text of any length is taken whole.
 """
 
 from __future__ import annotations
