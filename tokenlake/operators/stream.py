@@ -29,11 +29,11 @@ def stream_of(df: DataFrame, doc: str, order: list[str], tok: Column, shards: in
 
 
 def words(df: DataFrame, shards: int = 1, first: int | None = None) -> DataFrame:
-    """Words of text between white space, empty ones left out; only the first few of each text if asked."""
-    split = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
-    if first is not None:
-        split = F.slice(split, 1, first)
-    return df.select(F.pmod(F.col("doc_id"), F.lit(shards)).alias("shard"), "doc_id", F.posexplode(split).alias("pos", "tok"))
+    """Words of text between white space, empty ones left out; only the first few of each text, which is not split further, if asked."""
+    trimmed = F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r"))
+    split = F.split(trimmed, r"\s+") if first is None else F.slice(F.split(trimmed, r"\s+", first + 1), 1, first)
+    rows = df.select(F.pmod(F.col("doc_id"), F.lit(shards)).alias("shard"), "doc_id", F.posexplode(split).alias("pos", "tok"))
+    return rows.filter("tok != ''")  # a text without words is one empty piece
 
 
 def flatten(df: DataFrame, separator) -> DataFrame:
