@@ -96,6 +96,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, is_space: np.ndarray = IS_SPACE, seed: int = 0):
         start, length, hashes = [], [], []
+        place = np.int32 if len(data) < 2**31 else np.int64
         for a, b in segments(data, is_space):
             part = data[a:b]
             inside = ~is_space[part]
@@ -105,11 +106,11 @@ class Words:
             cuts = offsets[(offsets > a) & (offsets < b)] - a
             opens[cuts] |= inside[cuts]
             closes[cuts - 1] |= inside[cuts - 1]
-            start.append(np.flatnonzero(opens) + a)
+            start.append((np.flatnonzero(opens) + a).astype(place))
             length.append((np.flatnonzero(closes) + a + 1 - start[-1]).astype(np.int32))
             chars = part[inside]
             hashes.append(hash_runs(LOWER[chars] if lower else chars, length[-1], seed))
-        self.start = np.concatenate([np.zeros(0, np.int64), *start])
+        self.start = np.concatenate([np.zeros(0, place), *start])
         self.length = np.concatenate([np.zeros(0, np.int32), *length])
         self.hash = np.concatenate([np.zeros(0, U64), *hashes])
         self.first = np.searchsorted(self.start, offsets)
@@ -254,8 +255,10 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Boolean mask of length n: inside at least one half-open range; ranges may reach beyond n."""
     if not len(start):
         return np.zeros(n, bool)
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
+    if not (start[1:] >= start[:-1]).all():
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+    end = np.maximum.accumulate(end)
     new = np.ones(len(start), bool)
     new[1:] = start[1:] > end[:-1]
     edge = np.zeros(n + 1, np.int8)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlake.llm.arrays import SEGMENT, U64, Ranks, Words, covered, grams, hash_runs, mix, ranges, texts
+from tokenlake.llm.arrays import SEGMENT, U64, Ranks, Words, grams, hash_runs, mix, ranges, texts
 from tokenlake.llm.store import text_batches
 
 #: Most of a text's word characters inside later copies of n-word windows, by n.
@@ -40,9 +40,10 @@ _SALT = U64(0xC2B2AE3D27D4EB4F)
 def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(is the first of its equals, stands at least twice) for each key; many keys are sorted a share of their values at a time."""
     first, several = np.empty(len(key), bool), np.empty(len(key), bool)
-    shares = 1 << max(0, (len(key) // (2 * SEGMENT)).bit_length())
+    shares = min(256, 1 << max(0, (len(key) // (2 * SEGMENT)).bit_length()))
+    share = key.view(np.uint8)[:: key.itemsize] & np.uint8(shares - 1) if shares > 1 else None
     for k in range(shares):
-        own = np.flatnonzero(key % U64(shares) == U64(k)) if shares > 1 else None
+        own = np.flatnonzero(share == k) if shares > 1 else None
         part = key if own is None else key[own]
         order = np.argsort(part, kind="stable")
         ranked = part[order]
@@ -55,14 +56,35 @@ def _first_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, several
 
 
+def spread(mark: np.ndarray, n: int) -> np.ndarray:
+    """Is one of the n places up to each marked?"""
+    out, span = mark, 1
+    while span < n:
+        step = min(span, n - span)
+        wider = out.copy()
+        wider[step:] |= out[:-step]
+        out, span = wider, span + step
+    return out
+
+
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The figures of each document of one byte buffer."""
     n = len(offsets) - 1
     words = Words(data, offsets)
     points = Ranks((data & 0xC0) != 0x80)
-    size = points(words.end) - points(words.start)
+    size = np.empty(len(words.start), np.int32)
+    for k in range(0, len(size), SEGMENT):
+        start = words.start[k : k + SEGMENT]
+        size[k : k + SEGMENT] = points(start + words.length[k : k + SEGMENT]) - points(start)
     per_doc = lambda at, weight=None: np.bincount(at, weight, n)[:n]
-    word_chars = per_doc(words.doc, size)
+
+    def in_words(mask: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+        """How many words of each document are marked, or what they weigh."""
+        if n == 1:
+            return np.array([np.count_nonzero(mask) if weight is None else weight[mask].sum(dtype=np.int64)])
+        return per_doc(words.doc[mask], None if weight is None else weight[mask])
+
+    word_chars = in_words(np.ones(len(size), bool), size)
     symbol = np.zeros(256, bool)
     symbol[list(SYMBOLS.encode())] = True
     marks = Ranks(symbol[data])(offsets)
@@ -88,17 +110,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     failed = out["dup_line_chars"] > DUP_LINE_CHARS
     worst = np.zeros(n)
     for k, most in DUP_NGRAM_CHARS.items():
-        at = ranges(words.first[:-1], np.maximum(np.diff(words.first) - k + 1, 0))
+        key = grams(words.hash, k)
+        at = ranges(words.first[:-1], np.maximum(np.diff(words.first) - k + 1, 0)) if n > 1 else np.arange(len(key), dtype=words.start.dtype)
         at = at[alive[at]]
-        first, twice = _first_of(mix(grams(words.hash, k)[at] + words.doc[at].astype(U64) * _SALT))
-        if k == 5:
-            seen = covered(len(words.hash), at[twice], at[twice] + k)
-            out["n_repeat_words"] = per_doc(words.doc[seen])
+        key = mix(key[at] + words.doc[at].astype(U64) * _SALT) if n > 1 else key[at] if len(at) < len(key) else key
+        first, twice = _first_of(key)
+        del key
         # only a window that stands twice can begin a longer one that does
-        alive = np.zeros(len(words.hash), bool)
-        alive[at[twice]] = True
-        inside = covered(len(words.hash), at[~first], at[~first] + k)
-        share = per_doc(words.doc[inside], size[inside]) / np.maximum(word_chars, 1)
+        alive, later = np.zeros(len(words.hash), bool), np.zeros(len(words.hash), bool)
+        alive[at[twice]], later[at[~first]] = True, True
+        if k == 5:
+            out["n_repeat_words"] = in_words(spread(alive, k))
+        share = in_words(spread(later, k), size) / np.maximum(word_chars, 1)
         failed |= share > most
         worst = np.maximum(worst, share)
     out["dup_ngram_chars"] = worst
