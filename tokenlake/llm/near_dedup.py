@@ -11,8 +11,10 @@ coordinates are cut into bands; nodes with an equal band are candidates. A bucke
 into all its pairs: first each node is verified against the bucket's least node; then only buckets
 whose nodes are still in different components are looked at again. A pair inside one component
 cannot change the result, so no link that a bucket holds is lost. Small such buckets give their
-pairs across components; larger ones are dealt out in blocks of at most about `block` nodes, every
-two blocks meet in one group, and a group's intersections are products of its incidence matrix;
+pairs across components. In a larger one the nodes outside its largest component are dealt out in
+blocks of about `block` nodes, and so are those inside; a block of the former meets every block, those
+of the latter do not meet each other, so a bucket that the stars have linked but for a few nodes costs
+what these few cost. Where two blocks meet, the intersections are products of an incidence matrix;
 only links that join components leave it. With the defaults a pair at similarity 0.75 shares no
 band with a probability of 4e-6.
 
@@ -52,7 +54,7 @@ class Plan:
     bands: int = 64
     rows: int = 6
     small: int = 8
-    block: int = 1024
+    block: int = 512
 
 
 def sketch(elements: np.ndarray, t: int) -> np.ndarray:
@@ -218,7 +220,7 @@ def _blocked(plan: Plan):
 
         group, last = [], None
         for batch in batches:
-            for key, node, part, z in zip(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True), *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+            for key, node, part, z in zip(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), *(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True):
                 if key != last:
                     if len({p for _, p, _ in group}) > 1:
                         yield links(group)
@@ -272,14 +274,19 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     across = scratch.write(across.join(stars, ["x", "y"], "left_anti"), "across")
     second = _verify(across, z, plan, scratch, "across")
 
-    blocks = F.ceil(F.col("size") / plan.block).cast("int")
-    dealt = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "band"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part")
-    dealt = dealt.join(z.withColumnRenamed("doc", "node"), "node").select("band", "i", "j", "node", "part", "z")
-    # how many rows the deal makes follows from the buckets' sizes alone
-    rows_dealt = many.agg(F.sum(F.ceil(F.col("size") / plan.block))).first()[0] or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows_dealt // 2000)
-    third = scratch.write(dealt.repartition(groups, "band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(_blocked(plan), "u long, v long"), "blocked")
+    largest = many.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
+    in_blocks = lambda n: F.ceil(n / plan.block).cast("int")
+    dealt = many.join(largest.select("band", F.col("top.part").alias("major"), in_blocks(F.col("all") - F.col("top.n")).alias("minors"), in_blocks(F.col("top.n")).alias("majors")), "band")
+    inside = F.col("part") == F.col("major")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.when(inside, F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    meet = lambda f, kind, i, j: F.transform(F.sequence(F.lit(0), F.col(f) - 1), lambda k: F.struct(F.lit(kind).alias("kind"), i(k).alias("i"), j(k).alias("j")))
+    own = F.col("own")
+    outside = F.concat(meet("minors", 0, lambda k: F.least(own, k), lambda k: F.greatest(own, k)), meet("majors", 1, lambda k: own, lambda k: k))
+    dealt = dealt.withColumn("meet", F.when(inside, meet("minors", 1, lambda k: k, lambda k: own)).otherwise(outside))
+    dealt = scratch.write(dealt.select("band", "node", "part", F.explode("meet").alias("m")).select("band", "m.kind", "m.i", "m.j", "node", "part"), "dealt")
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt.count() // (2 * plan.block))
+    dealt = dealt.join(z.withColumnRenamed("doc", "node"), "node").select("band", "kind", "i", "j", "node", "part", "z")
+    third = scratch.write(dealt.repartition(groups, "band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "node").mapInArrow(_blocked(plan), "u long, v long"), "blocked")
     whole = scratch.write(components(first.union(second).union(third), scratch, "whole"), "whole")
 
     table = nodes.join(whole, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
