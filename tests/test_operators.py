@@ -335,6 +335,11 @@ def test_counts_of_any_length(spark):
     assert {k: (n, sorted(v)) for k, (n, v) in found.items()} == expected
 
 
+def test_speed():
+    assert evaluation.speed(tokenizers.PRESETS["color-small"], im.noise(2)) > 0
+    assert im.noise(2, 16).shape == (2, 16, 16, 3) and (im.noise(2) == im.noise(2)).all()
+
+
 def test_running_total_over_ranges(spark):
     df = spark.createDataFrame([(f"k{i:03d}", i % 5) for i in range(300)], "name string, n long").repartition(7)
     got = {r["name"]: r["first"] for r in stream.running_total(df, ["name"], "n", "first").collect()}

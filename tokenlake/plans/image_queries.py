@@ -281,6 +281,12 @@ def q_vq_fit(spark, sf):
     return spark.createDataFrame([(i, d, float(round(x, 6))) for i, c in enumerate(codebook.load(spark, path)) for d, x in enumerate(c)], "code long, dim long, v double")
 
 
+def q_vq_minibatch(spark, sf):
+    """Two batches of a hundred vectors from one start."""
+    book = codebook.fit_batches(vectors(spark, sf), 8, batch=100, steps=2, starts=1)
+    return spark.createDataFrame([(i, d, float(round(x, 6))) for i, c in enumerate(book) for d, x in enumerate(c)], "code long, dim long, v double")
+
+
 def q_vq_image_tokens(spark, sf):
     return joined(coded(spark, sf, _hierarchy(spark, sf).levels[1]))
 
@@ -503,6 +509,15 @@ def _members(members):
     return got.select(parts[0].alias("shard"), parts[1].cast("long").alias("member"), parts[2].alias("name"), F.hex("data").alias("data"))
 
 
+def q_grey_images(spark, sf):
+    """The red channel as grey PNG files, which decode to three equal channels."""
+    def grey(h, w, data):
+        return files.encode_png(np.frombuffer(bytes(data), np.uint8).reshape(h, w, 3)[:, :, 0])
+
+    png = rgb(spark, sf).select("img_id", F.udf(grey, "binary")("height", "width", "data").alias("png"))
+    return pixels(files.decoded(png, "img_id", "png"))
+
+
 def q_tar_scan(spark, sf):
     return _members(files.tar_members(spark, f"{_tars(spark, sf)}/*.tar"))
 
@@ -819,6 +834,20 @@ _LLOYD = ", ".join(
     ]
 )
 _QUARTERS = "q AS (SELECT img, (y // 16) * 2 + x // 16 AS pos, sum(v)::BIGINT // 768 AS v FROM rgb GROUP BY ALL)"
+_BATCHES = ", ".join(
+    [
+        VEC, "one AS (SELECT v, min(vec_id) AS id FROM e GROUP BY v)",
+        "b0 AS (SELECT row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS code, v, 0 AS given FROM one QUALIFY code < 8)",
+        *(
+            f"t{k} AS (SELECT vec_id, v FROM e ORDER BY md5('{1042 + k}:' || vec_id), vec_id LIMIT 100), "
+            f"n{k} AS (SELECT e.vec_id, e.v, c.code FROM t{k} e, b{k} c QUALIFY row_number() OVER (PARTITION BY e.vec_id ORDER BY {_DIST}, c.code) = 1), "
+            f"m{k} AS (SELECT code, dim, avg(x) AS m, count(*) AS n FROM (SELECT code, unnest(range(64)) AS dim, unnest(v) AS x FROM n{k}) GROUP BY ALL), "
+            f"f{k} AS (SELECT code, given, unnest(range(64)) AS dim, unnest(v) AS x FROM b{k}), "
+            f"b{k + 1} AS (SELECT f.code, list(x + coalesce((m - x) * n / (given + n), 0) ORDER BY f.dim) AS v, any_value(given + coalesce(n, 0)) AS given FROM f{k} f LEFT JOIN m{k} m ON m.code = f.code AND m.dim = f.dim GROUP BY f.code)"
+            for k in range(2)
+        ),
+    ]
+)
 _OPEN = residual_sql((8, 16, 32), False)
 _TAR = "SELECT printf('%05d', img % 7) AS shard, row_number() OVER (PARTITION BY img % 7 ORDER BY img) - 1 AS member, img || '.png' AS name, data FROM"
 
@@ -843,6 +872,8 @@ SQL = {
     "vq_sample": f"WITH {RGB}, {blocks_sql('b', 8)} SELECT img * 16 + block AS vec_id, array_to_string(v, ',') AS v FROM b ORDER BY md5('3:' || (img * 16 + block)), 1 LIMIT 100",
     "vq_init": f"WITH {RGB}, {blocks_sql('b', 16)}, one AS (SELECT v, min(img * 4 + block) AS id FROM b GROUP BY v) SELECT row_number() OVER (ORDER BY md5('5:' || id), id) - 1 AS code, array_to_string(v, ',') AS v FROM one ORDER BY md5('5:' || id), id LIMIT 8",
     "vq_fit": f"WITH {_LLOYD} SELECT code, dim, round(x, 6) AS v FROM m1",
+    "vq_minibatch": f"WITH {_BATCHES} SELECT code, unnest(range(64)) AS dim, round(unnest(v), 6) AS v FROM b2",
+    "grey_images": f"WITH {RGB} {hex_sql('(SELECT img, y, x, t.c, v FROM rgb, range(3) t(c) WHERE rgb.c = 0)')}",
     "vq_image_tokens": f"WITH {_HVQ} {tokens_sql('SELECT img, block AS pos, code AS tok FROM fine')}",
     "hvq_image_tokens": f"WITH {_HVQ} {tokens_sql('SELECT img, block AS pos, code AS tok FROM coarse UNION ALL SELECT img, 4 + block, code FROM fine')}",
     "hvq_image_decode": f"WITH {_HVQ}, px AS (SELECT f.img, (block // 4) * 8 + p // 24 AS y, (block % 4) * 8 + p % 24 // 3 AS x, p % 3 AS c, v[p + 1] AS v FROM fine f JOIN book8 USING (code), range(192) r(p)) {hex_sql('px')}",

@@ -167,11 +167,12 @@ def unfiltered(lines: np.ndarray, step: int) -> np.ndarray:
 
 
 def encode_png(image: np.ndarray) -> bytes:
-    """PNG bytes of uint8[h, w, 3]."""
-    h, w, _ = image.shape
+    """PNG bytes of uint8[h, w, 3], or of grey uint8[h, w]."""
+    h, w = image.shape[:2]
+    kind = 2 if image.ndim == 3 else 0
     lines = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], 1)
     chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
 def decoded(rows: DataFrame, key: str, content: str) -> DataFrame:
