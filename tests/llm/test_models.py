@@ -267,3 +267,9 @@ def test_pipeline_with_an_empty_table(spark, tmp_path, what):
     spark.createDataFrame([] if what == "documents" else ODD[:3], TYPES).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([] if what == "benchmark" else [(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r["doc_id"] for r in rows(p.run(spark, str(tmp_path)))} == ({1} if what == "benchmark" else set())
+
+
+def test_license_templates_of_ones_own(spark):
+    docs = spark.createDataFrame([(1, "All rights are reserved by the owner of this fine work. Licensed under CC BY 4.0."), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(license_scan.scan_licenses(docs, templates=[("own", "all rights are reserved by the owner of this fine work")]))}
+    assert got[1]["labels"] == "cc-by,own" and got[1]["spans"] == "own:0-11" and got[1]["score"] == 1.0 and got[2]["labels"] == ""

@@ -58,6 +58,12 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
@@ -232,16 +238,20 @@ class Scanner:
 
 
 @lru_cache(maxsize=2)
-def scanner(plan: Plan) -> Scanner:
-    return Scanner(TEMPLATES, plan)
+def scanner(plan: Plan, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES)) -> Scanner:
+    return Scanner(list(templates), plan)
 
 
-def scan_licenses(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """SCHEMA for each row of docs(doc_id, text); spans: label:first-end in words of what chains cover."""
+def scan_licenses(docs: DataFrame, plan: Plan = Plan(), templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """SCHEMA for each row of docs(doc_id, text); spans: label:first-end in words of what chains cover.
+
+    templates: (label, wording) of what to look for; wordings of any length, whole licences too. Their automaton goes to every task.
+    """
     text_batches(docs.sparkSession)
+    wanted = tuple((label, wording) for label, wording in templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = scanner(plan)
+        s = scanner(plan, wanted)
         starts = np.array([p[0] for _, p in s.phrases])
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
