@@ -235,14 +235,10 @@ def q_bicubic_normalised(spark, sf):
 
 def q_haar_from_bytes(spark, sf):
     """Images of another size, as PNG bytes: decoded, stretched and coded."""
-    png = rgb(spark, sf, 24, 40).select("img_id", F.udf(_encoded, "binary")("height", "width", "data").alias("png"))
+    png = files.encoded(rgb(spark, sf, 24, 40), "img_id")
     return joined(tokenizers.tokenize(files.decoded(png, "img_id", "png"), HAAR))
 
 
-def _encoded(h, w, data):
-    return files.encode_png(np.frombuffer(bytes(data), np.uint8).reshape(h, w, 3))
-
-
 def q_gradient_image(spark, sf):
     x = im.gradient(SIDE)[0]
     return spark.createDataFrame([(y, x[y].tobytes().hex().upper()) for y in range(SIDE)], "y long, data string")
@@ -496,8 +492,8 @@ def q_path_sample(spark, sf):
 def _tars(spark, sf):
     """Seven tar shards of all images, with a label file beside each."""
     folder = f"{shared_dir(spark)}/tars-{uuid.uuid4().hex}"
-    png = F.udf(_encoded, "binary")("height", "width", "data")
-    rows = rgb(spark, sf).select((F.col("img_id") % 7).alias("shard"), (F.col("img_id") * 2).alias("member_idx"), F.concat("img_id", F.lit(".png")).alias("name"), png.alias("bytes"))
+    png = files.encoded(rgb(spark, sf), "img_id")
+    rows = png.select((F.col("img_id") % 7).alias("shard"), (F.col("img_id") * 2).alias("member_idx"), F.concat("img_id", F.lit(".png")).alias("name"), F.col("png").alias("bytes"))
     labels = rows.select("shard", (F.col("member_idx") + 1).alias("member_idx"), F.regexp_replace("name", "png", "json").alias("name"), F.lit(b"{}").alias("bytes"))
     files.write_tars(rows.unionByName(labels), folder)
     return folder
@@ -511,11 +507,7 @@ def _members(members):
 
 def q_grey_images(spark, sf):
     """The red channel as grey PNG files, which decode to three equal channels."""
-    def grey(h, w, data):
-        return files.encode_png(np.frombuffer(bytes(data), np.uint8).reshape(h, w, 3)[:, :, 0])
-
-    png = rgb(spark, sf).select("img_id", F.udf(grey, "binary")("height", "width", "data").alias("png"))
-    return pixels(files.decoded(png, "img_id", "png"))
+    return pixels(files.decoded(files.encoded(rgb(spark, sf), "img_id", grey=True), "img_id", "png"))
 
 
 def q_tar_scan(spark, sf):
@@ -533,14 +525,14 @@ def q_tar_bytes(spark, sf):
 
 def q_parquet_images(spark, sf):
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    png = F.udf(_encoded, "binary")("height", "width", "data")
-    rgb(spark, sf).select(F.struct(png.alias("bytes"), F.col("img_id").cast("string").alias("path")).alias("image")).write.parquet(path)
+    files.encoded(rgb(spark, sf), "img_id").select(F.struct(F.col("png").alias("bytes"), F.col("img_id").cast("string").alias("path")).alias("image")).write.parquet(path)
     got = files.decoded(files.parquet_images(spark, path).select(F.md5("bytes").alias("key"), "bytes"), "key", "bytes")
     return got.groupBy(F.hex("data").alias("data")).agg(F.count("*").alias("images"))
 
 
 def q_tensor_images(spark, sf):
     """Normalised planes and back to bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if n := batch.num_rows:

@@ -175,6 +175,21 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
+def encoded(images: DataFrame, key: str, grey: bool = False) -> DataFrame:
+    """(key, png) of images(key, height, width, data); grey: of the first channel alone. Null data stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, w, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                x = None if data is None else np.frombuffer(data, np.uint8).reshape(h, w, 3)
+                out.append(None if x is None else encode_png(x[:, :, 0] if grey else x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "png"])
+
+    kind = dict(images.dtypes)[key]
+    return images.select(key, "height", "width", "data").mapInArrow(run, f"`{key}` {kind}, png binary")
+
+
 def decoded(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, height, width, data) of encoded images; what cannot be read has null data."""
 
