@@ -220,7 +220,7 @@ class FingerprintIndex:
             self.spark.sql(f"CREATE TABLE {self._open[name]} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
         return self.spark.table(self._open[name])
 
-    def _write(self, df: DataFrame, name: str, schema: str, key: str) -> DataFrame:
+    def _write(self, df: DataFrame, name: str, key: str) -> DataFrame:
         self._open[name] = f"tokenlake_{uuid.uuid4().hex}"
         writer = df.repartition(self.buckets, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}")
         writer.bucketBy(self.buckets, key).sortBy(key).saveAsTable(self._open[name])
@@ -260,17 +260,18 @@ class FingerprintIndex:
                 # entries of a run are distinct, so a task meets a fingerprint once for each run
                 kept = every.repartition(self.buckets, "anchor").groupBy("anchor", "body").agg(F.min(F.struct("d", "rk", "a", "n")).alias("e")).select("anchor", "body", "e.*")
                 merged = f"run-{uuid.uuid4().hex}"
-                self._write(kept, merged, _ENTRY, "anchor")
+                self._write(kept, merged, "anchor")
                 self.runs = [x for x in self.runs if x[1] not in own] + [(level + 1, merged)]
                 self._commit()
                 for name in own:
                     self._forget(name)
             level += 1
 
-    def deduplicate(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+    def deduplicate(self, docs: DataFrame, with_text: bool = False, keep: bool = True) -> DataFrame:
         """Judge docs(doc_id, text, ...) against all that the index holds and among themselves, then add them to it.
 
-        (rest, n_words, n_removed, kept_sha256, kept_text) for each row; a written table.
+        (rest, n_words, n_removed, kept_sha256, kept_text) for each row; a written table. Without keep, as for the last
+        batch of all, the index stays as it was.
         """
         plan, spark = self.plan, self.spark
         text_batches(spark)
@@ -280,8 +281,8 @@ class FingerprintIndex:
         found = scratch.write(rows.select("rk", "d", "text").mapInArrow(_found(plan), "rk long, d long, anchor long, body long, a int, n int"), "found")
         name = uuid.uuid4().hex
         entries = found.groupBy("anchor", "body").agg(F.min(F.struct("d", "rk", "a", "n")).alias("e"), F.max("d").alias("most"))
-        own = self._write(entries.select("anchor", "body", "e.*", "most"), f"run-{name}", f"{_ENTRY}, most long", "anchor")
-        store = self._write(rows.select("rk", "text", "d", "rest"), f"texts/{name}", "", "rk")
+        own = self._write(entries.select("anchor", "body", "e.*", "most"), f"run-{name}", "anchor")
+        store = self._write(rows.select("rk", "text", "d", "rest"), f"texts/{name}", "rk") if keep else rows
 
         # merge joins of sorted runs: which anchors stand in history or in two documents, and with how many bodies
         mine = own.groupBy("anchor").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), (F.min("d") < F.max("most")).alias("several"))
@@ -327,10 +328,13 @@ class FingerprintIndex:
         done = half.filter("z is null").select("rest", "n_words", "n_removed", "kept_sha256", "kept_text").unionByName(late)
         done = scratch.write(done, "done")
         scratch.drop("old", "anchors", "shared", "bodies", "half", "wanted", *(f"past-{k}" for k in range(len(self.texts))))
-        self.runs.append((0, f"run-{name}"))
-        self.texts.append(name)
-        self._commit()
-        self.compact()
+        if keep:
+            self.runs.append((0, f"run-{name}"))
+            self.texts.append(name)
+            self._commit()
+            self.compact()
+        else:
+            self._forget(f"run-{name}")
         return done
 
 
@@ -353,8 +357,8 @@ def substring_dedup(docs: DataFrame, plan: Plan = Plan(), with_text: bool = Fals
     """
     index = FingerprintIndex(docs.sparkSession, Scratch(docs.sparkSession, "fingerprints").root, plan)
     out = None
-    for part in _parts(docs, plan.batches):
-        done = index.deduplicate(part, with_text)
+    for k, part in enumerate(_parts(docs, plan.batches)):
+        done = index.deduplicate(part, with_text, keep=k + 1 < plan.batches)
         out = done if out is None else out.unionByName(done)
     index.close(delete=True)
     return out
