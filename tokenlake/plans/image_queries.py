@@ -36,7 +36,9 @@ def rgb(spark: SparkSession, sf: str, height: int = SIDE, width: int = SIDE) ->
             size = [pa.array([n] * len(ids), pa.int32()) for n in (height, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *size, pa.array(data, pa.binary())], ["img_id", "height", "width", "data"])
 
-    return table(spark, sf, "part").select("p_partkey").mapInArrow(run, "img_id long, height int, width int, data binary")
+    # ids are small and images are not: they are made where there are free cores, however few files the ids are in
+    ids = table(spark, sf, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return ids.mapInArrow(run, "img_id long, height int, width int, data binary")
 
 
 def mapped(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
