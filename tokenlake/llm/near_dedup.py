@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -239,29 +239,17 @@ def _verify(pairs: DataFrame, z: DataFrame, plan: Plan, scratch: Scratch, name:
     return scratch.write(both.mapInArrow(_verified(plan), "u long, v long"), f"{name}-edges")
 
 
-def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    scratch = Scratch(spark, "near-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.write(docs.mapInArrow(_signatures(plan), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
-    linked = signed.filter("doc_id is not null and n_shingles > 0")
-    classes = linked.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    nodes = scratch.write(classes.select("s1", "s2", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands")), "nodes")
-    # joins of what grows with the corpus are merge joins at every size; shared bands are a table of their own, so that frequent ones can be split
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"), "bands")
-    members = scratch.write(banded.hint("merge").join(shared, "band"), "members")
-    needed = members.select(F.col("node").alias("doc_id")).distinct()
-    z = scratch.write(docs.hint("merge").join(needed, "doc_id", "left_semi").mapInArrow(_packed_text, "doc long, z binary"), "z")
-    scratch.drop("bands")
+def links_of_buckets(members: DataFrame, z: DataFrame, plan: Plan, scratch: Scratch, possible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """edges(u, v) that join all nodes that links within buckets connect, not all links.
 
+    members(band, node, n, least, size): the nodes of each bucket, their sets' sizes, the bucket's least node and size;
+    z(doc, z): packed texts; possible: leaves those of pairs(x, y) that can be similar enough.
+    """
     # a set can only be similar enough to one at least percent / 100 of its size
     close = lambda a, b: (100 * F.least(a, b) >= plan.percent * F.greatest(a, b))
     least = members.filter("node = least").select("band", F.col("n").alias("least_n"))
     stars = members.filter("node != least").join(least, "band").filter(close(F.col("n"), F.col("least_n"))).select(F.col("least").alias("x"), F.col("node").alias("y"))
-    stars = scratch.write(stars.distinct(), "stars")
+    stars = scratch.write(possible(stars.distinct()), "stars")
     first = _verify(stars, z, plan, scratch, "star")
     parts = scratch.write(components(first, scratch, "first"), "parts")
 
@@ -271,7 +259,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     few, many = open_.filter(F.col("size") <= plan.small), open_.filter(F.col("size") > plan.small)
     a, b = few.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")), few.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
     across = a.join(b, "band").filter((F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & close(F.col("nx"), F.col("ny"))).select("x", "y").distinct()
-    across = scratch.write(across.join(stars, ["x", "y"], "left_anti"), "across")
+    across = scratch.write(possible(across.join(stars, ["x", "y"], "left_anti")), "across")
     second = _verify(across, z, plan, scratch, "across")
 
     largest = many.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
@@ -284,10 +272,31 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     outside = F.concat(meet("minors", 0, lambda k: F.least(own, k), lambda k: F.greatest(own, k)), meet("majors", 1, lambda k: own, lambda k: k))
     dealt = dealt.withColumn("meet", F.when(inside, meet("minors", 1, lambda k: k, lambda k: own)).otherwise(outside))
     dealt = scratch.write(dealt.select("band", "node", "part", F.explode("meet").alias("m")).select("band", "m.kind", "m.i", "m.j", "node", "part"), "dealt")
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), dealt.count() // (2 * plan.block))
+    groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // (2 * plan.block))
     dealt = dealt.join(z.withColumnRenamed("doc", "node"), "node").select("band", "kind", "i", "j", "node", "part", "z")
     third = scratch.write(dealt.repartition(groups, "band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "node").mapInArrow(_blocked(plan), "u long, v long"), "blocked")
-    whole = scratch.write(components(first.union(second).union(third), scratch, "whole"), "whole")
+    return first.union(second).union(third)
+
+
+def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    scratch = Scratch(spark, "near-dedup")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = scratch.write(docs.mapInArrow(_signatures(plan), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signed")
+    linked = signed.filter("doc_id is not null and n_shingles > 0")
+    classes = linked.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
+    nodes = scratch.write(classes.select("s1", "s2", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("node"), F.col("r.bands").alias("bands")), "nodes")
+    # joins of what grows with the corpus are merge joins at every size; shared bands are a table of their own, so that frequent ones can be split
+    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    shared = scratch.write(banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"), "bands")
+    members = scratch.write(banded.hint("merge").join(shared, "band"), "members")
+    needed = members.select(F.col("node").alias("doc_id")).distinct()
+    z = scratch.write(docs.hint("merge").join(needed, "doc_id", "left_semi").mapInArrow(_packed_text, "doc long, z binary"), "z")
+    scratch.drop("bands")
+
+    whole = scratch.write(components(links_of_buckets(members, z, plan, scratch), scratch, "whole"), "whole")
 
     table = nodes.join(whole, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
     table = scratch.write(table, "table")

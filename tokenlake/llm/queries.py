@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenlake.llm import decontamination, langid, license_scan, near_dedup, oracles, packing, quality_cnn, quality_rules, substring_dedup, suffix_dedup, url_filter
+from tokenlake.llm import collocations, decontamination, jaccard_join, langid, license_scan, near_dedup, oracles, packing, quality_cnn, quality_rules, spelling, substring_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs).select("rest.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), spelling.Plan(spoil=31))
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -100,4 +112,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_repetition_quality": oracles.REPETITION_QUALITY,
         "op7_near_dedup": oracles.NEAR_DEDUP,
         "op8_url_filter": OP8_SQL,
+        "op11_phrase_collocations": oracles.PHRASE_COLLOCATIONS,
+        "op12_spelling_variants": oracles.SPELLING_VARIANTS,
+        "op13_jaccard_join": oracles.JACCARD_JOIN,
     }
