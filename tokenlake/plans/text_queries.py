@@ -110,7 +110,7 @@ h{i} AS (SELECT *, q / sum(q) OVER (PARTITION BY prompt_id) AS share FROM (SELEC
 k{i} AS (SELECT * FROM h{i} QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY share DESC, tok) <= k),
 f{i} AS (SELECT prompt_id, tok, sum(share) OVER (PARTITION BY prompt_id ORDER BY tok) / sum(share) OVER (PARTITION BY prompt_id) AS cdf FROM k{i}),
 w{i} AS (SELECT prompt_id, coalesce(min(tok) FILTER (cdf > ('0x' || substr(md5('{seed}:' || prompt_id || ':{i}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE), max(tok)) AS tok FROM f{i} GROUP BY prompt_id),
-s{i + 1} AS (SELECT prompt_id, list_append(ids, tok) AS ids, t, k FROM s{i} JOIN w{i} USING (prompt_id))"""
+s{i + 1} AS MATERIALIZED (SELECT prompt_id, list_append(ids, tok) AS ids, t, k FROM s{i} JOIN w{i} USING (prompt_id))"""
         )
     return "WITH " + ", ".join(out)
 
@@ -444,6 +444,18 @@ def q_backoff_generate(spark, sf):
     return out.select("prompt_id", F.concat_ws(" ", "ids").alias("text"))
 
 
+def q_generate_long(spark, sf):
+    """Sequences of 40 tokens, three samples of each seed, from contexts of up to six tokens."""
+    seeds = sampling.sweep(_seeds(spark, sf), [1.1], [4], 3)
+    return sampling.generate(index(spark, sf, 6), seeds, 40, 6, seed=11).select("prompt_id", F.concat_ws(" ", "ids").alias("text"))
+
+
+def q_generate_by_steps(spark, sf):
+    """As backoff_generate, with an index taken to be too large to send."""
+    out = sampling.generate(index(spark, sf, 4), _seeds(spark, sf), 4, 4, t=0.9, k=3, seed=5, local_values=0)
+    return out.select("prompt_id", F.concat_ws(" ", "ids").alias("text"))
+
+
 def q_param_sweep(spark, sf):
     """Every seed with every pair of settings, two samples each."""
     out = sampling.generate(index(spark, sf, 2), sampling.sweep(_seeds(spark, sf), [0.7, 1.0, 1.3], [2, 3, 50], 2), 2, 2, seed=9)
@@ -536,6 +548,11 @@ SELECT shard, n, count(*) AS contexts, sum(cnt)::BIGINT AS cnt FROM g GROUP BY A
     ) + " SELECT prompt_id, array_to_string(ids, ' ') AS text FROM s2",
     "backoff_generate": _generate_sql("SELECT (CASE event_type {crc} END)::BIGINT AS prompt_id, [event_type] AS ids, 0.9::DOUBLE AS t, 3 AS k FROM (SELECT DISTINCT event_type FROM events)", 4, 4, 5)
     + " SELECT prompt_id, array_to_string(ids, ' ') AS text FROM s4",
+    "generate_by_steps": _generate_sql("SELECT (CASE event_type {crc} END)::BIGINT AS prompt_id, [event_type] AS ids, 0.9::DOUBLE AS t, 3 AS k FROM (SELECT DISTINCT event_type FROM events)", 4, 4, 5)
+    + " SELECT prompt_id, array_to_string(ids, ' ') AS text FROM s4",
+    "generate_long": _generate_sql(
+        "SELECT (CASE event_type {crc} END)::VARCHAR || ':1.1:4:' || n AS prompt_id, [event_type] AS ids, 1.1::DOUBLE AS t, 4 AS k FROM (SELECT DISTINCT event_type FROM events), range(3) c(n)", 40, 6, 11
+    ) + " SELECT prompt_id, array_to_string(ids, ' ') AS text FROM s40",
     "greedy_generate": f"""
 WITH RECURSIVE {EVT}, bi AS (SELECT lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok FROM tok),
 best AS (SELECT ctx, tok FROM bi WHERE ctx IS NOT NULL GROUP BY ctx, tok QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY count(*) DESC, tok) = 1),
