@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokenlake.functions.storage import shared_dir, written
 from tokenlake.operators import evaluation, ngram, sampling, stream
-from tokenlake.sources import images, token_files
+from tokenlake.sources import images, token_files, token_source
 from tokenlake.streaming import tokens as streaming
 
 END = "<end>"
@@ -287,6 +287,58 @@ def q_concat_shards(spark, sf):
     return docs.select("doc", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
 
+def _told(docs):
+    return docs.select(F.col("shard").cast("long").alias("shard"), "start", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+def q_source_flat(spark, sf):
+    """Two shards' flat files through SQL: a view of the data source, in ranges of 64 bytes."""
+    path = folder(spark, "source")
+    token_files.write_flat(_numbered(spark, sf), path)
+    token_source.register(spark)
+    view = f"tokens_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TEMPORARY VIEW {view} USING tokens OPTIONS (path '{path}', shards '00001,00003', range '64')")
+    return _told(spark.sql(f"SELECT * FROM {view}"))
+
+
+def q_source_headered(spark, sf):
+    path = folder(spark, "source")
+    token_files.write_headered(_equal(spark, sf), path)
+    token_source.register(spark)
+    return _told(spark.read.format("tokens").option("layout", "headered").option("range", 64).load(path))
+
+
+def q_source_npy(spark, sf):
+    path = folder(spark, "source")
+    token_files.write_npy(_equal(spark, sf), path)
+    token_source.register(spark)
+    return _told(spark.read.format("tokens").option("layout", "npy").option("range", 64).load(path))
+
+
+def _texts_of(docs):
+    return docs.groupBy(F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens")).agg(F.count("*").alias("docs"))
+
+
+def q_source_append(spark, sf):
+    """Two writes of the data source, the second behind the first, read back."""
+    path = folder(spark, "source")
+    token_source.register(spark)
+    for _ in range(2):
+        _numbered(spark, sf).select("tokens").write.format("tokens").mode("append").save(path)
+    return _texts_of(spark.read.format("tokens").load(path))
+
+
+def q_source_stream(spark, sf):
+    """Flat files as a stream into flat files; started again, it finds nothing new."""
+    path = folder(spark, "source")
+    token_files.write_flat(_numbered(spark, sf), f"{path}/in")
+    token_source.register(spark)
+    for _ in range(2):
+        arriving = spark.readStream.format("tokens").load(f"{path}/in")
+        arriving.writeStream.format("tokens").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return _texts_of(spark.read.format("tokens").load(f"{path}/out"))
+
+
 def q_documents_in(spark, sf):
     path = folder(spark, "sizes")
     token_files.write_flat(_equal(spark, sf), path)
@@ -515,6 +567,12 @@ UNION ALL SELECT 7, tok, count(*), count(*) / sum(count(*)) OVER () FROM f GROUP
     "npy_file": f"WITH {_NUMBERED} SELECT shard, doc, array_to_string({_SIX}, ' ') AS tokens FROM d",
     "offsets_file": f"""WITH {_NUMBERED}, o AS (SELECT shard, doc, (sum(len(t) + 1) OVER (PARTITION BY shard ORDER BY doc))::BIGINT AS "end", len(t) + 1 AS n FROM d)
 SELECT shard, doc, "end" - n AS "offset" FROM o UNION ALL SELECT shard, count(*), max("end") FROM o GROUP BY shard""",
+    "source_flat": f"""WITH {_NUMBERED} SELECT shard, (sum(len(t) + 1) OVER (PARTITION BY shard ORDER BY doc) - len(t) - 1)::BIGINT AS start, array_to_string(t, ' ') AS tokens
+FROM d WHERE shard IN (1, 3)""",
+    "source_headered": f"WITH {_NUMBERED} SELECT shard, doc * 6 AS start, array_to_string({_SIX}, ' ') AS tokens FROM d",
+    "source_npy": f"WITH {_NUMBERED} SELECT shard, doc * 6 AS start, array_to_string({_SIX}, ' ') AS tokens FROM d",
+    "source_append": f"WITH {_NUMBERED} SELECT array_to_string(t, ' ') AS tokens, 2 * count(*) AS docs FROM d GROUP BY 1",
+    "source_stream": f"WITH {_NUMBERED} SELECT array_to_string(t, ' ') AS tokens, count(*) AS docs FROM d GROUP BY 1",
     "concat_shards": f"WITH {_NUMBERED} SELECT row_number() OVER (ORDER BY shard, doc) - 1 AS doc, array_to_string(t, ' ') AS tokens FROM d",
     "documents_in": f"WITH {_NUMBERED} SELECT shard, count(*) AS docs FROM d GROUP BY shard",
     "config_roundtrip": "SELECT 'vocab_size' AS setting, 256::BIGINT AS value UNION ALL SELECT 'separator_token', 65535 UNION ALL SELECT 'num_images', count(*) FROM part",

@@ -257,28 +257,30 @@ def _read_rows(spark: SparkSession, path: str, header: Callable[[object], tuple[
     return parts.repartition("path", "begin").mapInArrow(parsed, _DOCS)
 
 
-def read_headered(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(shard, doc, tokens) of headered files; incomplete documents at the end are left out."""
+def headered_header(file) -> tuple[int, int, int, str]:
+    """(first byte, documents, tokens of each, kind) of a headered file."""
+    docs, n = np.frombuffer(file.read_at(8, 0), "<u4").tolist()
+    return 8, docs, n, "<u2"
 
-    def header(file) -> tuple[int, int, int, str]:
-        docs, n = np.frombuffer(file.read_at(8, 0), "<u4").tolist()
-        return 8, docs, n, "<u2"
 
-    return _read_rows(spark, path, header, size)
+def array_header(file) -> tuple[int, int, int, str]:
+    """The same of an npy file."""
+    head = io.BytesIO(file.read_at(1 << 16, 0))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if fortran or kind.kind not in "iu" or len(shape) not in (1, 2):
+        raise ValueError("only whole numbers in row order, in one or two dimensions")
+    return head.tell(), shape[0], shape[1] if len(shape) == 2 else 1, kind.str
 
 
-def read_npy(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(shard, doc, tokens) of npy files of whole numbers: a document for each row of two dimensions, or one number each of one."""
+def read_headered(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """(shard, doc, tokens) of headered files; incomplete documents at the end are left out."""
+    return _read_rows(spark, path, headered_header, size)
 
-    def header(file) -> tuple[int, int, int, str]:
-        head = io.BytesIO(file.read_at(1 << 16, 0))
-        version = np.lib.format.read_magic(head)
-        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
-        if fortran or kind.kind not in "iu" or len(shape) not in (1, 2):
-            raise ValueError("only whole numbers in row order, in one or two dimensions")
-        return head.tell(), shape[0], shape[1] if len(shape) == 2 else 1, kind.str
 
-    return _read_rows(spark, path, header, size)
+def read_npy(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """(shard, doc, tokens) of npy files of whole numbers: a document for each row of two dimensions, or one number each of one."""
+    return _read_rows(spark, path, array_header, size)
 
 
 def headered(tokens: list[list[int]]) -> bytes:
