@@ -12,9 +12,10 @@ child is found with a bit count. Shards are built in tasks; the driver only pass
 
 Search. Every word meets every shard. Its distance-one automaton is intersected with the trie depth
 first: along the word's own path, each edit at the present node (another label, an additional label,
-a skipped letter) is followed to its end before the path goes on. Edits that give the same word at
-several places are taken at one of them only, so each neighbour is met once. A batch of words walks
-together in numpy. A task reduces the neighbours of a word in the shards of a pass to their number and
+a skipped letter) is followed to its end before the path goes on. Words come in their order, so a
+batch of them is a small trie itself, and what words with a common prefix have in common is walked once for
+all of them, in numpy. Edits that give the same word at several places are taken at the last of them only, so each
+neighbour is met once. A task reduces the neighbours of a word in the shards of a pass to their number and
 the best of them; a shuffle reduces the passes.
 
 Defined results: a null text has no words; a null doc_id counts as an empty string in the hash; rows
@@ -59,7 +60,7 @@ class Plan:
     shard_words: int = 1 << 17
     shard_chars: int = 1 << 22
     pass_bytes: int = 48 << 20
-    batch: int = 1 << 13
+    batch: int = 1 << 15
 
 
 def _segments(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -110,41 +111,28 @@ def vocabulary(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= plan.twice)
 
 
-@dataclass
-class Letters:
-    """Words laid end to end: labels of their letters, where each begins, and how long it is."""
-
-    label: np.ndarray
-    start: np.ndarray
-    length: np.ndarray
-
-    @classmethod
-    def of(cls, words: list[str]) -> Letters:
-        length = np.array([len(w) for w in words], np.int64)
-        label = _LABEL[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
-        return cls(label, np.cumsum(length) - length, length)
-
-
 class Trie:
-    """Distinct words in code-point order. low, high: bitmaps of a node's child labels; child: its first child;
+    """Distinct words in code-point order. low, high: bitmaps of a node's child labels; child: its first child; label: its own;
     word: the number of the word that ends there, or -1."""
 
-    FIELDS = {"low": U64, "high": U64, "child": np.int32, "word": np.int32}
+    FIELDS = {"low": U64, "high": U64, "child": np.int32, "label": np.uint8, "word": np.int32}
 
     def __init__(self, **fields: np.ndarray):
-        self.low, self.high, self.child, self.word = (fields[k] for k in self.FIELDS)
+        self.low, self.high, self.child, self.label, self.word = (fields[k] for k in self.FIELDS)
 
     @classmethod
     def build(cls, words: list[str]) -> Trie:
-        letters = Letters.of(words)
-        low, high, child, ends = [], [], [], []
+        length = np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(length) - length
+        letters = _LABEL[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
+        low, high, child, labels, ends = [], [], [], [np.array([255], np.uint8)], []
         node, nodes, total, depth, alive = np.zeros(len(words), np.int64), 1, 1, 0, np.arange(len(words))
         while nodes:
-            done = letters.length[alive] == depth
+            done = length[alive] == depth
             word = np.full(nodes, -1, np.int32)
             word[node[done]] = alive[done]
             alive, node = alive[~done], node[~done]
-            label = letters.label[letters.start[alive] + depth]
+            label = letters[start[alive] + depth]
             new = np.ones(len(alive), bool)
             new[1:] = (node[1:] != node[:-1]) | (label[1:] != label[:-1])
             parent, named = node[new], label[new]
@@ -154,72 +142,67 @@ class Trie:
             low.append(level[0])
             high.append(level[1])
             ends.append(word)
+            labels.append(named)
             child.append((total + np.searchsorted(parent, np.arange(nodes))).astype(np.int32))
             node, nodes, depth = np.cumsum(new) - 1, len(parent), depth + 1
             total += nodes
-        return cls(low=np.concatenate(low), high=np.concatenate(high), child=np.concatenate(child), word=np.concatenate(ends))
+        fields = {"low": low, "high": high, "child": child, "label": labels, "word": ends}
+        return cls(**{k: np.concatenate(x) for k, x in fields.items()})
 
     def step(self, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Is there a child with the label, and which is it?"""
+        """The places of nodes that have a child with their label, and these children."""
         low, high = self.low[node], self.high[node]
-        there = ((low & _BIT[0][label]) | (high & _BIT[1][label])) != 0
+        there = np.flatnonzero((low & _BIT[0][label]) | (high & _BIT[1][label]))
+        low, high, label = low[there], high[there], label[there]
         rank = np.bitwise_count(low & _BELOW[0][label]).astype(np.int32) + np.bitwise_count(high & _BELOW[1][label])
-        return there, self.child[node] + rank
+        return there, self.child[node[there]] + rank
 
     def children(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in node, child, label) of all children, in order."""
-        low, high = self.low[node], self.high[node]
-        count = np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high)
-        label = []
-        for bits, width, base in ((low, 26, 0), (high, 64, 26)):
-            some = np.flatnonzero(bits)
-            at, bit = np.nonzero((bits[some][:, None] >> np.arange(width, dtype=U64)) & U64(1))
-            label.append((some[at], bit + base))
-        owner = np.concatenate([x for x, _ in label])
-        order = np.argsort(owner, kind="stable")  # a-z stand before the others of each owner
-        return owner[order], ranges(self.child[node], count), np.concatenate([x for _, x in label])[order]
-
-    def near(self, words: Letters) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in words, word of the trie) at distance one, each once."""
+        """(numbers of children, children, labels) of nodes, one after the other."""
+        count = np.bitwise_count(self.low[node]).astype(np.int64) + np.bitwise_count(self.high[node])
+        child = ranges(self.child[node], count)
+        return count, child, self.label[child]
+
+    def near(self, asked: Trie, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (word of asked, word of this) at distance one, each once."""
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def follow(owner: np.ndarray, node: np.ndarray, at: np.ndarray) -> None:
-            """The edit is spent: the rest of each word must stand below its node."""
-            while len(owner):
-                ended = at == words.length[owner]
-                hit = ended & (self.word[node] >= 0)
-                if hit.any():
-                    found.append((owner[hit], self.word[node[hit]]))
-                going = ~ended
-                owner, node, at = owner[going], node[going], at[going]
-                there, node = self.step(node, words.label[words.start[owner] + at])
-                owner, node, at = owner[there], node[there], at[there] + 1
-
-        alive, node, depth = np.arange(len(words.length)), np.zeros(len(words.length), np.int64), 0
-        while len(alive):
-            rest = words.length[alive] - depth
-            place, child, label = self.children(node)
-            own = np.full(len(alive), 255)
-            own[rest > 0] = words.label[words.start[alive[rest > 0]] + depth]
-            other = label != own[place]
-            place, child = place[other], child[other]
-            owner = alive[place]
-            follow(owner, child, np.full(len(owner), depth))  # one more letter; before its like it would give what it gives behind it
-            changed = rest[place] > 0
-            follow(owner[changed], child[changed], np.full(int(changed.sum()), depth + 1))
-            following = np.full(len(alive), 255)
-            following[rest > 1] = words.label[words.start[alive[rest > 1]] + depth + 1]
-            dropped = (rest > 0) & (own != following)  # of equal letters in a row the last
-            follow(alive[dropped], node[dropped], np.full(int(dropped.sum()), depth + 1))
-            some = rest > 0
-            there, node_of = self.step(node[some], own[some])
-            alive, node, depth = alive[some][there], node_of[there], depth + 1
+        def follow(q: np.ndarray, s: np.ndarray, unless: np.ndarray | None = None) -> None:
+            """The edit is spent: what is below q must stand below s; the first letter is not `unless`."""
+            while len(q):
+                hit = np.flatnonzero((asked.word[q] >= 0) & (self.word[s] >= 0))
+                if len(hit):
+                    found.append((asked.word[q[hit]], self.word[s[hit]]))
+                count, child, label = asked.children(q)
+                owner = np.repeat(np.arange(len(q)), count)
+                if unless is not None:
+                    other = np.flatnonzero(label != unless[owner])
+                    owner, child, label, unless = owner[other], child[other], label[other], None
+                there, s = self.step(s[owner], label)
+                q = child[there]
+
+        q, s = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(q):
+            (n, mine, own), (m, theirs, label) = asked.children(q), self.children(s)
+            from_q, from_s = np.repeat(np.arange(len(q)), n), np.repeat(np.arange(len(q)), m)
+            follow(q[from_s], theirs, label)  # a letter more; before its like it would give what it gives behind it
+            follow(mine, s[from_q], own)  # a letter less; of equal ones in a row the last
+            first, width = np.cumsum(m) - m, m[from_q]
+            total, a = np.cumsum(width), 0
+            while a < len(mine):  # another letter
+                b = max(a + 1, int(np.searchsorted(total, total[a] - width[a] + cells, "right")))
+                left, right = np.repeat(np.arange(a, b), width[a:b]), ranges(first[from_q[a:b]], width[a:b])
+                other = np.flatnonzero(own[left] != label[right])
+                follow(mine[left[other]], theirs[right[other]])
+                a = b
+            there, s = self.step(s[from_q], own)
+            q = mine[there]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_SHARD = "bytes long, low binary, high binary, child binary, word binary, n binary, words array<string>"
+_SHARD = "bytes long, low binary, high binary, child binary, label binary, word binary, n binary, words array<string>"
 
 
 def _tries(plan: Plan):
@@ -250,11 +233,12 @@ def _tries(plan: Plan):
 
 def best_near(words: list[str], shards: list[tuple[Trie, np.ndarray, pa.Array]]) -> pa.RecordBatch:
     """(word, n_near, best_n, best) of the words that have a neighbour in the shards."""
-    letters = Letters.of(words)
+    words = sorted(words)
+    asked = Trie.build(words)
     count = np.zeros(len(words), np.int64)
     top, text = np.zeros(len(words), np.int64), np.full(len(words), None, object)
-    for trie, n, named in shards:  # in code-point order, so a later shard's word is best only with a larger n
-        owner, other = trie.near(letters)
+    for trie, n, named in shards:
+        owner, other = trie.near(asked)
         if not len(owner):
             continue
         order = np.lexsort((other, -n[other], owner))
@@ -262,9 +246,12 @@ def best_near(words: list[str], shards: list[tuple[Trie, np.ndarray, pa.Array]])
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         count += np.bincount(owner, minlength=len(words))
         owner, other = owner[first], other[first]
+        near = np.array(named.take(pa.array(other)).to_pylist(), object)
         better = n[other] > top[owner]
+        equal = np.flatnonzero(n[other] == top[owner])
+        better[equal] = [a < b for a, b in zip(near[equal], text[owner[equal]], strict=True)]
         top[owner[better]] = n[other[better]]
-        text[owner[better]] = named.take(pa.array(other[better])).to_pylist()
+        text[owner[better]] = near[better]
     some = np.flatnonzero(count)
     columns = [pa.array([words[k] for k in some], pa.string()), pa.array(count[some]), pa.array(top[some]), pa.array(text[some].tolist(), pa.string())]
     return pa.RecordBatch.from_arrays(columns, ["word", "n_near", "best_n", "best"])
@@ -273,10 +260,14 @@ def best_near(words: list[str], shards: list[tuple[Trie, np.ndarray, pa.Array]])
 def _searched(plan: Plan, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = [(Trie(**{k: np.frombuffer(x[k], kind) for k, kind in Trie.FIELDS.items()}), np.frombuffer(x["n"], np.int64), pa.array(x["words"], pa.string())) for x in sent.value]
+        words: list[str] = []
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            for k in range(0, len(words), plan.batch):
-                yield best_near(words[k : k + plan.batch], shards)
+            words += batch.column(0).to_pylist()
+            while len(words) >= plan.batch:
+                yield best_near(words[: plan.batch], shards)
+                words = words[plan.batch :]
+        if words:
+            yield best_near(words, shards)
 
     return run
 
@@ -284,19 +275,19 @@ def _searched(plan: Plan, sent):
 def neighbours(words: DataFrame, scratch: Scratch, plan: Plan = Plan()) -> DataFrame:
     """(word, n_near, best_n, best) of the words(word, n), a written table, that have a neighbour among them."""
     spark = words.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = words.repartitionByRange(parts, "word").sortWithinPartitions("word")
+    parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), words.count()
+    ordered = words.repartitionByRange(max(1, -(-size // plan.shard_words)), "word").sortWithinPartitions("word")
     tries = scratch.write(ordered.mapInArrow(_tries(plan), _SHARD).withColumn("shard", F.monotonically_increasing_id()), "tries")
     sizes = [(r["shard"], r["bytes"]) for r in tries.select("shard", "bytes").orderBy("shard").toLocalIterator()]
     passes: list[list[int]] = []
     room = 0
-    for shard, size in sizes:
-        if size > room:
+    for shard, more in sizes:
+        if more > room:
             passes.append([])
             room = plan.pass_bytes
         passes[-1].append(shard)
-        room -= size
-    dealt = scratch.write(words.select("word").repartition(parts), "searched")
+        room -= more
+    dealt = words.select("word").repartitionByRange(max(parts, -(-size // plan.batch)), "word")  # small in bytes, not in work
     out = spark.createDataFrame([], "word string, n_near long, best_n long, best string")
     for k, shards in enumerate(passes):
         sent = spark.sparkContext.broadcast([r.asDict() for r in tries.filter(F.col("shard").isin(shards)).orderBy("shard").collect()])
