@@ -519,8 +519,8 @@ def test_sql(name, spark, sf):
 @pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op8_url_filter"}))
 def test_sql_odd(name, spark, tmp_path):
     """Empty, short, very long and repetitive texts, and texts without words, in a table of distinct ids."""
-    table = [(i, text) for i, (_, text, _) in enumerate(ODD)] + [(90, "a b\n\na b\n \n#<x> a b"), (91, LONG[:-1]), (92, " ".join(["one two"] * 60))]
-    spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = [(i, text, rest) for i, (_, text, rest) in enumerate(ODD)] + [(90, "a b\n\na b\n \n#<x> a b", None), (91, LONG[:-1], "x"), (92, " ".join(["one two"] * 60), "y")]
+    spark.createDataFrame(table, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert oracle.compare(con, queries.queries()[name](spark, str(tmp_path)), queries.oracle_sql()[name]) == ""

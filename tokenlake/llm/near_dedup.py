@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -239,17 +239,32 @@ def _verify(pairs: DataFrame, z: DataFrame, plan: Plan, scratch: Scratch, name:
     return scratch.write(both.mapInArrow(_verified(plan), "u long, v long"), f"{name}-edges")
 
 
-def links_of_buckets(members: DataFrame, z: DataFrame, plan: Plan, scratch: Scratch, possible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def in_blocks(many: DataFrame, block: int) -> DataFrame:
+    """many(band, node, part, ...) with (kind, i, j): groups of about two blocks in which all nodes of a bucket meet that are in different
+    parts. Nodes of the largest part meet all others, but not each other."""
+    largest = many.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
+    in_blocks = lambda n: F.ceil(n / block).cast("int")
+    dealt = many.join(largest.select("band", F.col("top.part").alias("major"), in_blocks(F.col("all") - F.col("top.n")).alias("minors"), in_blocks(F.col("top.n")).alias("majors")), "band")
+    inside = F.col("part") == F.col("major")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.when(inside, F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    meet = lambda f, kind, i, j: F.transform(F.sequence(F.lit(0), F.col(f) - 1), lambda k: F.struct(F.lit(kind).alias("kind"), i(k).alias("i"), j(k).alias("j")))
+    own = F.col("own")
+    outside = F.concat(meet("minors", 0, lambda k: F.least(own, k), lambda k: F.greatest(own, k)), meet("majors", 1, lambda k: own, lambda k: k))
+    dealt = dealt.withColumn("meet", F.when(inside, meet("minors", 1, lambda k: k, lambda k: own)).otherwise(outside))
+    return dealt.select("*", F.explode("meet").alias("m")).select(*many.columns, "m.kind", "m.i", "m.j")
+
+
+def links_of_buckets(members: DataFrame, z: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """edges(u, v) that join all nodes that links within buckets connect, not all links.
 
     members(band, node, n, least, size): the nodes of each bucket, their sets' sizes, the bucket's least node and size;
-    z(doc, z): packed texts; possible: leaves those of pairs(x, y) that can be similar enough.
+    z(doc, z): packed texts.
     """
     # a set can only be similar enough to one at least percent / 100 of its size
     close = lambda a, b: (100 * F.least(a, b) >= plan.percent * F.greatest(a, b))
     least = members.filter("node = least").select("band", F.col("n").alias("least_n"))
     stars = members.filter("node != least").join(least, "band").filter(close(F.col("n"), F.col("least_n"))).select(F.col("least").alias("x"), F.col("node").alias("y"))
-    stars = scratch.write(possible(stars.distinct()), "stars")
+    stars = scratch.write(stars.distinct(), "stars")
     first = _verify(stars, z, plan, scratch, "star")
     parts = scratch.write(components(first, scratch, "first"), "parts")
 
@@ -259,25 +274,24 @@ def links_of_buckets(members: DataFrame, z: DataFrame, plan: Plan, scratch: Scra
     few, many = open_.filter(F.col("size") <= plan.small), open_.filter(F.col("size") > plan.small)
     a, b = few.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px")), few.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
     across = a.join(b, "band").filter((F.col("x") < F.col("y")) & (F.col("px") != F.col("py")) & close(F.col("nx"), F.col("ny"))).select("x", "y").distinct()
-    across = scratch.write(possible(across.join(stars, ["x", "y"], "left_anti")), "across")
+    across = scratch.write(across.join(stars, ["x", "y"], "left_anti"), "across")
     second = _verify(across, z, plan, scratch, "across")
 
-    largest = many.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all"))
-    in_blocks = lambda n: F.ceil(n / plan.block).cast("int")
-    dealt = many.join(largest.select("band", F.col("top.part").alias("major"), in_blocks(F.col("all") - F.col("top.n")).alias("minors"), in_blocks(F.col("top.n")).alias("majors")), "band")
-    inside = F.col("part") == F.col("major")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "band"), F.when(inside, F.col("majors")).otherwise(F.col("minors"))).cast("int"))
-    meet = lambda f, kind, i, j: F.transform(F.sequence(F.lit(0), F.col(f) - 1), lambda k: F.struct(F.lit(kind).alias("kind"), i(k).alias("i"), j(k).alias("j")))
-    own = F.col("own")
-    outside = F.concat(meet("minors", 0, lambda k: F.least(own, k), lambda k: F.greatest(own, k)), meet("majors", 1, lambda k: own, lambda k: k))
-    dealt = dealt.withColumn("meet", F.when(inside, meet("minors", 1, lambda k: k, lambda k: own)).otherwise(outside))
-    dealt = scratch.write(dealt.select("band", "node", "part", F.explode("meet").alias("m")).select("band", "m.kind", "m.i", "m.j", "node", "part"), "dealt")
+    dealt = scratch.write(in_blocks(many, plan.block).select("band", "kind", "i", "j", "node", "part"), "dealt")
     groups = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // (2 * plan.block))
     dealt = dealt.join(z.withColumnRenamed("doc", "node"), "node").select("band", "kind", "i", "j", "node", "part", "z")
     third = scratch.write(dealt.repartition(groups, "band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j", "node").mapInArrow(_blocked(plan), "u long, v long"), "blocked")
     return first.union(second).union(third)
 
 
+def links_by_id(linked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges(u, v) between an id that several rows(doc_id, s1, s2, n_shingles) have and the nodes(s1, s2, n, node) of their sets."""
+    several = linked.groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("doc_id")
+    sets = linked.select("doc_id", "s1", "s2", "n_shingles").join(several, "doc_id", "left_semi").distinct()
+    of = nodes.select("s1", "s2", F.col("n").alias("n_shingles"), "node")
+    return sets.join(of, ["s1", "s2", "n_shingles"]).filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -296,7 +310,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     z = scratch.write(docs.hint("merge").join(needed, "doc_id", "left_semi").mapInArrow(_packed_text, "doc long, z binary"), "z")
     scratch.drop("bands")
 
-    whole = scratch.write(components(links_of_buckets(members, z, plan, scratch), scratch, "whole"), "whole")
+    whole = scratch.write(components(links_of_buckets(members, z, plan, scratch).union(links_by_id(linked, nodes)), scratch, "whole"), "whole")
 
     table = nodes.join(whole, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
     table = scratch.write(table, "table")
