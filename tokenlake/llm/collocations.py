@@ -2,7 +2,7 @@
 
 Shards. A task lays the words of its documents end to end, `shard_words` at a time, two further words
 being read along so that no phrase is lost between shards. A shard keeps one compressed bitmap for each
-frequent word: the blocks of 16 places in which the word stands, each with a mask of its places. One
+frequent word: the blocks of 8 places in which the word stands, each with a mask of its places. One
 more bitmap has the places where a piece begins.
 
 Extension. The bitmap of a phrase has its last words' places. Shifted by one place, without the places
@@ -13,7 +13,8 @@ shards are sums of popcounts, summed again over shards in a shuffle.
 
 Pruning. A phrase is as frequent as the candidates ask only if all its parts are. Words first, then
 pairs, are counted over all shards, and those frequent enough become a bitmap of hashes of bounded size
-(`bits`) that tasks test by; whatever it lets through wrongly falls to the exact count afterwards.
+(`bits`) that tasks test by; whatever it lets through wrongly falls to the exact count afterwards. Before
+pairs are extended, places that stand in no frequent pair are taken out of the bitmaps.
 
 Words and pairs are told apart by 64-bit hashes of language and words. Scores are exact, in decimals.
 
@@ -25,6 +26,7 @@ its words' places and hashes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,13 +48,15 @@ APART[[0x20, 0x09]] = True
 @dataclass(frozen=True)
 class Plan:
     """least: occurrences of a candidate; percent: a candidate within a longer one of at least this share of its occurrences goes;
-    top: rows for each language; shard_words: places of a shard, a multiple of 16; step: bytes of text that are split at once;
+    top: rows for each language; shard_words: places of a shard, a multiple of 8; counted: words
+    that a task counts before it hands on; step: bytes of text that are split at once;
     cells: pairs of bitmap blocks that are ANDed at once; bits: most bits of a bitmap of hashes, as a power of two."""
 
     least: int = 10
     percent: int = 50
     top: int = 2000
     shard_words: int = 1 << 19
+    counted: int = 1 << 21
     step: int = 1 << 20
     cells: int = 1 << 21
     bits: int = 27
@@ -70,53 +74,83 @@ def _languages(column: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.array([known[x] for x in names], U64)
 
 
-def _split(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[Words, np.ndarray, np.ndarray, list[str]]]:
-    """Words of (lang, text) rows with their bytes, keys and their documents' languages."""
-    names, hashed = _languages(batch.column(0))
-    for lo, hi, data, offsets in texts(batch, "text", plan.step):
-        words = Words(data, offsets, lower=True, is_space=APART)
-        yield words, data, mix(words.hash + hashed[lo:hi][words.doc]), names[lo:hi]
+@dataclass
+class Step:
+    """Some whole documents: their words, with text, keys, whether a piece begins there, and languages by document."""
+
+    words: Words
+    data: np.ndarray
+    keys: np.ndarray
+    opens: np.ndarray
+    langs: list[str]
+
+    def named(self, at: np.ndarray) -> list[pa.Array]:
+        """Languages and lower-cased words at some places."""
+        length = self.words.length[at].astype(np.int64)
+        chars = LOWER[self.data[ranges(self.words.start[at], length)]]
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        word = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(chars)).cast(pa.string())
+        return [pa.array([self.langs[d] for d in self.words.doc[at]], pa.string()), word]
+
+
+def _steps(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[Step]:
+    """Of (lang, text) rows."""
+    for batch in batches:
+        names, hashed = _languages(batch.column(0))
+        for lo, hi, data, offsets in texts(batch, "text", plan.step):
+            words = Words(data, offsets, lower=True, is_space=APART)
+            piece = np.searchsorted(np.flatnonzero(SPLITS[data]), words.start)
+            opens = np.ones(len(piece), bool)
+            opens[1:] = (piece[1:] != piece[:-1]) | (words.doc[1:] != words.doc[:-1])
+            yield Step(words, data, mix(words.hash + hashed[lo:hi][words.doc]), opens, names[lo:hi])
 
 
 def _word_counts(plan: Plan):
+    """(lang, key, n): rows with a key count a word, the others all words of a language."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, data, keys, names in _split(batch, plan):
-                key, at, n = np.unique(keys, return_index=True, return_counts=True)
-                for k in range(0, len(key), 1 << 16):
-                    some = at[k : k + (1 << 16)]
-                    length = words.length[some].astype(np.int64)
-                    chars = LOWER[data[ranges(words.start[some], length)]]
-                    ends = np.concatenate([[0], np.cumsum(length)])
-                    word = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(chars)).cast(pa.string())
-                    lang = pa.array([names[d] for d in words.doc[some]], pa.string())
-                    yield pa.RecordBatch.from_arrays([lang, word, pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(n[k : k + (1 << 16)])], ["lang", "word", "key", "n"])
+        held, n, sizes = [], 0, Counter()
+
+        def out() -> pa.RecordBatch:
+            key, count = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
+            key = pa.array([None] * len(sizes) + key.view(np.int64).tolist(), pa.int64())
+            lang = pa.array(list(sizes) + [None] * (len(key) - len(sizes)), pa.string())
+            count = pa.array([*sizes.values(), *count.tolist()], pa.int64())
+            held.clear()
+            sizes.clear()
+            return pa.RecordBatch.from_arrays([lang, key, count], ["lang", "key", "n"])
+
+        for step in _steps(batches, plan):
+            held.append(step.keys)
+            n += len(step.keys)
+            for d, size in enumerate(np.bincount(step.words.doc, minlength=len(step.langs)).tolist()):
+                sizes[step.langs[d]] += size
+            if n >= plan.counted:
+                yield out()
+                n = 0
+        yield out()
 
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch], plan: Plan, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _shards(steps: Iterator[tuple[np.ndarray, np.ndarray]], plan: Plan, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(keys of words, where pieces begin, own places): phrases that begin in the own places are this shard's."""
     keys, opens = np.zeros(0, U64), np.zeros(0, bool)
-    for batch in batches:
-        for words, data, key, _ in _split(batch, plan):
-            piece = np.searchsorted(np.flatnonzero(SPLITS[data]), words.start)
-            new = np.ones(len(key), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (words.doc[1:] != words.doc[:-1])
-            keys, opens = np.concatenate([keys, key]), np.concatenate([opens, new])
-            at = 0
-            while len(keys) - at >= plan.shard_words + reach:
-                end = at + plan.shard_words
-                yield keys[at : end + reach], opens[at : end + reach], plan.shard_words
-                at = end
-            keys, opens = keys[at:], opens[at:]
+    for more in steps:
+        keys, opens = np.concatenate([keys, more[0]]), np.concatenate([opens, more[1]])
+        at = 0
+        while len(keys) - at >= plan.shard_words + reach:
+            end = at + plan.shard_words
+            yield keys[at : end + reach], opens[at : end + reach], plan.shard_words
+            at = end
+        keys, opens = keys[at:], opens[at:]
     if len(keys):
         yield keys, opens, len(keys)
 
 
 @dataclass
 class Bitmaps:
-    """Compressed bitmaps: of[i] has the places mask[i] of the 16 of block[i]. An owner may have a block twice, with other places."""
+    """Compressed bitmaps: of[i] has the places mask[i] of the 8 of block[i]. An owner may have a block twice, with other places."""
 
     of: np.ndarray
     block: np.ndarray
@@ -127,35 +161,35 @@ class Bitmaps:
 
     def shifted(self, without: np.ndarray) -> Bitmaps:
         """One place later, but for the places of a plain bitmap."""
-        wide = self.mask.astype(np.uint32) << 1
-        over = np.flatnonzero(wide >> 16)
+        wide = self.mask.astype(np.uint16) << 1
+        over = np.flatnonzero(wide >> 8)
         over = over[self.block[over] + 1 < len(without)]
         of = np.concatenate([self.of, self.of[over]])
         block = np.concatenate([self.block, self.block[over] + 1])
-        mask = np.concatenate([wide & 0xFFFF, np.ones(len(over), np.uint32)]).astype(np.uint16) & ~without[block]
+        mask = np.concatenate([wide & 0xFF, np.ones(len(over), np.uint16)]).astype(np.uint8) & ~without[block]
         return Bitmaps(of, block, mask)[mask != 0]
 
 
 class Shard:
-    """Position bitmaps of the words of a shard that pass `frequent`."""
-
-    def __init__(self, keys: np.ndarray, opens: np.ndarray, frequent):
-        blocks = (len(keys) + 15) // 16
-        at = np.flatnonzero(frequent(keys))
-        self.key, word = np.unique(keys[at], return_inverse=True)
-        place = word * blocks + (at >> 4)
-        order = np.argsort(place, kind="stable")
-        place, bit = place[order], (np.uint16(1) << (at & 15).astype(np.uint16))[order]
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(at) else np.zeros(0, np.int64)
-        mask = np.bitwise_or.reduceat(bit, first) if len(at) else bit
-        self.words = Bitmaps(place[first] // blocks if blocks else place[first], place[first] % blocks if blocks else place[first], mask)
-        padded = np.zeros(blocks * 16, bool)
+    """Position bitmaps of the words of a shard; those with key 0 have none."""
+
+    def __init__(self, keys: np.ndarray, opens: np.ndarray):
+        blocks = (len(keys) + 7) // 8
+        at = np.flatnonzero(keys)
+        at = at[np.argsort(keys[at], kind="stable")]
+        new = np.append(True, keys[at][1:] != keys[at][:-1])[: len(at)]
+        self.key, word, block = keys[at[new]], np.cumsum(new) - 1, at >> 3
+        first = np.flatnonzero(new | np.append(True, block[1:] != block[:-1])[: len(at)])
+        bit = np.left_shift(np.uint8(1), (at & 7).astype(np.uint8))
+        self.words = Bitmaps(word[first], block[first], np.bitwise_or.reduceat(bit, first) if len(at) else bit)
+        padded = np.zeros(blocks * 8, bool)
         padded[: len(opens)] = opens
-        self.opens = np.packbits(padded.reshape(-1, 16), axis=1, bitorder="little").view(np.uint16).ravel()
-        # the same bitmaps by block, to find those that can have a place in common with a phrase
-        order = np.argsort(self.words.block, kind="stable")
-        self.by_block = self.words[order]
-        self.edge = np.searchsorted(self.by_block.block, np.arange(blocks + 1))
+        self.opens = np.packbits(padded, bitorder="little")
+        # the same bitmaps by block, to find those that can have a place in common with a phrase: in the order of their first places
+        number = np.full(len(keys), -1)
+        number[at[first]] = np.arange(len(first))
+        self.by_block = self.words[number[number >= 0]]
+        self.edge = np.append(0, np.cumsum(np.bincount(self.by_block.block, minlength=blocks)))
 
     def extended(self, phrases: Bitmaps, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Bitmaps]:
         """(phrase, next word, count) of the phrases one word longer, and their bitmaps, numbered in that order."""
@@ -181,8 +215,8 @@ class Shard:
     def phrases(self, own: int, length: int, frequent_pairs, cells: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         """(keys of the words, count) of phrases of 2 to length words that begin in the first own places, depth first.
         frequent_pairs: which keys of pairs can be frequent, or None for all pairs."""
-        blocks, last = own >> 4, own & 15
-        inside = np.full(len(self.opens), 0xFFFF, np.uint16)
+        blocks, last = own >> 3, own & 7
+        inside = np.full(len(self.opens), 0xFF, np.uint8)
         inside[blocks:] = 0
         if last:
             inside[blocks] = (1 << last) - 1
@@ -217,20 +251,45 @@ class Shard:
 
 def _pair_counts(plan: Plan, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, opens, own in _shards(batches, plan, 1):
-            for (a, b), n in Shard(keys, opens, words.value).phrases(own, 2, None, plan.cells):
+        steps = ((np.where(words.value(step.keys), step.keys, U64(0)), step.opens) for step in _steps(batches, plan))
+        for keys, opens, own in _shards(steps, plan, 1):
+            for (a, b), n in Shard(keys, opens).phrases(own, 2, None, plan.cells):
                 yield pa.RecordBatch.from_arrays([pa.array(joined(a, b).view(np.int64)), pa.array(n.astype(np.int32))], ["key", "n"])
 
     return run
 
 
 def _phrase_counts(plan: Plan, words, pairs):
+    """(k1, k2, k3, n, lang, word): phrases of two or three words, and under k1 alone the names of the words in them."""
+    columns = ["k1", "k2", "k3", "n", "lang", "word"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, opens, own in _shards(batches, plan, 2):
-            for parts, n in Shard(keys, opens, words.value).phrases(own, 3, pairs.value, plan.cells):
-                columns = [pa.array(x.view(np.int64)) for x in parts]
-                columns += [pa.nulls(len(n), pa.int64())] * (3 - len(parts))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int32))], ["k1", "k2", "k3", "n"])
+        names: list[pa.RecordBatch] = []
+        seen = np.zeros(0, U64)
+
+        def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            nonlocal seen
+            for step in _steps(batches, plan):
+                good = words.value(step.keys)
+                pair = good[1:] & good[:-1] & ~step.opens[1:]
+                pair[pair] = pairs.value(joined(step.keys[:-1][pair], step.keys[1:][pair]))
+                active = np.append(pair, False) | np.append(False, pair) if len(good) else good
+                at = np.flatnonzero(active)
+                key, first = np.unique(step.keys[at], return_index=True)
+                new = ~np.isin(key, seen, assume_unique=True)
+                seen = np.union1d(seen, key[new]) if len(seen) < 1 << 20 else key
+                key, at = key[new], at[first[new]]
+                none = pa.nulls(len(key), pa.int64())
+                names.append(pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), none, none, pa.array(np.zeros(len(key), np.int32)), *step.named(at)], columns))
+                yield np.where(active, step.keys, U64(0)), step.opens
+
+        for keys, opens, own in _shards(steps(), plan, 2):
+            for parts, n in Shard(keys, opens).phrases(own, 3, pairs.value, plan.cells):
+                keyed = [pa.array(x.view(np.int64)) for x in parts] + [pa.nulls(len(n), pa.int64())] * (3 - len(parts))
+                yield pa.RecordBatch.from_arrays([*keyed, pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.string())], columns)
+            yield from names
+            names.clear()
+        yield from names
 
     return run
 
@@ -247,22 +306,22 @@ def collocations(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     text_batches(spark)
     scratch = Scratch(spark, "collocations")
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = docs.mapInArrow(_word_counts(plan), "lang string, word string, key long, n long")
-    counted = scratch.write(counted.groupBy("lang", "word", "key").agg(F.sum("n").alias("f")), "counted")
-    sizes = counted.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = scratch.write(counted.filter(F.col("f") >= plan.least), "words")
+    counted = docs.mapInArrow(_word_counts(plan), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("f"))
+    counted = scratch.write(counted.filter(F.col("key").isNull() | (F.col("f") >= plan.least)), "counted")
+    words, sizes = counted.filter("key is not null").select("key", "f"), counted.filter("key is null").select("lang", F.col("f").alias("n"))
     known = spark.sparkContext.broadcast(Filter.of(words, plan.bits))
 
     pairs = docs.mapInArrow(_pair_counts(plan, known), "key long, n int").groupBy("key").agg(F.sum("n").alias("f"))
     often = scratch.write(pairs.filter(F.col("f") >= plan.least).select("key"), "often")
     linked = spark.sparkContext.broadcast(Filter.of(often, plan.bits))
 
-    phrases = docs.mapInArrow(_phrase_counts(plan, known, linked), "k1 long, k2 long, k3 long, n int")
-    phrases = phrases.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("a")).filter(F.col("a") >= plan.least)
-    phrases = scratch.write(phrases, "phrases")
+    found = docs.mapInArrow(_phrase_counts(plan, known, linked), "k1 long, k2 long, k3 long, n int, lang string, word string")
+    found = found.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("a"), F.max("lang").alias("lang"), F.max("word").alias("word"))
+    found = scratch.write(found.filter(F.col("k2").isNull() | (F.col("a") >= plan.least)), "found")
     known.destroy()
     linked.destroy()
-    return ranked(words, sizes, phrases, scratch, plan)
+    named = found.filter("k2 is null").select(F.col("k1").alias("key"), "lang", "word").join(words, "key")
+    return ranked(named, sizes, found.filter("k2 is not null").select("k1", "k2", "k3", "a"), scratch, plan)
 
 
 def ranked(words: DataFrame, sizes: DataFrame, phrases: DataFrame, scratch: Scratch, plan: Plan) -> DataFrame:
@@ -286,10 +345,14 @@ def ranked(words: DataFrame, sizes: DataFrame, phrases: DataFrame, scratch: Scra
         "lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a",
         F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"),
     )
-    scored = pairs.union(triples)
-    # the best of parts of a language first, so that no task sorts a whole language
+    scored = scratch.write(pairs.union(triples), "scored")
+    # ranks by ranges of the order: no task sees a whole language
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    best = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= plan.top)
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= plan.top)
-    return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch.write(scored.repartitionByRange(parts, F.col("lang").asc(), *order).withColumn("part", F.spark_partition_id()), "dealt")
+    before = dealt.groupBy("lang", "part").agg(F.count("*").alias("size"))  # a row for each language and range
+    before = before.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = before.filter(F.col("before") < plan.top).select("lang", "part", "before").join(sizes, "lang")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    best = dealt.join(near, ["lang", "part"]).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= plan.top)
+    return best.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
