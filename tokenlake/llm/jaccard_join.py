@@ -14,9 +14,11 @@ their first n - ceil(percent n / 100) + 1 in common, so these make inverted list
 the light ones whose size a heavy one's can match. The order puts elements with long lists last: lists
 by hash order alone are counted first, elements of more than `frequent` rows go into a bitmap of
 bounded size, and lists are made again with those last. Each list is scanned: its nodes against its
-least one, then, where nodes are left in different components, against each other, in pairs or in
-blocks (`near_dedup.links_of_buckets`). Before a pair's whole sets are compared it must pass a bound:
-the parities of hashed elements in 512 places differ in no more places than the sets in elements.
+least one, then, where nodes are left in different components, against each other, in groups of about two
+blocks. A scan sees 64 bytes of each node: the parities of its hashed elements in 512 places. They
+differ in no more places than the sets in elements, so most pairs are out by a popcount; whole sets of the others are
+compared. The first scan passes on the closest pair of each two components only; where it left others out
+and the components are still two, a second one passes on all.
 
 Boundary. The cost of light nodes of a size is the number of their subsets. That of heavy ones is what
 scanning their lists takes: the lengths of all lists in which they stand, as counted, each time
@@ -40,14 +42,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tokenlake.llm import near_dedup
-from tokenlake.llm.arrays import BASE, U64, mix, random_table, texts
+from tokenlake.llm.arrays import BASE, U64, mix, ranges, texts
 from tokenlake.llm.components import components
 from tokenlake.llm.hash_filter import Filter
-from tokenlake.llm.near_dedup import links_of_buckets, shingles
+from tokenlake.llm.near_dedup import links_by_id, shingles
 from tokenlake.llm.store import Scratch, text_batches
 
 #: 64-bit words of the parities of a set.
@@ -59,7 +62,7 @@ _SECOND = U64(0x5851F42D4C957F2D)
 class Plan:
     """shingle: words per shingle; percent: least Jaccard similarity in percent; frequent: rows of a list whose element is put last;
     bits: most bits of the bitmap of such elements, as a power of two; subsets: most subsets of a light node; scan: cost of a place of a
-    list that is scanned, in subsets; small, block: as near_dedup's."""
+    list that is scanned, in subsets; block: nodes of a block of a list."""
 
     shingle: int = 3
     percent: int = 90
@@ -67,7 +70,6 @@ class Plan:
     bits: int = 27
     subsets: int = 2048
     scan: float = 2.0
-    small: int = 8
     block: int = 512
 
     def common(self, a: int, b: int) -> int:
@@ -133,7 +135,7 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 @cache
 def _left_out(n: int, d: int) -> np.ndarray:
     """All choices of d of n elements."""
-    return np.array(list(combinations(range(n), d)), np.int64).reshape(-1, d)
+    return np.array(list(combinations(range(n), d)), np.int64).reshape(math.comb(n, d), d)
 
 
 def subsets(plan: Plan, elements: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -190,6 +192,126 @@ def _lists_of(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", F.explode("first").alias("band"))
 
 
+def _most_apart(plan: Plan, both):
+    """In how many elements sets of so many elements together may differ."""
+    return both - 2 * -(-plan.percent * both // (100 + plan.percent))
+
+
+def _scanned(plan: Plan, closest: bool, cells: int = 1 << 17):
+    """(band, x, y, more) of rows (band, kind, i, j, node, part, n, parities) sorted by the first four: pairs of a group that may be linked
+    and are in different parts. closest: one for each two parts, and whether the group had more."""
+
+    def scan(columns: list[np.ndarray], begin: np.ndarray) -> pa.RecordBatch:
+        """Of whole groups, which begin at the given rows; all are taken at once, `cells` pairs at a time."""
+        node, part, n = columns[4:7]
+        bits = np.stack(columns[7:], axis=1).view(U64)
+        size = np.diff(np.append(begin, len(node)))
+        behind = np.repeat(begin + size, size) - np.arange(len(node)) - 1  # rows of the group after each
+        total, found, a = np.cumsum(behind), [], 0
+        while a < len(node):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - behind[a] + cells, "right")))
+            i, j = np.repeat(np.arange(a, b), behind[a:b]), ranges(np.arange(a, b) + 1, behind[a:b])
+            most = _most_apart(plan, n[i] + n[j])
+            some = np.flatnonzero((part[i] != part[j]) & (np.abs(n[i] - n[j]) <= most))
+            i, j, most = i[some], j[some], most[some]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            good = np.flatnonzero(apart <= most)
+            found.append((i[good], j[good], apart[good]))
+            a = b
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        group, low, high = np.searchsorted(begin, i, "right") - 1, np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+        order = np.lexsort((apart, high, low, group))
+        i, j, group, low, high = (x[order] for x in (i, j, group, low, high))
+        first = np.append(True, (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)]
+        more = np.bincount(group[~first], minlength=len(begin)) > 0
+        kept = np.flatnonzero(first) if closest else np.arange(len(order))
+        i, j, group = i[kept], j[kept], group[kept]
+        out = [columns[0][i], np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), more[group]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["band", "x", "y", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            if any(held[0][k][0] != held[-1][k][-1] for k in range(4)):  # at least one group is whole
+                columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+                new = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
+                begin = np.append(0, np.flatnonzero(new) + 1)
+                yield scan([c[: begin[-1]] for c in columns], begin[:-1])
+                held = [[c[begin[-1] :] for c in columns]]
+        if held:
+            yield scan([np.concatenate(x) for x in zip(*held, strict=True)], np.zeros(1, np.int64))
+
+    return run
+
+
+def _packed(wanted):
+    """(doc, z) of rows (key, doc_id, text) whose key passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            at = np.flatnonzero(wanted.value(batch.column(0).to_numpy().view(U64)))
+            z = [press.compress((batch.column(2)[int(k)].as_py() or "").encode()) for k in at]
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), pa.array(z, pa.binary())], ["doc", "z"])
+
+    return run
+
+
+def heavy_links(members: DataFrame, docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+    """edges(u, v) that connect what links within lists connect: members(band, node, n, least, p0, ...), a written table."""
+    rules = near_dedup.Plan(shingle=plan.shingle, percent=plan.percent)
+    parities = [f"p{k}" for k in range(WIDE)]
+    spark = members.sparkSession
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Of a written table of pairs(x, y), those whose whole sets are similar enough."""
+        ids = pairs.select(F.col("x").alias("doc")).union(pairs.select("y")).distinct().select(F.xxhash64("doc").alias("key"))
+        wanted = spark.sparkContext.broadcast(Filter.of(ids, plan.bits))
+        keyed = docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text")
+        z = scratch.write(keyed.mapInArrow(_packed(wanted), "doc long, z binary").distinct(), f"{name}-z")
+        wanted.destroy()
+        return near_dedup._verify(pairs, z, rules, scratch, name)
+
+    def still_open(table: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        """Rows, with their nodes' components as part, of the lists whose nodes are in several."""
+        parts = scratch.write(components(edges, scratch, name), f"{name}-parts")
+        placed = table.drop("part").join(parts, "node", "left").select(*table.drop("part").columns, F.coalesce("component", "node").alias("part"))
+        placed = scratch.write(placed, f"{name}-placed")
+        placed = placed.drop("size")
+        split = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low < high").select("band", "size")
+        return scratch.write(placed.hint("merge").join(split, "band"), f"{name}-open")
+
+    def scanned(rows: DataFrame, closest: bool, name: str) -> DataFrame:
+        columns = ["band", "kind", "i", "j", "node", "part", "n", *parities]
+        whole = rows.filter(F.col("size") <= plan.block).withColumns({k: F.lit(0) for k in ("kind", "i", "j")})
+        dealt = whole.select(columns).union(near_dedup.in_blocks(rows.filter(F.col("size") > plan.block), plan.block).select(columns))
+        groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // (64 * plan.block))
+        dealt = dealt.repartition(groups, "band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j")
+        return scratch.write(dealt.mapInArrow(_scanned(plan, closest), "band long, x long, y long, more boolean"), name)
+
+    head = members.filter("node = least").select("band", F.col("n").alias("n0"), *(F.col(p).alias(f"{p}h") for p in parities)).dropDuplicates(["band"])
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}h"))) for p in parities[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0h"))))
+    both = F.col("n") + F.col("n0")
+    most = both - 2 * F.ceil(plan.percent * both / (100 + plan.percent))
+    stars = members.filter("node != least").hint("merge").join(head, "band").filter((apart <= most) & (F.abs(F.col("n") - F.col("n0")) <= most))
+    stars = scratch.write(stars.select(F.col("least").alias("x"), F.col("node").alias("y")).distinct(), "stars")
+    first = verified(stars, "star")
+
+    rows = still_open(members.drop("least"), first, "first")
+    closest = scanned(rows, True, "closest")
+    pairs = scratch.write(closest.select("x", "y").distinct().join(stars, ["x", "y"], "left_anti"), "across")
+    edges = first.union(verified(pairs, "across"))
+
+    rest = closest.filter("more").select("band").distinct()
+    rows = still_open(rows.join(rest, "band", "left_semi"), edges, "second")
+    final = scanned(rows, False, "final").select("x", "y").distinct()
+    final = scratch.write(final.join(stars.union(pairs), ["x", "y"], "left_anti"), "others")
+    return edges.union(verified(final, "other"))
+
+
 def jaccard_join(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -220,24 +342,13 @@ def jaccard_join(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     edge = boundary(costs.collect(), plan)
     first = light_links(nodes.filter(F.col("n") < edge).select("node", "tokens"), plan, scratch)
 
-    # lists of nodes that can link with a heavy one; least and size are those of these nodes
+    # lists of nodes that can link with a heavy one; least is that of these nodes
     heavy = placed.filter(F.col("n") >= plan.least(edge)).drop("least", "size")
     lists = heavy.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size"), F.max("n").alias("most")).filter(f"size > 1 and most >= {edge}")
-    members = scratch.write(heavy.hint("merge").join(lists.drop("most"), "band"), "members")
-    needed = members.select(F.col("node").alias("doc_id")).distinct()
-    z = scratch.write(docs.hint("merge").join(needed, "doc_id", "left_semi").mapInArrow(near_dedup._packed_text, "doc long, z binary"), "z")
-    bits = scratch.write(nodes.select("node", "n", *parities), "parities")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        left, right = (bits.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), *(F.col(p).alias(f"{p}{end}") for p in parities)) for end in "xy")
-        apart = sum((F.bit_count(F.col(f"{p}x").bitwiseXOR(F.col(f"{p}y"))) for p in parities[1:]), F.bit_count(F.col("p0x").bitwiseXOR(F.col("p0y"))))
-        both = F.col("nx") + F.col("ny")
-        most = both - 2 * F.ceil(plan.percent * both / (100 + plan.percent))
-        return pairs.hint("merge").join(left, "x").hint("merge").join(right, "y").filter(apart <= most).select("x", "y")
-
-    rules = near_dedup.Plan(shingle=plan.shingle, percent=plan.percent, small=plan.small, block=plan.block)
-    second = links_of_buckets(members, z, rules, scratch, possible)
-    whole = scratch.write(components(first.union(second), scratch, "all"), "all")
+    members = heavy.hint("merge").join(lists.select("band", "least"), "band")
+    members = scratch.write(members.hint("merge").join(nodes.select("node", "n", *parities), ["node", "n"]), "members")
+    second = heavy_links(members, docs, plan, scratch)
+    whole = scratch.write(components(first.union(second).union(links_by_id(linked, nodes)), scratch, "all"), "all")
     late.destroy()
 
     table = nodes.join(whole, "node", "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component"))
