@@ -273,7 +273,9 @@ def heavy_links(members: DataFrame, docs: DataFrame, plan: Plan, scratch: Scratc
         keyed = docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("key"), "doc_id", "text")
         z = scratch.write(keyed.mapInArrow(_packed(wanted), "doc long, z binary").distinct(), f"{name}-z")
         wanted.destroy()
-        return near_dedup._verify(pairs, z, rules, scratch, name)
+        edges = near_dedup._verify(pairs, z, rules, scratch, name)
+        scratch.drop(f"{name}-z")
+        return edges
 
     def still_open(table: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         """Rows, with their nodes' components as part, of the lists whose nodes are in several."""
@@ -282,7 +284,9 @@ def heavy_links(members: DataFrame, docs: DataFrame, plan: Plan, scratch: Scratc
         placed = scratch.write(placed, f"{name}-placed")
         placed = placed.drop("size")
         split = placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("size")).filter("low < high").select("band", "size")
-        return scratch.write(placed.hint("merge").join(split, "band"), f"{name}-open")
+        rows = scratch.write(placed.hint("merge").join(split, "band"), f"{name}-open")
+        scratch.drop(f"{name}-placed", f"{name}-parts")
+        return rows
 
     def scanned(rows: DataFrame, closest: bool, name: str) -> DataFrame:
         columns = ["band", "kind", "i", "j", "node", "part", "n", *parities]
@@ -301,12 +305,14 @@ def heavy_links(members: DataFrame, docs: DataFrame, plan: Plan, scratch: Scratc
     first = verified(stars, "star")
 
     rows = still_open(members.drop("least"), first, "first")
+    scratch.drop("members")
     closest = scanned(rows, True, "closest")
     pairs = scratch.write(closest.select("x", "y").distinct().join(stars, ["x", "y"], "left_anti"), "across")
     edges = first.union(verified(pairs, "across"))
 
     rest = closest.filter("more").select("band").distinct()
     rows = still_open(rows.join(rest, "band", "left_semi"), edges, "second")
+    scratch.drop("first-open")
     final = scanned(rows, False, "final").select("x", "y").distinct()
     final = scratch.write(final.join(stars.union(pairs), ["x", "y"], "left_anti"), "others")
     return edges.union(verified(final, "other"))
@@ -326,6 +332,7 @@ def jaccard_join(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     some = sets(None).select(F.explode("first").alias("band"))
     often = scratch.write(some.groupBy("band").agg(F.count("*").alias("size")).filter(F.col("size") > plan.frequent).select("band"), "often")
     late = spark.sparkContext.broadcast(Filter.of(often.mapInArrow(_mixed, "key long"), plan.bits))
+    scratch.drop("often")
     parities = [f"p{k}" for k in range(WIDE)]
     signed = scratch.write(sets(late, "".join(f", {p} long" for p in parities) + ", tokens array<long>"), "signed")
 
@@ -340,13 +347,15 @@ def jaccard_join(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     places = placed.filter(F.col("n") <= limit).groupBy("n").agg(F.sum("size").alias("places"))
     costs = nodes.filter(F.col("n") <= limit).groupBy("n").agg(F.count("*").alias("nodes")).join(places, "n", "left").fillna(0)
     edge = boundary(costs.collect(), plan)
-    first = light_links(nodes.filter(F.col("n") < edge).select("node", "tokens"), plan, scratch)
+    first = scratch.write(light_links(nodes.filter(F.col("n") < edge).select("node", "tokens"), plan, scratch), "light")
+    scratch.drop("lists", "subsets")
 
     # lists of nodes that can link with a heavy one; least is that of these nodes
     heavy = placed.filter(F.col("n") >= plan.least(edge)).drop("least", "size")
     lists = heavy.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size"), F.max("n").alias("most")).filter(f"size > 1 and most >= {edge}")
     members = heavy.hint("merge").join(lists.select("band", "least"), "band")
     members = scratch.write(members.hint("merge").join(nodes.select("node", "n", *parities), ["node", "n"]), "members")
+    scratch.drop("placed")
     second = heavy_links(members, docs, plan, scratch)
     whole = scratch.write(components(first.union(second).union(links_by_id(linked, nodes)), scratch, "all"), "all")
     late.destroy()
