@@ -602,3 +602,17 @@ def test_near_duplicates_in_large_buckets(spark):
     got = rows(near_dedup.near_duplicates(table, near_dedup.Plan(small=2, block=20)))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_near(pairs(table)))
     assert 1 < len({r["component_id"] for r in got}) < 150
+
+
+def test_license_base_phrases_of_the_contract(spark):
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    made = ["the General Public License alone", "GNU Lesser General Public License", "gnu  GNU General-Public\nLICENSE, cc_by", "Apache License; MIT\x00license CC BY-4.0", "gnu general public licence", "xgnu general public license"]
+    table = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = {}
+    for d, text in enumerate(made):
+        w = LICENSE_WORD.findall(text.lower())
+        at = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        want[d] = (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at})))
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows(license_scan.scan_licenses(table))}
+    assert got == want and [want[d][1] for d in range(6)] == [0, 0, 2, 3, 0, 0]

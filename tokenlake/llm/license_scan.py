@@ -35,7 +35,7 @@ from tokenlake.llm.store import text_batches
 
 #: Phrases of the base count and their labels.
 BASE_PHRASES = {
-    "general public license": "gpl",
+    "gnu general public license": "gpl",
     "apache license": "apache",
     "cc by": "cc-by",
     "mit license": "mit",
