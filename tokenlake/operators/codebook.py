@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenlake.functions import images as im
+from tokenlake.functions.batches import lists, pieces
 from tokenlake.functions.storage import written
 from tokenlake.operators.tokenizers import HVQ_SHAPES, VQ_SHAPES, HierarchicalVq, Vq, nearest
 
@@ -49,15 +50,18 @@ def blocks(images: DataFrame, block: int, size: int) -> DataFrame:
     per = (size // block) ** 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 3, size * size * 3):
+            ids, good = [], []
             for i, h, w, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if data is None or not h or not w or len(data) != h * w * 3:
                     continue
                 image = np.frombuffer(data, np.uint8).reshape(1, h, w, 3)
-                image = image if (h, w) == (size, size) else im.resize(image, size, size, "lanczos")
-                rows = im.to_blocks(image, block).reshape(per, -1).astype(float)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(per + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(i * per + np.arange(per)), lists], ["vec_id", "v"])
+                good.append(image if (h, w) == (size, size) else im.resize(image, size, size, "lanczos"))
+                ids.append(i)
+            if good:
+                rows = im.to_blocks(np.concatenate(good), block).reshape(len(good) * per, -1).astype(float)
+                where = (np.array(ids)[:, None] * per + np.arange(per)).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), lists(rows)], ["vec_id", "v"])
 
     return images.select("img_id", "height", "width", "data").mapInArrow(run, "vec_id long, v array<double>")
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenlake.functions.batches import PIECE, pieces
 from tokenlake.functions.images import denormalise
 from tokenlake.functions.storage import written
 from tokenlake.sources.token_files import opened
@@ -56,7 +57,7 @@ def folder_images(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(folder).select("image.*")
 
     def rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 4):
             out = []
             for h, w, c, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True):
                 x = np.frombuffer(data, np.uint8).reshape(h, w, c)
@@ -179,7 +180,7 @@ def encoded(images: DataFrame, key: str, grey: bool = False) -> DataFrame:
     """(key, png) of images(key, height, width, data); grey: of the first channel alone. Null data stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 3):
             out = []
             for h, w, data in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 x = None if data is None else np.frombuffer(data, np.uint8).reshape(h, w, 3)
@@ -194,10 +195,17 @@ def decoded(rows: DataFrame, key: str, content: str) -> DataFrame:
     """(key, height, width, data) of encoded images; what cannot be read has null data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [decode(x) for x in batch.column(1).to_pylist()]
-            size = [[None if x is None else x.shape[k] for x in got] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s, pa.int32()) for s in size), pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], [key, "height", "width", "data"])
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
+        for batch in pieces(batches, 1):
+            # files are small beside their pixels, so these are counted as they come
+            rows, at, held = [], 0, 0
+            for k, raw in enumerate(batch.column(1).to_pylist(), 1):
+                x = decode(raw)
+                rows.append((None, None, None) if x is None else (*x.shape[:2], x.tobytes()))
+                held += 0 if x is None else x.nbytes
+                if held >= PIECE or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k - at), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], [key, "height", "width", "data"])
+                    rows, at, held = [], k, 0
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, content).mapInArrow(run, f"`{key}` {kind}, height int, width int, data binary")
@@ -322,7 +330,7 @@ def write_images(images: DataFrame, uri: str, name: str = "img_id") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(uri)
         system.create_dir(path)
-        for batch in batches:
+        for batch in pieces(batches, 3):
             done = []
             for key, h, w, data in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if data.is_valid:
@@ -342,7 +350,7 @@ def tensor_images(rows: DataFrame, key: str, height: int, width: int) -> DataFra
     """(key, height, width, data) of rows(key, planes): channel-first numbers in [-1, 1], cut to bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n = batch.num_rows
             planes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, 3, height, width)
             data = [x.tobytes() for x in denormalise(planes)]
