@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenlake.functions.batches import PIECE
-from tokenlake.operators import tokenizers
+from tokenlake.operators import evaluation, tokenizers
 from tokenlake.plans import image_queries
 
 
@@ -50,3 +50,16 @@ def test_mapped_images_get_pieces(many):
     kept = many.filter("img_id not in (5, 8999)")
     out = image_queries.mapped(kept, f).select("img_id", F.col("data").alias("out"))
     assert out.join(kept, "img_id").filter("out = data").count() == 8998
+
+
+def test_errors_of_images_without_sending_them_to_every_task(spark, sf):
+    a = image_queries.rgb(spark, sf)
+    b = tokenizers.detokenize(tokenizers.tokenize(a, image_queries.COLOR), image_queries.COLOR)
+    joined = evaluation.image_errors(a, b)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    once = evaluation.round_trip_errors(a, image_queries.COLOR)
+    near = lambda df: {r["img_id"]: round(r["mse"], 9) for r in df.collect()}
+    assert near(once) == near(joined) and len(near(once)) == a.count()
+    for name in ("psnr_avg", "psnr_per_image"):
+        plan = image_queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
