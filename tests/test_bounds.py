@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenlake.functions.batches import PIECE
-from tokenlake.operators import evaluation, tokenizers
+from tokenlake.operators import evaluation, ngram, tokenizers
 from tokenlake.plans import image_queries
 
 
@@ -63,3 +63,40 @@ def test_errors_of_images_without_sending_them_to_every_task(spark, sf):
     for name in ("psnr_avg", "psnr_per_image"):
         plan = image_queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan
+
+
+@pytest.fixture(scope="module")
+def few_tokens(spark):
+    """A stream of two tokens, in which short stretches stand everywhere, and prompts of many lengths out of it."""
+    r = np.random.default_rng(4)
+    docs = ["".join(r.choice(list("ab"), 300)) for _ in range(6)] + ["ab" * 40, "a"]
+    rows = [(d % 2, d, p, t) for d, x in enumerate(docs) for p, t in enumerate(x)]
+    asked = [docs[d][at : at + n] for d in range(6) for at, n in ((0, 3), (5, 4), (9, 7), (20, 12), (31, 30), (250, 50))] + ["b" * 25, "ab" * 12, "ba" * 20, ""]
+    stream = spark.createDataFrame(rows, "shard long, doc_id long, pos int, tok string").cache()
+    return docs, asked, stream, spark.createDataFrame([(i, list(x)) for i, x in enumerate(asked)], "prompt_id long, ids array<string>").cache()
+
+
+@pytest.mark.parametrize("far", [2, 8, 64])
+def test_long_contexts_of_any_reach(few_tokens, far):
+    docs, asked, stream, prompts = few_tokens
+    index = ngram.build_index(stream, 2)
+    got = {r["prompt_id"]: r["cnt"] for r in ngram.count(index, prompts, stream=stream, reach=2, far=far).collect()}
+    places = lambda x: [(d, i + len(x)) for d, t in enumerate(docs) for i in range(len(t) - len(x) + 1) if t.startswith(x, i)]
+    assert got == {i: len(places(x)) if x else sum(map(len, docs)) for i, x in enumerate(asked)}
+    want = {}
+    for i, x in enumerate(asked):
+        for n in range(len(x), -1, -1):
+            after = [docs[d][k] for d, k in places(x[len(x) - n :]) if k < len(docs[d])] if n else list("".join(docs))
+            if after:
+                want |= {(i, t): (after.count(t), n) for t in set(after)}
+                break
+    assert {(r["prompt_id"], r["tok"]): (r["cont_cnt"], r["suffix_len"]) for r in ngram.ntd(index, prompts, stream=stream, reach=2, far=far).collect()} == want
+    exact = {(i, t): v for (i, t), v in want.items() if v[1] == len(asked[i])}
+    assert {(r["prompt_id"], r["tok"]): (r["cont_cnt"], r["suffix_len"]) for r in ngram.ntd(index, prompts, back_off=False, stream=stream, reach=2, far=far).collect()} == exact
+
+
+def test_asked_contexts_alone_are_counted(few_tokens):
+    _, _, stream, _ = few_tokens
+    asked = stream.sparkSession.createDataFrame([(5, list("ababa")), (5, list("ababa")), (9, list("ababababa"))], "n int, ctx array<string>")
+    rows = ngram._counts_asked(stream, asked, 3, 9).select("n", "ctx", "shard", "tok").collect()
+    assert {"".join(r["ctx"]) for r in rows} == {"ababa", "ababababa"} and len(rows) == len(set(map(str, rows))) <= 2 * 2 * 2

@@ -6,8 +6,10 @@ then the context itself; every figure is an aggregate with map-side combining, s
 frequent, meets in one task. Contexts never span documents; an end token is counted only if the
 stream has one.
 
-Sequences longer than the index reaches are cut into stretches that it could hold; positions of the
-stream at which the stretches stand one after the other are exact matches. All figures are exact.
+Contexts longer than the index reaches, up to `far` tokens, are counted on its stream, and only those that
+some prompt asks for: a place of the stream meets a context once, however many prompts have it, so the work
+grows with the stream and not with the stream times the prompts. Longer ones are cut into stretches of `far`
+tokens; positions of the stream at which these stand one after the other are exact matches. All figures are exact.
 """
 
 from __future__ import annotations
@@ -39,6 +41,24 @@ def build_index(stream: DataFrame, n: int) -> DataFrame:
     return long.select("n", ctx.alias("ctx"), "tok", "shard").groupBy("n", "ctx", "tok", "shard").agg(F.count("*").alias("cnt"))
 
 
+def _counts_asked(stream: DataFrame, asked: DataFrame, least: int, most: int) -> DataFrame:
+    """What build_index has at the contexts of asked(n, ctx), least <= n <= most, and at a few others whose hashes are the same.
+
+    The hashes of the asked contexts, eight bytes each, go to every task, so that only rows that some prompt needs are counted.
+    """
+    own = F.broadcast(asked.select(F.xxhash64("n", "ctx").alias("h")).distinct())
+    reach = F.least(F.size("before"), F.lit(most))
+    sizes = F.when(reach >= least, F.sequence(F.lit(least), reach))
+    rows = contexts(stream, most).select("shard", "tok", "before", F.explode(sizes).alias("n"))
+    ctx = F.slice("before", F.size("before") - F.col("n") + 1, F.col("n"))
+    rows = rows.select("n", ctx.alias("ctx"), "tok", "shard").withColumn("h", F.xxhash64("n", "ctx")).join(own, "h", "left_semi")
+    return rows.groupBy("n", "ctx", "tok", "shard").agg(F.count("*").alias("cnt"))
+
+
+def _longest(prompts: DataFrame) -> int:
+    return prompts.agg(F.max(F.size("ids"))).first()[0] or 0
+
+
 def _meet(left: DataFrame, right: DataFrame, on: list[str], array: str) -> DataFrame:
     """Equi-join on `on` and on an array column: by its hash, then by the array itself."""
     key = f"{array}_hash"
@@ -46,7 +66,7 @@ def _meet(left: DataFrame, right: DataFrame, on: list[str], array: str) -> DataF
     return a.join(b, [*on, key]).filter(F.col(array) == F.col("_other")).drop("_other", key)
 
 
-def count(index: DataFrame, prompts: DataFrame, group: int = 1, stream: DataFrame | None = None, reach: int | None = None) -> DataFrame:
+def count(index: DataFrame, prompts: DataFrame, group: int = 1, stream: DataFrame | None = None, reach: int | None = None, far: int = 64) -> DataFrame:
     """(prompt_id, cnt, approx): occurrences of prompts(prompt_id, ids); all but the last token are the context.
 
     Counts are taken per group of `group` shards, then summed; approx is always false. An empty sequence stands at
@@ -54,17 +74,23 @@ def count(index: DataFrame, prompts: DataFrame, group: int = 1, stream: DataFram
     counted on the stream that it was built from; without a stream they are an error.
     """
     size = F.size("ids")
+    asks = lambda p: p.select("prompt_id", (size - 1).alias("n"), F.slice("ids", 1, F.greatest(size - 1, F.lit(0))).alias("ctx"), F.element_at("ids", -1).alias("tok"))
     if reach is not None and stream is None:
         kept = prompts.withColumn("ids", F.when(size <= reach + 1, F.col("ids")).otherwise(F.raise_error(F.lit("a prompt is longer than the index reaches"))))
     else:
         kept = prompts if reach is None else prompts.filter(size <= reach + 1)
-    some = kept.filter(size > 0).select("prompt_id", (size - 1).alias("n"), F.slice("ids", 1, F.greatest(size - 1, F.lit(0))).alias("ctx"), F.element_at("ids", -1).alias("tok"))
-    per = _meet(some, index, ["n", "tok"], "ctx").groupBy("prompt_id", F.floor(F.col("shard") / group).alias("grp")).agg(F.sum("cnt").alias("cnt"))
+    hits = _meet(asks(kept.filter(size > 0)), index, ["n", "tok"], "ctx").select("prompt_id", "shard", "cnt")
+    longest = _longest(prompts) if reach is not None and stream is not None else 0
+    far = max(far, reach or 0)
+    if longest and longest > reach + 1:
+        more = asks(prompts.filter((size > reach + 1) & (size <= far + 1)))
+        hits = hits.unionByName(_meet(more, _counts_asked(stream, more, reach + 1, min(far, longest - 1)), ["n", "tok"], "ctx").select("prompt_id", "shard", "cnt"))
+    per = hits.groupBy("prompt_id", F.floor(F.col("shard") / group).alias("grp")).agg(F.sum("cnt").alias("cnt"))
     total = per.groupBy("prompt_id").agg(F.sum("cnt").alias("cnt"))
     empty = kept.filter(size == 0).select("prompt_id", index.filter("n = 0").agg(F.sum("cnt").alias("cnt")).select("cnt").scalar().alias("cnt"))
     total = total.unionByName(empty)
-    if reach is not None and stream is not None:
-        total = total.unionByName(_count_long(stream, prompts.filter(size > reach + 1), reach + 1))
+    if longest > far + 1:
+        total = total.unionByName(_count_long(stream, prompts.filter(size > far + 1), far + 1))
     out = prompts.select("prompt_id").join(total, "prompt_id", "left")
     return out.select("prompt_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"), F.lit(False).alias("approx"))
 
@@ -109,7 +135,7 @@ def _matches_long(stream: DataFrame, prompts: DataFrame, width: int) -> DataFram
 
 def ntd(
     index: DataFrame, prompts: DataFrame, max_support: int | None = None, group: int | None = None, back_off: bool = True,
-    stream: DataFrame | None = None, reach: int | None = None,
+    stream: DataFrame | None = None, reach: int | None = None, far: int = 64,
 ) -> DataFrame:
     """(prompt_id, tok, cont_cnt, prob, prompt_cnt, suffix_len): what follows the longest supported suffix of each prompt.
 
@@ -123,11 +149,18 @@ def ntd(
     suffix = prompts.select("prompt_id", "ids", F.explode(F.sequence(F.lit(0), longest) if back_off else F.array(size)).alias("n"))
     ctx = F.when(F.col("n") > 0, F.slice("ids", size - F.col("n") + 1, F.col("n"))).otherwise(F.slice("ids", 1, 0))
     hits = _meet(suffix.select("prompt_id", "n", ctx.alias("ctx")), index, ["n"], "ctx").select("prompt_id", "shard", "n", "tok", "cnt")
-    if reach and stream is not None:
-        more = _matches_long(stream, prompts.filter(size > reach), reach)
+    most = _longest(prompts) if reach and stream is not None else 0
+    far = max(far, reach or 0)
+    if reach and most > reach:
+        longer = F.sequence(F.lit(reach + 1), F.least(size, F.lit(far))) if back_off else F.array(size)
+        asked = prompts.filter((size > reach) & (F.lit(back_off) | (size <= far))).select("prompt_id", "ids", F.explode(longer).alias("n")).select("prompt_id", "n", ctx.alias("ctx"))
+        if far > reach:
+            hits = hits.unionByName(_meet(asked, _counts_asked(stream, asked, reach + 1, min(far, most)), ["n"], "ctx").select("prompt_id", "shard", "n", "tok", "cnt"))
+    if reach and most > far:
+        more = _matches_long(stream, prompts.filter(size > far), far)
         if not back_off:
             more = more.join(prompts.select("prompt_id", size.alias("n")), ["prompt_id", "n"])
-        hits = hits.unionByName(more.filter(F.col("n") > reach))
+        hits = hits.unionByName(more.filter(F.col("n") > far))
     grp = F.floor(F.col("shard") / group) if group else F.lit(0)
     per = hits.groupBy("prompt_id", grp.alias("grp"), "n", "tok").agg(F.sum("cnt").alias("cnt"))
     top = per.groupBy("prompt_id").agg(F.max("n").alias("n"))
