@@ -1,5 +1,8 @@
 """What a task holds at once does not grow with its rows."""
 
+import io
+import tarfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenlake.functions.batches import PIECE
 from tokenlake.operators import evaluation, ngram, tokenizers
 from tokenlake.plans import image_queries
+from tokenlake.sources import images
 
 
 def narrow():
@@ -100,3 +104,18 @@ def test_asked_contexts_alone_are_counted(few_tokens):
     asked = stream.sparkSession.createDataFrame([(5, list("ababa")), (5, list("ababa")), (9, list("ababababa"))], "n int, ctx array<string>")
     rows = ngram._counts_asked(stream, asked, 3, 9).select("n", "ctx", "shard", "tok").collect()
     assert {"".join(r["ctx"]) for r in rows} == {"ababa", "ababababa"} and len(rows) == len(set(map(str, rows))) <= 2 * 2 * 2
+
+
+@pytest.mark.parametrize("most", [1, 5000])
+def test_tar_values_of_bounded_size(spark, sf, most):
+    want = sorted(map(tuple, image_queries.q_tar_scan(spark, sf).collect()))
+    assert sorted(map(tuple, image_queries._tar_bytes(spark, sf, most).collect())) == want and len(want) > 100
+
+
+def test_tar_members_are_not_kept():
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as tar:
+        for k in range(50):
+            tar.addfile(tarfile.TarInfo(f"{k}.png"))
+    with tarfile.open(fileobj=io.BytesIO(raw.getvalue()), mode="r:") as tar:
+        assert [(m.name, len(tar.members)) for m in images.members(tar)] == [(f"{k}.png", 0) for k in range(50)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import struct
 import tarfile
 import uuid
@@ -211,6 +212,13 @@ def decoded(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, content).mapInArrow(run, f"`{key}` {kind}, height int, width int, data binary")
 
 
+def members(tar: tarfile.TarFile) -> Iterator[tarfile.TarInfo]:
+    """The members of a tar in their order, which it does not keep."""
+    while (m := tar.next()) is not None:
+        tar.members = []
+        yield m
+
+
 def tar_index(spark: SparkSession, paths: str | list[str], endings: tuple[str, ...] = ("jpg", "jpeg", "png"), first: int | None = None, count: int | None = None) -> DataFrame:
     """(path, shard, member_idx, name, at, size) of the images in tar shards, members in their order; only headers are read.
 
@@ -228,10 +236,9 @@ def tar_index(spark: SparkSession, paths: str | list[str], endings: tuple[str, .
             for path, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, place = opened(path)
                 with system.open_input_file(place) as file, tarfile.open(fileobj=file, mode="r:") as tar:
-                    found = (x for x in tar if x.isfile() and x.name.lower().rsplit(".", 1)[-1] in endings)
-                    rows = [(path, shard, k, m.name, m.offset_data, m.size) for k, m in enumerate(found)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["path", "shard", "member_idx", "name", "at", "size"])
+                    found = enumerate(x for x in members(tar) if x.isfile() and x.name.lower().rsplit(".", 1)[-1] in endings)
+                    while rows := [(path, shard, k, m.name, m.offset_data, m.size) for k, m in itertools.islice(found, 5000)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "shard", "member_idx", "name", "at", "size"])
 
     # a task for each shard: headers stand all over it
     named = files.select("path", name.alias("shard"))
@@ -276,47 +283,59 @@ def tar_bytes_members(rows: DataFrame, shard: str, content: str, endings: tuple[
         kinds = [pa.string(), pa.int32(), pa.string(), pa.binary()]
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = []
+                out, held, k = [], 0, 0
+                done = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "member_idx", "name", "bytes"])
                 try:
-                    with tarfile.open(fileobj=io.BytesIO(raw.as_py() or b""), mode="r:") as tar:
-                        for m in tar:
+                    # the value is read where Arrow has it, and members go as soon as there are enough
+                    with tarfile.open(fileobj=pa.BufferReader(raw.as_buffer() or pa.py_buffer(b"")), mode="r:") as tar:
+                        for m in members(tar):
                             if m.isfile() and m.name.lower().rsplit(".", 1)[-1] in endings:
-                                out.append((key, len(out), m.name, tar.extractfile(m).read()))
+                                out.append((key, k, m.name, tar.extractfile(m).read()))
+                                held, k = held + m.size, k + 1
+                                if held >= PIECE:
+                                    yield done(out)
+                                    out, held = [], 0
                 except tarfile.TarError:
                     pass
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "member_idx", "name", "bytes"])
+                if out:
+                    yield done(out)
 
     return rows.select(F.col(shard).cast("string").alias("shard"), content).mapInArrow(run, "shard string, member_idx int, name string, bytes binary")
 
 
-def write_tars(members: DataFrame, uri: str) -> DataFrame:
-    """Write members(shard, member_idx, name, bytes) as <uri>/<shard>.tar, streamed; (shard, members) of what was written."""
+def write_tars(members: DataFrame, uri: str, most: int | None = None) -> DataFrame:
+    """Write members(shard, member_idx, name, bytes) as <uri>/<shard>.tar, streamed; (shard, members) of what was written.
+
+    most: bytes of content after which a shard goes on in a further file, <uri>/<shard>-<members before it>.tar, the first too, so
+    that a file can be a value of a column; a row for each file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = opened(uri)
         system.create_dir(path)
         now = sink = tar = part = None
-        count = 0
+        count = before = held = 0
 
         def close() -> pa.RecordBatch:
             tar.close()
             sink.close()
-            system.move(part, f"{path}/{now:05d}.tar")
+            system.move(part, f"{path}/{now:05d}.tar" if most is None else f"{path}/{now:05d}-{before:09d}.tar")
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([count], pa.int64())], ["shard", "members"])
 
         for batch in batches:
             for shard, name, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if shard != now:
+                if shard != now or (most is not None and held >= most):
                     if tar is not None:
                         yield close()
-                    now, count, part = shard, 0, f"{path}/{uuid.uuid4().hex}.tmp"
+                    before = before + count if shard == now else 0
+                    now, count, held, part = shard, 0, 0, f"{path}/{uuid.uuid4().hex}.tmp"
                     sink = system.open_output_stream(part)
                     tar = tarfile.open(fileobj=sink, mode="w|")
                 info = tarfile.TarInfo(name)
                 info.size = len(raw)
                 tar.addfile(info, io.BytesIO(raw))
-                count += 1
+                tar.members = []  # or it keeps all
+                count, held = count + 1, held + len(raw)
         if tar is not None:
             yield close()
 
