@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenlake.functions.batches import PIECE
 from tokenlake.operators import evaluation, ngram, tokenizers
 from tokenlake.plans import image_queries
-from tokenlake.sources import images
+from tokenlake.sources import images, token_files, token_source
 
 
 def narrow():
@@ -119,3 +119,13 @@ def test_tar_members_are_not_kept():
             tar.addfile(tarfile.TarInfo(f"{k}.png"))
     with tarfile.open(fileobj=io.BytesIO(raw.getvalue()), mode="r:") as tar:
         assert [(m.name, len(tar.members)) for m in images.members(tar)] == [(f"{k}.png", 0) for k in range(50)]
+
+
+def test_ranges_of_token_files_share_tasks(spark, tmp_path):
+    docs = spark.createDataFrame([(k % 2, k, [k % 7, 1, 2]) for k in range(400)], "shard int, doc_id long, tokens array<int>")
+    token_files.write_npy(docs, f"file://{tmp_path}")
+    token_source.register(spark)
+    read = lambda share: spark.read.format("tokens").option("layout", "npy").option("range", 16).option("share", share).load(f"file://{tmp_path}")
+    few, many = read(1 << 20), read(160)
+    assert few.rdd.getNumPartitions() == 1 < many.rdd.getNumPartitions()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() == 400

@@ -11,7 +11,8 @@ the document in its file, and its tokens. Options: layout (flat, headered or npy
 bytes of a file that one task reads at a time, and shards, the names (a,b,c) of those to read; other files are not
 opened. Conditions are not pushed down: Spark keeps what one query pushed to a reader for the next that uses the same table.
 
-Reading: a range is a partition. A flat document belongs to the range in which it begins and is read
+Reading: a task takes one range after the other, of one or more files, together at least `share` bytes (1 MB by default), so that small
+ranges are not a task each. A flat document belongs to the range in which it begins and is read
 to its separator, whatever lies between; tokens after a file's last separator are left out. Planning
 lists files and reads the headers of headered and npy files.
 
@@ -55,6 +56,13 @@ class Range(InputPartition):
     first: int = 0
 
 
+@dataclass
+class Share(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     task: int
@@ -111,6 +119,7 @@ class Options:
         self.separator, self.range = int(options.get("separator", SEPARATOR)), max(2, int(options.get("range", RANGE)) // 2 * 2)
         self.shards = {x.strip() for x in options["shards"].split(",")} if options.get("shards") else None
         self.files, self.ending = int(options.get("files", 1 << 30)), ".npy" if self.layout == "npy" else ".bin"
+        self.share = int(options.get("share", 1 << 20))
 
     def found(self) -> list[tuple[str, str, int]]:
         return [x for x in files(self.path, self.ending) if self.shards is None or x[1] in self.shards]
@@ -130,7 +139,16 @@ class Options:
             out += [Range(path, shard, begin + k * width, min(step, docs - k), n, kind, k * n) for k in range(0, docs, step)]
         return out
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def shares(self, found: list[tuple[str, str, int]]) -> list[Share]:
+        ranges = self.ranges(found)
+        each = max(1, self.share // self.range)
+        return [Share(ranges[k : k + each]) for k in range(0, len(ranges), each)]
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        for part in share.ranges:
+            yield from self._read(part)
+
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         system, place = opened(part.path)
         with system.open_input_file(place) as file:
             if part.n < 0:
@@ -148,10 +166,10 @@ class Reader(DataSourceReader):
     def __init__(self, options: Options):
         self.options = options
 
-    def partitions(self) -> list[Range]:
-        return self.options.ranges(self.options.found())
+    def partitions(self) -> list[Share]:
+        return self.options.shares(self.options.found())
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.options.read(partition)
 
 
@@ -167,11 +185,11 @@ class StreamReader(DataSourceStreamReader):
         self.last = new[-1] if new else self.last
         return {"last": self.last}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
         self.last = max(self.last, end["last"])  # after a restart
-        return self.options.ranges([x for x in self.options.found() if start["last"] < x[1] <= end["last"]])
+        return self.options.shares([x for x in self.options.found() if start["last"] < x[1] <= end["last"]])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         return self.options.read(partition)
 
 
