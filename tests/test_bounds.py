@@ -129,3 +129,34 @@ def test_ranges_of_token_files_share_tasks(spark, tmp_path):
     few, many = read(1 << 20), read(160)
     assert few.rdd.getNumPartitions() == 1 < many.rdd.getNumPartitions()
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() == 400
+
+
+def test_image_folders_are_listed_and_read_by_tasks(spark, tmp_path):
+    top = tmp_path / "a b%c"
+    for k in range(300):
+        place = top / ("" if k % 3 == 0 else f"{k % 3}" if k % 3 == 1 else f"{k % 3}/deep=x/{k % 5}")
+        place.mkdir(parents=True, exist_ok=True)
+        (place / (f"{k} %25.PNG" if k % 2 else f"{k}.txt" if k % 7 == 0 else f"{k}.png")).write_bytes(bytes([k % 256]) * (k % 4))
+    for hidden in ("_x.png", ".y.png", "z.png._COPYING_"):
+        (top / hidden).write_bytes(b"1")
+    (top / "_no").mkdir()
+    (top / "_no" / "1.png").write_bytes(b"1")
+    rows = lambda df: sorted((r["path"], r["length"], bytes(r["content"])) for r in df.collect())
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(top)).filter(images.is_image(F.col("path")))
+    got = images.image_files(spark, str(top))
+    assert rows(got) == rows(by_spark) and got.count() == 214
+    assert [r["path"] for r in images.sorted_files(spark, f"file://{tmp_path}/a b%c/").collect()] == sorted(r[0] for r in rows(by_spark))
+    assert images.image_paths(spark, str(top), recursive=False).count() == sum(p.suffix.lower() == ".png" and p.name[0] not in "_." and p.stat().st_size > 0 for p in top.iterdir())
+    # Spark alone would take 4 MB for each file, so 32 to a task, and have all names on the driver
+    assert images.image_files(spark, str(top), share=100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert images.image_files(spark, str(top), share=10).rdd.getNumPartitions() == -(-got.count() // 10)
+    assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(images.image_files(spark, f"{tmp_path}/a b%c/*/*.PNG")) == [r for r in rows(by_spark) if "c/1/" in r[0] and r[0].endswith("PNG")]
+    (tmp_path / "none").mkdir()
+    assert images.image_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_images_are_written_to_folders(spark, sf, tmp_path):
+    done = images.write_images(image_queries.rgb(spark, sf, 2, 2), f"file://{tmp_path}/p", folder=F.expr("img_id div 50")).count()
+    found = [p.relative_to(tmp_path / "p") for p in (tmp_path / "p").rglob("*.png")]
+    assert len(found) == done and all(int(p.parts[0]) == int(p.stem) // 50 and len(p.parts) == 2 for p in found)

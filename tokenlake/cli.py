@@ -57,7 +57,7 @@ def tokenizer(spark: SparkSession, args: argparse.Namespace):
 
 def pictures(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
     """(img_id, path, height, width, data): images of a folder, numbered in the order of their paths."""
-    found = images.image_files(spark, folder).select("path", "length")
+    found = images.image_paths(spark, folder)
     numbered = stream.running_total(found.withColumn("one", F.lit(1)), ["path"], "one", "img_id").select("path", F.col("img_id").cast("long").alias("img_id"))
     if most is not None:
         numbered = numbered.filter(F.col("img_id") < most)

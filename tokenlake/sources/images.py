@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import itertools
+import os
 import struct
 import tarfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +40,97 @@ def shard_names(template: str, first: int, count: int, n: int) -> list[str]:
     return [template.format(i=i, n=n) for i in range(first, min(first + count, n))]
 
 
-def image_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, length, content) of image files; the ending is tested before any content is read."""
+def _by_spark(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.filter(is_image(F.col("path"))).select("path", "length", "content")
+    return files.filter(is_image(F.col("path")))
+
+
+def _root(spark: SparkSession, folder: str) -> tuple[str, str] | None:
+    """A folder's path as Spark writes it and its URI; None of patterns, files and stores that Arrow cannot open."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    root, uri = path.toString(), path.toUri().toString()
+    try:
+        system, place = opened(uri)
+        return (root, uri) if system.get_file_info(place).type == fs.FileType.Directory and not root.endswith("/") else None
+    except (OSError, ValueError, NotImplementedError):
+        return None
+
+
+def _entries(system: fs.FileSystem, place: str) -> Iterator[tuple[str, int | None]]:
+    """(name, bytes) of what is in a folder, bytes None of folders; names that Spark passes over are left out."""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(place) as found:  # one by one, so a folder may hold any number
+            for x in found:
+                if seen(x.name) and os.path.exists(x.path):
+                    yield x.name, None if x.is_dir() else x.stat().st_size
+    else:
+        for x in system.get_file_info(fs.FileSelector(place)):
+            if seen(x.base_name):
+                yield x.base_name, None if x.type == fs.FileType.Directory else x.size
+
+
+def seen(name: str) -> bool:
+    return not (name[0] == "." or (name[0] == "_" and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _listed(spark: SparkSession, root: str, uri: str, recursive: bool) -> DataFrame:
+    """(path, length) of all files of a folder but empty ones, which Spark passes over too: tasks list the folders of one depth, then those of the next, and the driver has no names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(uri)
+        for batch in batches:
+            found = ((f"{path}/{name}", n) for path in batch.column(0).to_pylist() for name, n in _entries(system, base + path[len(root) :]))
+            while rows := list(itertools.islice(found, 5000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64()), strict=True)], ["path", "length"])
+
+    folders, out = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = written(folders.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "path string, length long"), "listed")
+        files = found.filter("length > 0")
+        out = files if out is None else out.unionByName(files)
+        folders = found.filter("length is null").select("path")
+        if not recursive or folders.isEmpty():
+            return out
+
+
+def image_paths(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """(path, length) of image files, listed by tasks; by Spark, with all names on the driver, only of patterns and stores that Arrow cannot open."""
+    at = _root(spark, folder)
+    files = _listed(spark, *at, recursive) if at else _by_spark(spark, folder, recursive)
+    return files.filter(is_image(F.col("path"))).select("path", "length")
+
+
+def image_files(spark: SparkSession, folder: str, recursive: bool = True, share: int = 4096) -> DataFrame:
+    """(path, length, content) of image files; the ending is tested before any content is read.
+
+    Listed as by image_paths, then read in tasks of about `share` files each, however small they are.
+    """
+    at = _root(spark, folder)
+    if not at:
+        return _by_spark(spark, folder, recursive).select("path", "length", "content")
+    root, uri = at
+    files = image_paths(spark, folder, recursive)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = opened(uri)
+        for batch in batches:
+            rows, held, kinds = [], 0, [pa.string(), pa.int64(), pa.binary()]
+            for k, (path, length) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True), 1):
+                with system.open_input_file(base + path[len(root) :]) as file:
+                    rows.append((path, length, file.readall()))
+                held += length
+                if held >= PIECE or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "length", "content"])
+                    rows, held = [], 0
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-files.count() // share))
+    return files.repartition(tasks, "path").mapInArrow(run, "path string, length long, content binary")
 
 
 def sorted_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """(path, length) of image files in the order of their paths; contents are not read."""
-    return image_files(spark, folder, recursive).select("path", "length").orderBy("path")
+    return image_paths(spark, folder, recursive).orderBy("path")
 
 
 def sample_paths(files: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -68,17 +153,23 @@ def folder_images(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("origin", "height", "width", "nChannels", "data").mapInArrow(rgb, "path string, height int, width int, data binary")
 
 
+@cache
+def pillow():
+    """Pillow's Image if it is there, looked for once: a search that finds nothing costs more than a small image."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return None
+    return Image
+
+
 def decode(raw: bytes | None) -> np.ndarray | None:
     """uint8[h, w, 3] of whatever Pillow reads if it is there; without it of PNG bytes and binary PPM; else None."""
     if not raw:
         return None
     try:
-        try:
-            from PIL import Image
-        except ImportError:
-            Image = None
-        if Image is not None:
-            return np.array(Image.open(io.BytesIO(raw)).convert("RGB"))
+        if pillow() is not None:
+            return np.array(pillow().open(io.BytesIO(raw)).convert("RGB"))
         if raw[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(raw)
         if raw[:2] == b"P6":
@@ -343,17 +434,25 @@ def write_tars(members: DataFrame, uri: str, most: int | None = None) -> DataFra
     return written(keyed.repartition("shard").sortWithinPartitions("shard", "member_idx").mapInArrow(run, "shard long, members long"), "tars")
 
 
-def write_images(images: DataFrame, uri: str, name: str = "img_id") -> DataFrame:
-    """Write images(name, height, width, data) as <uri>/<name>.png; (path, bytes) of what was written. Null data gives no file."""
+def write_images(images: DataFrame, uri: str, name: str = "img_id", folder: Column | None = None) -> DataFrame:
+    """Write images(name, height, width, data) as <uri>/<name>.png; (path, bytes) of what was written. Null data gives no file.
+
+    folder: a folder of each image, <uri>/<folder>/<name>.png, so that no folder need hold all files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = opened(uri)
-        system.create_dir(path)
+        system, top = opened(uri)
+        system.create_dir(top)
+        made = {top}
         for batch in pieces(batches, 3):
             done = []
-            for key, h, w, data in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for key, h, w, data, sub in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if data.is_valid:
                     raw = encode_png(np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py(), w.as_py(), 3))
+                    path = f"{top}/{sub.as_py()}" if sub.is_valid else top
+                    if path not in made:
+                        system.create_dir(path)
+                        made.add(path)
                     part, place = f"{path}/{uuid.uuid4().hex}.tmp", f"{path}/{key.as_py()}.png"
                     with system.open_output_stream(part) as sink:
                         sink.write(raw)
@@ -362,7 +461,8 @@ def write_images(images: DataFrame, uri: str, name: str = "img_id") -> DataFrame
             cols = list(zip(*done, strict=True)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["path", "bytes"])
 
-    return written(images.select(name, "height", "width", "data").mapInArrow(run, "path string, bytes long"), "images")
+    into = F.lit(None).cast("string") if folder is None else folder.cast("string")
+    return written(images.select(name, "height", "width", "data", into.alias("folder")).mapInArrow(run, "path string, bytes long"), "images")
 
 
 def tensor_images(rows: DataFrame, key: str, height: int, width: int) -> DataFrame:
