@@ -4,10 +4,12 @@ import io
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tokenlake.functions.batches import PIECE
+from tokenlake.functions import images as im
+from tokenlake.functions.batches import PIECE, commas, lists
 from tokenlake.operators import evaluation, ngram, tokenizers
 from tokenlake.plans import image_queries
 from tokenlake.sources import images, token_files, token_source
@@ -160,3 +162,38 @@ def test_images_are_written_to_folders(spark, sf, tmp_path):
     done = images.write_images(image_queries.rgb(spark, sf, 2, 2), f"file://{tmp_path}/p", folder=F.expr("img_id div 50")).count()
     found = [p.relative_to(tmp_path / "p") for p in (tmp_path / "p").rglob("*.png")]
     assert len(found) == done and all(int(p.parts[0]) == int(p.stem) // 50 and len(p.parts) == 2 for p in found)
+
+
+def test_numbers_of_images_get_pieces(many):
+    def f(x):
+        assert x.nbytes <= PIECE
+        return [x[:, :2, 0, 0].astype(np.int64) - 128]
+
+    out = image_queries.numbers(many.filter("img_id not in (5, 8999)"), f, ["two"])
+    assert {r["img"]: r["two"] for r in out.collect()} == {i: f"{i % 256 - 128},{i % 256 - 128}" for i in range(9000) if i not in (5, 8999)}
+
+
+def test_numbers_are_joined_without_rows_of_strings(spark, sf):
+    x = np.random.default_rng(0).integers(-300, 300, (40, 17))
+    want = [",".join(map(str, r)) for r in x.tolist()]
+    assert commas(lists(x)).to_pylist() == want and commas(lists(x).slice(5, 7)).to_pylist() == want[5:12] and len(commas(lists(x[:0]))) == 0
+    assert commas(pa.array([[], [1], []], pa.list_(pa.int32()))).to_pylist() == ["", "1", ""]
+    for name in ("pyramid_residual_3lvl", "block_extract"):
+        assert "array_join" not in image_queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("h", "w", "height", "width"), [(32, 32, 16, 16), (5, 7, 9, 3), (3, 150, 2, 100)])
+def test_resize_by_its_definition(h, w, height, width):
+    x = np.random.default_rng(h).integers(0, 256, (2, h, w, 3)).astype(np.uint8)
+    byte = lambda v: min(255, max(0, int(np.floor(round(v, 9) + 0.5))))
+    for kernel in ("triangle", "lanczos"):
+        a, b = im.weights(w, width, kernel), im.weights(h, height, kernel)
+        rows = np.array([[[[byte(sum(a[k, j] * int(x[i, y, j, c]) for j in range(w)) / a[k].sum()) for c in range(3)] for k in range(width)] for y in range(h)] for i in range(2)])
+        want = [[[[byte(sum(b[k, j] * int(rows[i, j, y, c]) for j in range(h)) / b[k].sum()) for c in range(3)] for y in range(width)] for k in range(height)] for i in range(2)]
+        assert im.resize(x, height, width, kernel).tolist() == want
+
+
+def test_narrow_weights_alone_are_spread_over_channels():
+    im._spread.cache_clear()
+    im.resize(np.zeros((1, 4, 3000, 3), np.uint8), 4, 1000)
+    assert im._spread.cache_info().currsize == 0

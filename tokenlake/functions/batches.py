@@ -36,6 +36,13 @@ def lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows).reshape(-1)))
 
 
+def commas(numbers: pa.ListArray) -> pa.Array:
+    """Each list of whole numbers as text, joined by commas; no list or number is null."""
+    ends = np.cumsum(pc.list_value_length(numbers).to_numpy(zero_copy_only=False))
+    offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, numbers.flatten().cast(pa.string())), ",")
+
+
 def stacked(batch: pa.RecordBatch, column: int, *shape: int) -> np.ndarray:
     """uint8[n, *shape] of a column of equally long bytes."""
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(batch.num_rows, *shape)
