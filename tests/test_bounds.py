@@ -2,6 +2,7 @@
 
 import io
 import tarfile
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -197,3 +198,56 @@ def test_narrow_weights_alone_are_spread_over_channels():
     im._spread.cache_clear()
     im.resize(np.zeros((1, 4, 3000, 3), np.uint8), 4, 1000)
     assert im._spread.cache_info().currsize == 0
+
+
+class Local:
+    """A table that is one Arrow batch: functions of batches run here, what they yield is copied away as Spark does, and becomes one batch again."""
+
+    def __init__(self, batch, dtypes, peaks):
+        self.batch, self.dtypes, self.peaks = batch, dtypes, peaks
+
+    def select(self, *columns):
+        return self  # steps take columns by place
+
+    def mapInArrow(self, run, schema):
+        sink, writer = pa.BufferOutputStream(), None
+        tracemalloc.start()
+        for out in run(iter([self.batch])):
+            writer = writer or pa.ipc.new_stream(sink, out.schema)
+            writer.write_batch(out)
+            del out
+        self.peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        writer.close()
+        (whole,) = pa.ipc.open_stream(sink.getvalue()).read_all().combine_chunks().to_batches()
+        return Local(whole, [tuple(x.split()) for x in schema.replace("`", "").split(", ")], self.peaks)
+
+
+@pytest.mark.parametrize("name", ["tensor_images", "dct_decode", "haar_decode"])
+def test_steps_hold_no_more_for_more_images(spark, sf, name, monkeypatch):
+    def images_of(n):
+        rows = [bytes([i % 256]) * 3072 for i in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), *[pa.array([32] * n, pa.int32())] * 2, pa.array(rows, pa.binary())], ["img_id", "height", "width", "data"])
+        return Local(batch, [("img_id", "bigint"), ("data", "binary")], [])
+
+    monkeypatch.setattr(image_queries, "pixels", lambda x: x)
+    held = []
+    for n in (2000, 8000):
+        monkeypatch.setattr(image_queries, "rgb", lambda spark, sf, made=images_of(n): made)
+        out = image_queries.queries()[name](spark, sf)
+        assert len(out.peaks) == 2 and out.batch.column(0).to_pylist() == list(range(n))
+        if name == "tensor_images":
+            assert out.batch.column(3).to_pylist() == [bytes([i % 256]) * 3072 for i in range(n)]
+        held.append(max(out.peaks))
+    assert held[1] < 1.2 * held[0] and held[1] < 48 * PIECE
+
+
+def test_batches_of_tasks_are_of_bounded_size(spark):
+    """What a step gets at once: planes of 6,000 images are 147 MB, a batch is Spark's 64 MB and a row at most."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    got = spark.range(0, 6000, 1, 1).select(F.array_repeat(F.rand(1), 3072).alias("planes")).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 6000 and len(got) >= 3 and max(r["size"] for r in got) <= (64 << 20) + 2 * 3072 * 8
